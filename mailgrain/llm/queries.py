@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from mailgrain.llm import truncation
+from mailgrain.llm import leakage, truncation
 from mailgrain.runtime import table
 
 
+def p7_found(spark, sf_dir):
+    """Documents holding thirteen or more consecutive words of an evaluation item."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p7_report(spark, sf_dir):
+    """All leaks with their measures, paraphrases included."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark, sf_dir):
     """Documents that are cut off."""
     return truncation.truncated(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
@@ -16,5 +27,5 @@ def p9_report(spark, sf_dir):
     return truncation.truncation_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report}
 SQL = {}
