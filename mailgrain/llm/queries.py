@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from mailgrain.llm import leakage, truncation
+from mailgrain.llm import confusables, leakage, mojibake, truncation
 from mailgrain.runtime import table
 
 
+def p2_found(spark, sf_dir):
+    """Subjects and file names that look ordinary and are written with other characters."""
+    found = mojibake.deviating_headers(table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "attachment_part"))
+    return found.select("fld", "row_id")
+
+
+def p2_normal(spark, sf_dir):
+    """Every subject and file name in its consistent form."""
+    texts = confusables.header_texts(table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "attachment_part"))
+    return confusables.normalise(texts, "text", ["fld", "row_id"]).selectExpr("fld", "row_id", "normal", "array_join(kinds, ',') as kinds")
+
+
+def p3_found(spark, sf_dir):
+    """Subjects, senders and file names decoded with a wrong encoding."""
+    found = mojibake.garbled_headers(table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "attachment_part"))
+    return found.where("garbled").select("fld", "row_id")
+
+
+def p3_restored(spark, sf_dir):
+    """Garbled values with their original text."""
+    found = mojibake.garbled_headers(table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "attachment_part"))
+    return found.where("garbled").drop("garbled")
+
+
 def p7_found(spark, sf_dir):
     """Documents holding thirteen or more consecutive words of an evaluation item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -27,5 +51,5 @@ def p9_report(spark, sf_dir):
     return truncation.truncation_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p2_found": p2_found, "p2_normal": p2_normal, "p3_found": p3_found, "p3_restored": p3_restored, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report}
 SQL = {}
