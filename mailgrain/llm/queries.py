@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailgrain.llm import confusables, leakage, mojibake, truncation
+from mailgrain.llm import confusables, leakage, mixing, mojibake, pii, truncation
 from mailgrain.runtime import table
 
 
@@ -30,6 +30,21 @@ def p3_restored(spark, sf_dir):
     return found.where("garbled").drop("garbled")
 
 
+def p4_found(spark, sf_dir):
+    """Distinct personal values of every body."""
+    return pii.entities(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"))
+
+
+def p4_redacted(spark, sf_dir):
+    """Bodies with numbered placeholders."""
+    return pii.redacted(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"))
+
+
+def p4_surrogates(spark, sf_dir):
+    """Bodies with keyed surrogates."""
+    return pii.redacted(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"), key="demonstration key", mode="surrogate")
+
+
 def p7_found(spark, sf_dir):
     """Documents holding thirteen or more consecutive words of an evaluation item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -41,6 +56,16 @@ def p7_report(spark, sf_dir):
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_mix(spark, sf_dir):
+    """Documents of the mix with their copies."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark, sf_dir):
+    """Target and reached share of every source."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark, sf_dir):
     """Documents that are cut off."""
     return truncation.truncated(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
@@ -51,5 +76,19 @@ def p9_report(spark, sf_dir):
     return truncation.truncation_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_normal": p2_normal, "p3_found": p3_found, "p3_restored": p3_restored, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_normal": p2_normal,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
+    "p4_surrogates": p4_surrogates,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+}
 SQL = {}
