@@ -1,32 +1,117 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators and the SQL that checks them.
+
+The mailbox is scanned_message with its mail_headers; state is the delivery log;
+archive folders and files are derived from deliveries and attachments.
+"""
 
 from __future__ import annotations
 
-from mailgrain.operators import instants, packed_fields, redelivery
-from mailgrain.runtime import table
+import datetime as dt
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def p1_found(spark, sf_dir):
-    """Recipients of every field that packs two or more."""
-    return packed_fields.recipients(table(spark, sf_dir, "mail_headers"), 2).select("hdr_id", "fld", "pos", "addr")
+from mailgrain.functions import attachments as A
+from mailgrain.functions import markup as H
+from mailgrain.functions import mime as M
+from mailgrain.functions import text as X
+from mailgrain.operators import audit, instants, naming, packed_fields, redelivery
+from mailgrain.operators import state as st
+from mailgrain.plans import fetch, render
+from mailgrain.plans import rules as R
+from mailgrain.runtime import spread, table
+from mailgrain.sources import config, mailbox
+from mailgrain.streaming import delivery
 
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
 
-def p5_found(spark, sf_dir):
-    """Delivered rows that repeat a message."""
-    return redelivery.repeats(table(spark, sf_dir, "delivered"), table(spark, sf_dir, "mail_headers"))
+RULES = [
+    R.Rule("invoices", subject=("*rechnung*", "*invoice*", "*facture*"), folders=("INBOX/Invoices",), larger=5 * 1024, move_to="Archive/Invoices"),
+    R.Rule("nordlicht", domains=("@nordlicht.example", "nordlicht-group.example"), mode=("from",), recursive=True, since=dt.date(2020, 1, 1)),
+    R.Rule("lists", subject=r"^(Re: )?\[list-\d+\]", folders=("Lists", "INBOX"), label="list"),
+    R.Rule("team", domains=("test",), mode=("to",), until=dt.date(2022, 12, 31), smaller=2 * 1024**2, label="team", move_to="Team/2022"),
+    R.Rule("catchall", folders=("Archive",), delete=True),
+]
 
+MBOX = r"""
+mbox as (
+  select s.account, s.folder, s.uidvalidity, s.uid, s.hdr_id, s.rfc822_size as size,
+    coalesce(h.from_, '') as from_, coalesce(h.to_, '') as to_, coalesce(h.subject, '') as subject,
+    nullif(trim(h.message_id, ' '), '') as message_id,
+    case when regexp_full_match(h.date_, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') then try_cast(h.date_ as timestamp) end as date_wall,
+    case when regexp_full_match(s.received, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') then try_cast(s.received as timestamp) end as received_wall
+  from scanned_message s join mail_headers h on s.hdr_id = h.hdr_id
+)"""
+FROM_ADDRESSES = r"regexp_extract_all(lower(from_), '[\w.+-]+@[\w.-]+')"
+TO_ADDRESSES = r"regexp_extract_all(lower(to_), '[\w.+-]+@[\w.-]+')"
+DAY = "cast(coalesce(date_wall, received_wall) as date)"
+NORDLICHT = f"len(list_filter({FROM_ADDRESSES}, lambda a: a like '%@nordlicht.example' or a like '%.nordlicht.example' or a like '%@nordlicht-group.example' or a like '%.nordlicht-group.example')) > 0"
+TEST_TO = f"len(list_filter({TO_ADDRESSES}, lambda a: a like '%@test' or a like '%.test')) > 0"
+GLOBS = "(lower(subject) like '%rechnung%' or lower(subject) like '%invoice%' or lower(subject) like '%facture%')"
+HITS = f"""
+hits as (
+  select mbox.*, case
+    when folder = 'INBOX/Invoices' and {GLOBS} and coalesce(size > 5120, true) then 0
+    when (folder = 'INBOX' or folder like 'INBOX/%') and {NORDLICHT} and coalesce({DAY} >= date '2020-01-01', true) then 1
+    when folder in ('Lists', 'INBOX') and regexp_matches(subject, '^(Re: )?\\[list-\\d+\\]') then 2
+    when folder = 'INBOX' and {TEST_TO} and coalesce({DAY} <= date '2022-12-31', true) and coalesce(size < 2097152, true) then 3
+    when folder = 'Archive' then 4 end as ordinal
+  from mbox
+)""".replace("\\\\", "\\")
+RULE_NAMES = "['invoices', 'nordlicht', 'lists', 'team', 'catchall']"
+STATE = """
+state as (
+  select account, folder, uidvalidity, uid, arg_min(coalesce(filename, '?'), hdr_id) as filename, arg_min(coalesce(profile, '?'), hdr_id) as profile
+  from delivered group by all
+)"""
+
+
+def query(sql: str | None = None):
+    """Register a query with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def mbox(spark: SparkSession, d: str) -> DataFrame:
+    return mailbox.mailbox(table(spark, d, "scanned_message"), table(spark, d, "mail_headers"))
+
+
+def folder_list(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "scanned_message").select("account", "folder").distinct().withColumn("delimiter", F.lit("/"))
+    flags = F.when((F.col("folder") == "Trash") & (F.length("account") % 2 == 0), F.array(F.lit("\\Trash"))).otherwise(F.array().cast("array<string>"))
+    return listed.withColumn("flags", flags)
 
-def p6_found(spark, sf_dir):
-    """Readable instants as UTC seconds."""
-    return instants.mail_instants(
-        table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "scanned_message"), table(spark, sf_dir, "account")
-    )
 
+def scopes(spark: SparkSession, d: str) -> DataFrame:
+    folders = folder_list(spark, d)
+    return R.folder_map(spark, RULES, folders, mailbox.trash_folders(folders))
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
 
-SQL = {
-    "p5_found": r"""
+def state_of(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "delivered").select(*st.KEY, F.coalesce("filename", F.lit("?")).alias("filename"), F.coalesce("profile", F.lit("?")).alias("profile"), "hdr_id")
+    empty = log.select(*st.COLUMNS).where("false")
+    return st.insert_or_ignore(empty, log, F.col("hdr_id"))
+
+
+def fetch_plan(spark: SparkSession, d: str, with_archive: bool = False) -> fetch.FetchPlan:
+    archive = state_of(spark, d).where("filename <> '?' and uid % 3 <> 0").select("account", "filename") if with_archive else None
+    return fetch.plan(mbox(spark, d), state_of(spark, d), RULES, scopes(spark, d), archive, strict=False)
+
+
+@query()
+def p1_found(spark, d):
+    """Recipients of every field that packs two or more."""
+    return packed_fields.recipients(table(spark, d, "mail_headers"), 2).select("hdr_id", "fld", "pos", "addr")
+
+
+@query(r"""
 with h as (
   select hdr_id, subject, regexp_replace(message_id, '^[\s<]+|[\s>]+$', '', 'g') as inner_id from mail_headers
 ), k as (
@@ -41,6 +126,626 @@ with h as (
       else min(hdr_id) over (partition by account, folder, uidvalidity, uid, ident is null) end as first_id
   from k
 )
-select hdr_id from r where hdr_id > first_id
-""",
-}
+select hdr_id from r where hdr_id > first_id""")
+def p5_found(spark, d):
+    """Delivered rows that repeat a message."""
+    return redelivery.repeats(table(spark, d, "delivered"), table(spark, d, "mail_headers"))
+
+
+@query()
+def p6_found(spark, d):
+    """Readable instants as UTC seconds."""
+    return instants.mail_instants(table(spark, d, "mail_headers"), table(spark, d, "scanned_message"), table(spark, d, "account"))
+
+
+@query(f"""with {MBOX}, {HITS}, keys as (select distinct account, folder, uidvalidity, uid, 1 as known from delivered)
+select {RULE_NAMES}[ordinal + 1] as profile, cast(count(*) filter (where known is null) as bigint) as delivered,
+  cast(count(*) filter (where known is not null) as bigint) as already_archived
+from hits left join keys using (account, folder, uidvalidity, uid) where ordinal is not null group by 1""")
+def fetch_report(spark, d):
+    """Deliveries per rule: first match, anti-join with the state, grouped counts."""
+    return fetch_plan(spark, d).report
+
+
+@query(f"with {MBOX}, {HITS} select hdr_id, cast(ordinal as integer) as ordinal from hits")
+def first_match(spark, d):
+    """First rule of every message, as one compiled expression."""
+    return fetch.matched(mbox(spark, d), RULES, scopes(spark, d), strict=False).select("hdr_id", "ordinal")
+
+
+@query(SQL["first_match"])
+def first_match_table(spark, d):
+    """First rule of every message, as a join with the rule table."""
+    return fetch.matched_by_table(mbox(spark, d), RULES, scopes(spark, d), strict=False).select("hdr_id", "ordinal")
+
+
+@query()
+def first_match_strict(spark, d):
+    """First rule with addresses by the strict header reader."""
+    return fetch.matched(mbox(spark, d), RULES, scopes(spark, d)).select("hdr_id", "ordinal")
+
+
+@query("select account, folder, uidvalidity, uid, hdr_id from scanned_message order by account, folder, uid")
+def scan_sorted(spark, d):
+    """Scan in order of uid within folders."""
+    return table(spark, d, "scanned_message").select(*st.KEY, "hdr_id").orderBy("account", "folder", "uid")
+
+
+@query("select hdr_id, rfc822_size as size from scanned_message where rfc822_size > 5120 or rfc822_size is null")
+def scan_weakest_bound(spark, d):
+    """Scan under the loosest size bound of two rules."""
+    two = [R.Rule("a", larger=5120), R.Rule("b", larger=1024**2)]
+    s = table(spark, d, "scanned_message").select("hdr_id", F.col("rfc822_size").alias("size"))
+    return fetch.scan_filter(s, two)
+
+
+@query(f"with {MBOX} select hdr_id from mbox where {NORDLICHT}")
+def match_domain(spark, d):
+    """Sender in a domain or below it."""
+    m = fetch.with_addresses(mbox(spark, d), [RULES[1]], strict=False)
+    return m.where(R.address_predicate(RULES[1], F.col("__addr_from"))).select("hdr_id")
+
+
+@query(f"with {MBOX} select hdr_id from mbox where list_contains({TO_ADDRESSES}, 'nordqvist@quarzo-group.test')")
+def match_address_mode(spark, d):
+    """Exact address in the To field only."""
+    rule = R.Rule("x", addresses=("Nordqvist@quarzo-group.test",), mode=("to",))
+    m = fetch.with_addresses(mbox(spark, d), [rule], strict=False)
+    return m.where(R.address_predicate(rule, F.col("__addr_to"))).select("hdr_id")
+
+
+@query(f"with {MBOX} select hdr_id from mbox where regexp_matches(subject, '^(Re: )?\\[list-\\d+\\]')")
+def match_subject_regex(spark, d):
+    """Subject by unanchored, case-sensitive expression."""
+    return mbox(spark, d).where(R.subject_predicate(RULES[2].subject, F.col("subject"))).select("hdr_id")
+
+
+@query(f"with {MBOX} select hdr_id from mbox where {GLOBS}")
+def match_subject_glob(spark, d):
+    """Subject by any case-blind glob."""
+    return mbox(spark, d).where(R.subject_predicate(RULES[0].subject, F.col("subject"))).select("hdr_id")
+
+
+@query(f"with {MBOX} select hdr_id from mbox where coalesce({DAY} between date '2020-06-01' and date '2021-05-31', true)")
+def match_date_window(spark, d):
+    """Inclusive day window; undated messages pass."""
+    rule = R.Rule("x", since=dt.date(2020, 6, 1), until=dt.date(2021, 5, 31))
+    return mbox(spark, d).where(_alone(rule)).select("hdr_id")
+
+
+@query(f"with {MBOX} select hdr_id from mbox where coalesce(size > 10000 and size < 500000, true)")
+def match_size_window(spark, d):
+    """Strict size window; unknown sizes pass."""
+    return mbox(spark, d).where(_alone(R.Rule("x", larger=10_000, smaller=500_000))).select("hdr_id")
+
+
+def _alone(rule: R.Rule):
+    return R.header_predicate(rule, {}, F.col("subject"), F.col("date_wall"), F.col("received_wall"), F.col("size"))
+
+
+@query(r"""
+select hdr_id from attachment_part group by hdr_id
+having count(*) filter (where lower(regexp_extract(filename, '^(?:.*/)?[^/]+\.([^./]+)$', 1)) in ('pdf', 'csv')) > 0""")
+def match_attachment_suffix(spark, d):
+    """Mails with an attachment of a wanted suffix."""
+    names = table(spark, d, "attachment_part").groupBy("hdr_id").agg(F.collect_list("filename").alias("names"))
+    return names.where(R.attachment_predicate((".PDF", "csv"), F.col("names"))).select("hdr_id")
+
+
+@query(r"""
+with f as (select distinct account, folder from scanned_message), a as (select distinct account from f)
+select account, 'INBOX/Invoices' as folder, 0 as ordinal from a
+union select account, 'INBOX', 1 from a union select account, folder, 1 from f where folder like 'INBOX/%'
+union select account, 'Lists', 2 from a union select account, 'INBOX', 2 from a union select account, 'INBOX', 3 from a union select account, 'Archive', 4 from a""")
+def folder_expand(spark, d):
+    """Folders each rule reads, recursive ones expanded."""
+    return scopes(spark, d)
+
+
+@query("select distinct account, folder from scanned_message where folder = 'Trash'")
+def trash_folders(spark, d):
+    """Trash by flag, else by name."""
+    return mailbox.trash_folders(folder_list(spark, d))
+
+
+@query(r"""
+with a as (select distinct account from scanned_message)
+select account, case when length(account) % 2 = 0 then 'INBOX.' || x else x end as folder
+from a, (values ('Archive/Invoices'), ('Team/2022')) v(t), lateral (select case when length(account) % 2 = 0 then replace(t, '/', '.') else t end as x)""")
+def move_targets(spark, d):
+    """Server names of the move destinations."""
+    ns = folder_list(spark, d).select("account").distinct()
+    dotted = F.length("account") % 2 == 0
+    ns = ns.select("account", F.when(dotted, "INBOX.").otherwise("").alias("prefix"), F.when(dotted, ".").otherwise("").alias("delimiter"))
+    return fetch.move_targets(RULES, ns)
+
+
+@query(r"""
+with f as (select distinct account, folder from scanned_message)
+select account, folder from f where folder <> 'INBOX/Projects'""")
+def move_target_exclusion(spark, d):
+    """Folders without move targets nobody lists."""
+    rules = [R.Rule("x", move_to="INBOX/Projects"), R.Rule("y", move_to="Lists", folders=("Lists",))]
+    folders = folder_list(spark, d).select("account", "folder")
+    ns = folders.select("account").distinct().select("account", F.lit("").alias("prefix"), F.lit("/").alias("delimiter"))
+    return fetch.without_move_targets(folders, fetch.move_targets(rules, ns), rules)
+
+
+@query("select s.hdr_id from scanned_message s anti join delivered d using (account, folder, uidvalidity, uid)")
+def delivered_anti(spark, d):
+    """Messages not delivered yet."""
+    return st.not_delivered(table(spark, d, "scanned_message"), table(spark, d, "delivered")).select("hdr_id")
+
+
+@query("select cast(count(*) as bigint) as already_archived from scanned_message s semi join delivered d using (account, folder, uidvalidity, uid)")
+def already_archived_count(spark, d):
+    """Count of messages delivered before."""
+    return st.already_delivered(table(spark, d, "scanned_message"), table(spark, d, "delivered")).agg(F.count(F.lit(1)).alias("already_archived"))
+
+
+@query(f"""with {MBOX}, {HITS}, {STATE}
+select hits.account, hits.folder, hits.uidvalidity, hits.uid, {RULE_NAMES}[ordinal + 1] as profile, cast(row_number() over (partition by hits.hdr_id order by k) as integer) as step_no, step, argument
+from hits join state on hits.account = state.account and hits.folder = state.folder and hits.uidvalidity = state.uidvalidity and hits.uid = state.uid
+  join (select distinct account, filename from state where filename <> '?' and uid % 3 <> 0) a on a.account = hits.account and a.filename = state.filename
+  join (values (0, 1, 'move', 'Archive/Invoices'), (2, 1, 'label', 'list'), (3, 1, 'label', 'team'), (3, 2, 'move', 'Team/2022'), (4, 1, 'delete', '')) v(o, k, step, argument) on v.o = ordinal""")
+def retry_actions(spark, d):
+    """Server actions due on delivered mail whose archive file exists."""
+    p = fetch_plan(spark, d, with_archive=True)
+    known = state_of(spark, d).select(*st.KEY)
+    return p.actions.join(known, st.KEY, "left_semi")
+
+
+@query(f"""with {MBOX}, {HITS}
+select account, folder, uidvalidity, uid, {RULE_NAMES}[ordinal + 1] as profile, cast(k as integer) as step_no, step, argument
+from hits join (values (0, 1, 'move', 'Archive/Invoices'), (2, 1, 'label', 'list'), (3, 1, 'label', 'team'), (3, 2, 'move', 'Team/2022'), (4, 1, 'delete', '')) v(o, k, step, argument) on v.o = ordinal""")
+def post_fetch_steps(spark, d):
+    """Ordered server actions of every matched message."""
+    return fetch_plan(spark, d).actions
+
+
+@query(f"""with {MBOX}, {HITS}
+select {RULE_NAMES}[ordinal + 1] as profile, account, folder, uid, subject,
+  ['move to Archive/Invoices', 'none', 'label list', 'label team and move to Team/2022', 'delete'][ordinal + 1] as action
+from hits anti join delivered using (account, folder, uidvalidity, uid) where ordinal is not null""")
+def planned_delivery(spark, d):
+    """Dry run: what would be delivered, and the action to follow."""
+    return fetch_plan(spark, d).planned
+
+
+@query(f"with {STATE} select * from state")
+def state_insert_or_ignore(spark, d):
+    """State of the delivery log, first write wins."""
+    return state_of(spark, d)
+
+
+@query(f"with {STATE} select * from state where profile is distinct from 'orders_00'")
+def state_clear_profile(spark, d):
+    """State after a targeted clear."""
+    kept, _ = st.clear(state_of(spark, d), "orders_00")
+    return kept
+
+
+@query("select cast(count(*) filter (where profile is null) as bigint) as untracked from delivered")
+def state_untracked(spark, d):
+    """Legacy rows without a profile."""
+    return st.untracked(st.migrate(table(spark, d, "delivered")))
+
+
+SAFE = r"trim(regexp_replace(regexp_replace({x}, '[/\\:*?\"<>|]', '_', 'g'), '[\s\x1c-\x1f_]+', '_', 'g'), '_')"
+
+
+@query(
+    f"""with {MBOX}, b as (
+  select hdr_id, {SAFE.format(x="concat(coalesce(strftime(coalesce(date_wall, received_wall), '%Y-%m-%d_%H-%M-%S'), ''), '_', 'demo', '_', subject)")} as safe from mbox where regexp_full_match(subject, '[\\x20-\\x7e]*')
+)
+select hdr_id, case when safe = '' then 'email' else safe end as base_name from b"""
+)
+def base_name(spark, d):
+    """File names of messages with plain subjects."""
+    name = X.base_name(F.coalesce("date_wall", "received_wall"), F.lit("demo"), F.col("subject"))
+    return mbox(spark, d).where(F.col("subject").rlike(r"^[\x20-\x7e]*\z")).select("hdr_id", name.alias("base_name"))
+
+
+@query(rf"select part_id, {SAFE.format(x='nfc_normalize(filename)')} as safe from attachment_part where not regexp_matches(filename, '[\x80-\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
+def sanitize_nfc(spark, d):
+    """Safe file names (compared where blanks are plain)."""
+    a = table(spark, d, "attachment_part").where(~F.col("filename").rlike(r"[\x80-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
+    return a.select("part_id", X.sanitize(F.col("filename")).alias("safe"))
+
+
+@query(r"""
+with t as (select doc_id, text from documents where text is not null),
+c as (select doc_id, text, unnest(generate_series(190, 200)) as n from t where strlen(text) > 200),
+p as (select doc_id, max(n) as n from (select doc_id, n, left(text, cast(n as integer)) as x from (select doc_id, text, unnest(generate_series(50, 200)) as n from t where strlen(text) > 200)) where strlen(x) <= 200 group by doc_id)
+select t.doc_id, rtrim(case when strlen(text) <= 200 then text else left(text, cast(p.n as integer)) end, ' ') as cut from t left join p using (doc_id)""")
+def truncate_bytes(spark, d):
+    """Texts capped at 200 bytes on a character."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.truncate_bytes(F.col("text")).alias("cut"))
+
+
+@query(r"""
+with v(t, n) as (values ('512', 512), ('5 MB', 5242880), ('1.5kb', 1536), ('2G', 2147483648), (' 7 b ', 7), ('', null), ('MB', null), ('-5', null), ('five', null))
+select t, cast(n as bigint) as size from v""")
+def parse_size(spark, d):
+    """Size literals of the rule language."""
+    rows = [("512",), ("5 MB",), ("1.5kb",), ("2G",), (" 7 b ",), ("",), ("MB",), ("-5",), ("five",)]
+    return spark.createDataFrame(rows, "t string").select("t", X.parse_size(F.col("t")).alias("size"))
+
+
+@query(r"""
+select hdr_id, case when rfc822_size is null then null when rfc822_size < 1024 then concat(rfc822_size, ' B')
+  when rfc822_size < 1048576 then concat(printf('%.1f', rfc822_size / 1024.0), ' KB')
+  when rfc822_size < 1073741824 then concat(printf('%.1f', rfc822_size / 1048576.0), ' MB')
+  else concat(printf('%.1f', rfc822_size / 1073741824.0), ' GB') end as size
+from scanned_message""")
+def format_size(spark, d):
+    """Human sizes."""
+    return table(spark, d, "scanned_message").select("hdr_id", X.format_size(F.col("rfc822_size")).alias("size"))
+
+
+@query(f"with {MBOX} select hdr_id, coalesce(strftime(date_wall, '%d.%m.%Y %H:%M'), '') as shown from mbox")
+def format_date_human(spark, d):
+    """Human dates."""
+    return mbox(spark, d).select("hdr_id", X.format_date_human(F.col("date_wall")).alias("shown"))
+
+
+@query(r"""
+select t, n as safe from (values ('../../etc/passwd', 'passwd'), ('a\b.txt', 'b.txt'), ('..', 'attachment'), ('.', 'attachment'), ('', 'attachment'), ('  ', 'attachment'), ('ok.pdf', 'ok.pdf'), ('dir/', 'dir')) v(t, n)""")
+def safe_attachment_name(spark, d):
+    """Attachment names without paths."""
+    rows = [("../../etc/passwd",), ("a\\b.txt",), ("..",), (".",), ("",), ("  ",), ("ok.pdf",), ("dir/",)]
+    return spark.createDataFrame(rows, "t string").select("t", X.safe_attachment_name(F.col("t")).alias("safe"))
+
+
+SNIFF = """case when starts_with(h, '255044462D') then 'application/pdf' when starts_with(h, '89504E470D0A1A0A') then 'image/png' when starts_with(h, 'FFD8FF') then 'image/jpeg'
+  when h[:12] in ('474946383761', '474946383961') then 'image/gif' when h[:8] in ('49492A00', '4D4D002A') then 'image/tiff'
+  when h[:8] = '52494646' and h[17:24] = '57454250' then 'image/webp' end"""
+KINDS = f"""
+parts as (select *, hex(content) as h, lower(regexp_extract(filename, '^(?:.*/)?[^/]+\\.([^./]+)$', 1)) as suffix from attachment_part),
+kinds as (select *, coalesce({SNIFF}, lower(content_type)) as mime from parts),
+sorted as (select *, case when mime = 'application/pdf' then 'PDF' when mime in ('image/jpeg', 'image/jpg', 'image/png', 'image/gif', 'image/tiff', 'image/webp', 'image/heic', 'image/heif', 'image/avif') then 'IMAGE'
+  when coalesce(mime in ('text/plain', 'text/markdown', 'text/x-markdown'), false) or coalesce(suffix in ('txt', 'md', 'markdown', 'text'), false) then 'TEXT' else 'OPAQUE' end as kind from kinds)"""
+
+
+@query(f"with {KINDS} select part_id, mime, kind from sorted")
+def sniff_classify(spark, d):
+    """Types by content and kinds of attachments."""
+    c = [F.col("content"), F.col("content_type"), F.col("filename")]
+    return table(spark, d, "attachment_part").select("part_id", A.effective_mime(*c[:2]).alias("mime"), A.classify(*c).alias("kind"))
+
+
+@query("select doc_id, text as decoded from documents")
+def decode_text(spark, d):
+    """Bytes to text: UTF-8, else Latin-1."""
+    return table(spark, d, "documents").select("doc_id", X.decode_bytes(F.encode("text", "UTF-8")).alias("decoded"))
+
+
+def raw_mail(spark: SparkSession, d: str) -> DataFrame:
+    """RFC 822 bytes of documents: encoded subject, text body and one attachment."""
+    b64 = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", "")
+    subject = F.concat(F.lit("Nachricht é "), F.col("doc_id").cast("string"))
+    lines = [
+        F.lit("From: Sender <sender@example.org>"), F.concat(F.lit("To: r"), F.col("doc_id").cast("string"), F.lit("@example.org")),
+        F.concat(F.lit("Subject: =?utf-8?B?"), b64(subject), F.lit("?=")), F.lit("Date: Tue, 02 Jan 2024 10:20:30 +0100"),
+        F.concat(F.lit("Message-ID: <"), F.col("doc_id").cast("string"), F.lit("@example.org>")), F.lit("MIME-Version: 1.0"),
+        F.lit('Content-Type: multipart/mixed; boundary="edge"'), F.lit(""), F.lit("--edge"), F.lit("Content-Type: text/plain; charset=utf-8"),
+        F.lit("Content-Transfer-Encoding: base64"), F.lit(""), b64(F.col("text")), F.lit("--edge"), F.lit('Content-Type: application/octet-stream; name="data.bin"'),
+        F.lit('Content-Disposition: attachment; filename="data.bin"'), F.lit("Content-Transfer-Encoding: base64"), F.lit(""), b64(F.col("source")), F.lit("--edge--"), F.lit(""),
+    ]
+    return table(spark, d, "documents").where("text is not null and source is not null").select("doc_id", F.encode(F.concat_ws("\r\n", *lines), "UTF-8").alias("raw"))
+
+
+def parsed(spark: SparkSession, d: str) -> DataFrame:
+    return spread(raw_mail(spark, d)).select("doc_id", M.parse_mail("raw").alias("m"))
+
+
+@query("""
+select doc_id, concat('Nachricht é ', doc_id) as subject, concat('r', doc_id, '@example.org') as recipient, concat('<', doc_id, '@example.org>') as message_id,
+  '2024-01-02 10:20:30' as wall, 60 as offset_min from documents where text is not null and source is not null""")
+def mime_headers_roundtrip(spark, d):
+    """Headers of synthesised mails equal what they were made of."""
+    return parsed(spark, d).select("doc_id", "m.subject", F.col("m.to").alias("recipient"), "m.message_id", F.date_format("m.wall", "yyyy-MM-dd HH:mm:ss").alias("wall"), "m.offset_min")
+
+
+@query("select doc_id, text as body from documents where text is not null and source is not null")
+def mime_body_roundtrip(spark, d):
+    """Bodies of synthesised mails."""
+    return parsed(spark, d).select("doc_id", F.col("m.text_body").alias("body"))
+
+
+@query("select doc_id, 1 as part_no, 'data.bin' as filename, source as content from documents where text is not null and source is not null")
+def mime_parts(spark, d):
+    """Attachments of synthesised mails, exploded."""
+    p = parsed(spark, d).select("doc_id", F.posexplode("m.attachments").alias("k", "a"))
+    return p.select("doc_id", (F.col("k") + 1).alias("part_no"), "a.filename", F.decode("a.content", "UTF-8").alias("content"))
+
+
+@query("select hdr_id, coalesce(nullif(trim(message_id, ' '), ''), concat_ws('|', coalesce(from_, ''), coalesce(subject, ''), coalesce(date_, ''))) as first_line, concat('sha256:', sha256(coalesce(subject, ''))) as hash_line from mail_headers")
+def identity_hash(spark, d):
+    """Identity lines of mails."""
+    h = table(spark, d, "mail_headers")
+    i = naming.identity(F.col("message_id"), F.col("from_"), F.col("subject"), F.col("date_"), F.coalesce("subject", F.lit("")).cast("binary"))
+    return h.select("hdr_id", i.alias("i")).select("hdr_id", F.col("i.primary").alias("first_line"), F.col("i.sha256").alias("hash_line"))
+
+
+@query("""
+select n, same from (values (1, true), (2, false), (3, true), (4, false), (5, false)) v(n, same)""")
+def same_mail(spark, d):
+    """Pairs of manifests."""
+    rows = [(1, "a\nsha256:1", "b\nsha256:1"), (2, "a\nsha256:1", "a\nsha256:2"), (3, "a", "a\nsha256:2"), (4, None, "a"), (5, "x", "y\nsha256:1")]
+    pairs = spark.createDataFrame(rows, "n int, stored string, current string")
+    return pairs.select("n", naming.same_mail(F.col("stored"), F.col("current")).alias("same"))
+
+
+@query("select source, min(doc_id) as doc_id, cast(count(*) as bigint) as copies from documents where text is not null and source is not null group by source, text")
+def content_dedup(spark, d):
+    """Distinct contents of every source."""
+    docs = table(spark, d, "documents").where("text is not null and source is not null")
+    return naming.content_dedup(docs, ["source"], "text", "doc_id").select("source", "doc_id", "copies")
+
+
+@query("""
+with f as (select source, md5(text) as ident, min(doc_id) as first_id from documents where text is not null and source is not null group by 1, 2),
+k as (select *, row_number() over (partition by source order by first_id) as n from f)
+select d.doc_id, case when n = 1 then k.source else concat(k.source, '-', n) end as name, d.doc_id > first_id as skip
+from documents d join k on d.source = k.source and md5(d.text) = k.ident""")
+def unique_names(spark, d):
+    """Collision-free names by source, in order of doc_id."""
+    docs = table(spark, d, "documents").where("text is not null and source is not null").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("ident"))
+    return naming.unique_names(docs, "source", "ident", ["doc_id"]).select("doc_id", "name", "skip")
+
+
+@query("select n, name, skip from (values (1, 'x', false), (2, 'x-2', false), (3, 'x', true), (4, 'x-3', false), (5, 'x-2-2', false)) v(n, name, skip)")
+def unique_names_cross(spark, d):
+    """Exact probing where a base meets a numbered name."""
+    rows = [(1, "x", "a"), (2, "x-2", "b"), (3, "x", "a"), (4, "x", "c"), (5, "x-2", "d")]
+    mails = spark.createDataFrame(rows, "n int, base string, ident string").withColumn("grp", F.regexp_replace("base", r"(-\d+)+$", ""))
+    return naming.unique_names_probe(mails, "grp", "base", "ident", ["n"]).select("n", "name", "skip")
+
+
+@query(r"""select mail_id, not regexp_matches(html_body, '(?i)<(a|b|i|img|table|tr|td|ul|li|h1|strong|em|u)[ >]') and not regexp_matches(html_body, '(?i)\b(background|border)\b') and trim(html_body) <> '' as trivial from parsed_mail where html_body is not null""")
+def html_trivial(spark, d):
+    """Pages that show nothing beyond their text."""
+    return spread(table(spark, d, "parsed_mail").where("html_body is not null").select("mail_id", "html_body")).select("mail_id", H.html_is_trivial("html_body").alias("trivial"))
+
+
+@query()
+def html_to_text(spark, d):
+    """Plain text of pages."""
+    return spread(table(spark, d, "parsed_mail").where("html_body is not null").select("mail_id", "html_body")).select("mail_id", H.html_to_text("html_body").alias("text"))
+
+
+def audited_pages(spark: SparkSession, d: str) -> DataFrame:
+    page = F.concat(
+        F.lit('<img src="https://t'), (F.col("mail_id") % 5).cast("string"), F.lit('.track.example/p.gif"><img src="cid:none"><div style="background:url(//cdn.example/b.png)" onclick="x()">'),
+        F.coalesce("html_body", F.lit("")), F.lit("</div><script>1</script>"),
+    )
+    no_parts = F.array().cast("array<struct<content_id:string,content_location:string,content_type:string,content:binary>>")
+    pages = spread(table(spark, d, "parsed_mail").select("mail_id", page.alias("page")))
+    return pages.select("mail_id", H.page_cleaner()("page", no_parts).alias("c"))
+
+
+@query(r"""
+select mail_id, concat('https://t', mail_id % 5, '.track.example/p.gif,//cdn.example/b.png') as blocked, concat_ws(',', 'cid:none', nullif(regexp_extract(html_body, '<img src="(cid:[^"]*)"', 1), '')) as unresolved, false as active from parsed_mail""")
+def html_clean_audit(spark, d):
+    """References that cleaning blocks or can't resolve."""
+    c = audited_pages(spark, d)
+    return c.select(
+        "mail_id", F.array_join("c.blocked_remote", ",").alias("blocked"), F.array_join("c.unresolved_cids", ",").alias("unresolved"),
+        F.col("c.html").rlike("(?i)<script|onclick").alias("active"),
+    )
+
+
+@query("""
+select host, cast(count(*) as bigint) as n from (
+  select concat('t', mail_id % 5, '.track.example') as host from parsed_mail union all select 'cdn.example' from parsed_mail) group by host""")
+def tracker_domains(spark, d):
+    """Hosts of blocked references."""
+    urls = audited_pages(spark, d).select(F.explode("c.blocked_remote").alias("url"))
+    return urls.groupBy(F.parse_url(F.regexp_replace("url", "^//", "http://"), F.lit("HOST")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {KINDS}
+select part_id, kind, cast(octet_length(content) as bigint) as size,
+  case when coalesce(octet_length(content), 0) = 0 then 'EMPTY' when octet_length(content) > 30 then 'TOO_LARGE' when kind = 'OPAQUE' then 'UNSUPPORTED_TYPE' end as reason from sorted""")
+def conversion_outcome(spark, d):
+    """Attachments that are not converted, and why (cap of 30 bytes)."""
+    return render.attachment_plan(table(spark, d, "attachment_part"), F.lit(30)).select("part_id", "kind", "size", "reason")
+
+
+@query(r"""
+with m as (
+  select mail_id, 1 + mail_id % 2 as pages, html_body is not null and html_body <> '' and (regexp_matches(html_body, '(?i)<(a|b|i|img|table|tr|td|ul|li|h1|strong|em|u)[ >]') or regexp_matches(html_body, '(?i)\b(background|border)\b')) as visual,
+    (coalesce(text_body, '') <> '' or html_body is not null) as has_text from parsed_mail
+), p as (
+  select mail_id, list_filter([case when visual and pages > 1 then 'faithful' end, case when visual and pages > 1 then 'section' end, case when visual then 'reflowed' end,
+    case when visual and has_text then 'section' end, case when has_text then 'text' end, case when not visual and not has_text then 'header' end], lambda x: x is not null) as l from m
+)
+select mail_id, cast(k as integer) as page_no, l[k] as part from p, lateral (select unnest(generate_series(1, len(l))) as k)""")
+def page_plan(spark, d):
+    """Ordered body pages of every mail, given page counts."""
+    mails = table(spark, d, "parsed_mail").withColumn("html_pages", (1 + F.col("mail_id") % 2).cast("int"))
+    return render.body_plan(spread(mails)).select("mail_id", "page_no", "part")
+
+
+def rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Render results derived from deliveries."""
+    x = table(spark, d, "delivered")
+    return x.select("hdr_id", (F.col("uid") % 4 > 0).alias("written"), (F.col("uid") % 4 == 0).alias("skipped"), (F.col("uid") % 7 > 0).alias("complete"), (F.col("uid") % 11 > 0).alias("html_rendered"))
+
+
+@query("""
+select cast(count(*) filter (where uid % 4 > 0) as bigint) as written, cast(count(*) filter (where uid % 4 = 0) as bigint) as skipped,
+  cast(count(*) filter (where uid % 4 > 0 and uid % 7 = 0) as bigint) as incomplete, cast(count(*) filter (where uid % 4 > 0 and uid % 11 = 0) as bigint) as html_fallback from delivered""")
+def run_report(spark, d):
+    """Counts of a render run."""
+    return render.run_report(rendered(spark, d))
+
+
+def archive_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered folders of deliveries with a file name."""
+    x = table(spark, d, "delivered").where("filename is not null and profile is not null").join(table(spark, d, "mail_headers").select("hdr_id", "message_id"), "hdr_id")
+    staging = F.col("uid") % 50 == 0
+    name = F.concat(F.when(staging, audit.STAGING).otherwise(""), F.regexp_replace("filename", r"\.eml$", ""))
+    ident = F.when(F.col("uid") % 13 > 0, F.concat(F.coalesce("message_id", F.lit("-")), F.lit("\nsha256:"), F.sha2(F.coalesce("message_id", F.lit("-")), 256)))
+    return x.select("profile", name.alias("name"), ident.isNotNull().alias("has_manifest"), ident.alias("identity"), (F.col("uid") % 17 > 0).alias("has_pdf")).where((F.col("hdr_id") % 5 > 0) | staging)
+
+
+FOLDERS = r"""
+folders as (
+  select profile, concat(case when uid % 50 = 0 then '.staging-' else '' end, regexp_replace(filename, '\.eml$', '')) as name, uid % 13 > 0 as has_manifest,
+    case when uid % 13 > 0 then concat(coalesce(message_id, '-'), chr(10), 'sha256:', sha256(coalesce(message_id, '-'))) end as identity, uid % 17 > 0 as has_pdf
+  from delivered join (select hdr_id, message_id from mail_headers) h using (hdr_id) where filename is not null and profile is not null and (hdr_id % 5 > 0 or uid % 50 = 0)
+), files as (
+  select profile, regexp_replace(filename, '\.eml$', '') as stem, message_id, concat('sha256:', sha256(coalesce(message_id, '-'))) as hash
+  from delivered join (select hdr_id, message_id from mail_headers) h using (hdr_id) where filename is not null and profile is not null
+)"""
+FINDINGS = """
+dup as (select 'duplicate' as kind, 'WARN' as severity, profile, string_agg(name, ', ' order by name) as detail from folders where not starts_with(name, '.staging-') and identity is not null group by profile, identity having count(*) > 1),
+fold as (
+  select 'staging' as kind, 'WARN' as severity, profile, name as detail from folders where starts_with(name, '.staging-')
+  union all select 'no-manifest', 'WARN', profile, name from folders where not starts_with(name, '.staging-') and not has_manifest
+  union all select 'incomplete', 'FAIL', profile, name from folders where not starts_with(name, '.staging-') and not has_pdf
+), lines as (select distinct profile, unnest(string_split(identity, chr(10))) as line from folders where identity is not null),
+rest as (
+  select f.profile, stem from files f where not exists (select 1 from folders x where x.profile = f.profile and x.name = f.stem)
+    and not exists (select 1 from lines l where l.profile = f.profile and l.line = f.message_id) and not exists (select 1 from lines l where l.profile = f.profile and l.line = f.hash)
+), unr as (
+  select 'unrendered' as kind, 'WARN' as severity, profile,
+    concat(count(*), ': ', array_to_string(list_sort(list(stem))[1:5], ', '), case when count(*) > 5 then ', …' else '' end) as detail from rest group by profile
+), found as (select * from dup union all select * from fold union all select * from unr)"""
+
+
+def archive_files(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "delivered").where("filename is not null and profile is not null").join(table(spark, d, "mail_headers").select("hdr_id", "message_id"), "hdr_id")
+    return x.select("profile", F.regexp_replace("filename", r"\.eml$", "").alias("stem"), "message_id", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("message_id", F.lit("-")), 256)).alias("sha256"))
+
+
+@query(f"with {FOLDERS}, {FINDINGS} select * from dup")
+def verify_duplicates(spark, d):
+    """Mails rendered more than once."""
+    return audit.duplicates(archive_folders(spark, d))
+
+
+@query(f"with {FOLDERS}, {FINDINGS} select * from fold")
+def verify_folder_findings(spark, d):
+    """Staging leftovers, missing manifests, missing PDFs."""
+    return audit.folder_findings(archive_folders(spark, d))
+
+
+@query(f"with {FOLDERS}, {FINDINGS} select * from unr")
+def verify_unrendered(spark, d):
+    """Mails never rendered, by profile."""
+    return audit.unrendered(archive_files(spark, d), archive_folders(spark, d))
+
+
+@query(f"""with {FOLDERS}, {FINDINGS}
+select profile, kind, severity, cast(count(*) as bigint) as n, case when count(*) = 1 then min(detail) end as detail from found where severity <> 'FAIL' group by all
+union all select profile, kind, severity, cast(1 as bigint), detail from found where severity = 'FAIL'""")
+def verify_summary(spark, d):
+    """Findings, warnings collapsed."""
+    profiles = table(spark, d, "delivered").where("profile is not null and filename is not null").select("profile").distinct().withColumn("pdf", F.lit(True))
+    return audit.summary(audit.findings(archive_files(spark, d), archive_folders(spark, d), profiles))
+
+
+@query(f"""with {FOLDERS} select case when count(*) filter (where not starts_with(name, '.staging-') and not has_pdf) > 0 then 1 else 0 end as exit_code from folders""")
+def verify_exit_code(spark, d):
+    """1 if any finding is a failure."""
+    return audit.exit_code(audit.folder_findings(archive_folders(spark, d)))
+
+
+@query("""
+with box as (select distinct message_id, subject from mail_headers where hdr_id % 2 = 0 and message_id is not null and subject is not null)
+select h.hdr_id, case when b.message_id is not null then 'SKIPPED' else 'RESTORED' end as outcome from mail_headers h left join box b on h.message_id = b.message_id and h.subject = b.subject""")
+def restore_plan(spark, d):
+    """Archived mails already in the mailbox, and those to upload."""
+    h = table(spark, d, "mail_headers")
+    return audit.restore_plan(h.select("hdr_id", "message_id", "subject"), h.where("hdr_id % 2 = 0")).select("hdr_id", "outcome")
+
+
+@query("select cast(min(hdr_id) as bigint) as position, concat('/in/', folder, '.eml') as path from scanned_message group by folder")
+def collect_distinct(spark, d):
+    """Distinct paths, first mention kept."""
+    s = table(spark, d, "scanned_message").select(F.col("hdr_id").alias("position"), F.concat(F.lit("/in/"), "folder", F.lit(".eml")).alias("path"))
+    return mailbox.collect_paths(s).select("position", "path")
+
+
+@query("""
+select cast((doc_id - doc_id % 4) // 4 as bigint) as batch, cast(row_number() over (partition by (doc_id - doc_id % 4) // 4 order by doc_id) - 1 as integer) as position, concat('/pdf/', doc_id) as path, doc_id % 3 > 0 as compliant from documents""")
+def validation_json(spark, d):
+    """Validator reports paired with their paths by position."""
+    docs = table(spark, d, "documents").select("doc_id", F.floor((F.col("doc_id") - F.col("doc_id") % 4) / 4).alias("batch"))
+    verdict = F.when(F.col("doc_id") % 3 > 0, '{"validationResult": [{"compliant": true}]}').otherwise('{"other": 1}')
+    job = F.array_sort(F.collect_list(F.struct("doc_id", verdict.alias("j"))))
+    reports = docs.groupBy("batch").agg(job.alias("jobs")).select(
+        "batch", F.transform("jobs", lambda x: F.concat(F.lit("/pdf/"), x["doc_id"].cast("string"))).alias("paths"),
+        F.concat(F.lit('{"report": {"jobs": ['), F.array_join(F.transform("jobs", lambda x: x["j"]), ","), F.lit("]}}")).alias("json"),
+    )
+    return render.validation_results(reports, "paths", "json")
+
+
+@query("select lower(name) as name, host, port, concat('user@', host) as user, ssl from account")
+def accounts_pivot(spark, d):
+    """Accounts of key/value settings."""
+    a = table(spark, d, "account")
+    pair = lambda f, v: F.struct(F.concat(F.lit("IMAP_"), F.upper("name"), F.lit(f"_{f}")).alias("key"), v.cast("string").alias("value"))
+    rows = a.select(F.explode(F.array(pair("HOST", F.col("host")), pair("PORT", F.col("port")), pair("SSL", F.col("ssl")), pair("USER", F.concat(F.lit("user@"), "host")))).alias("p"))
+    return config.pivot_accounts(rows.select("p.key", "p.value"))
+
+
+@query("select p.ordinal, p.name, a.host from profile p join account a on lower(p.account) = lower(a.name)")
+def profile_accounts(spark, d):
+    """Profiles with their accounts, names case-blind."""
+    p, a = table(spark, d, "profile"), table(spark, d, "account")
+    return p.join(a, F.lower(p["account"]) == F.lower(a["name"])).select(p["ordinal"], p["name"], a["host"])
+
+
+@query("select account, folder, uidvalidity, uid, cast(count(*) as bigint) as n from (select distinct account, folder, uidvalidity, uid from scanned_message) group by all")
+def delivery_stream(spark, d):
+    """Delivered keys after streaming all available messages."""
+    source = table(spark, d, "scanned_message").select(*st.KEY)
+    stream = spark.readStream.schema(table(spark, d, "scanned_message").schema).parquet(_folder_of(d, "scanned_message"))
+    state = delivery.delivered_by_stream(stream.select(*st.KEY))
+    return state.select(*source.columns).groupBy(*st.KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _folder_of(d: str, name: str) -> str:
+    """A pattern that a file stream takes for one table, single file or folder."""
+    return f"{d}/{name}.parque[t]"
+
+
+@query("select account, cast(grouping(account) as integer) as total, cast(count(*) as bigint) as n from scanned_message group by rollup (account)")
+def delivered_rollup(spark, d):
+    """Counts per account and in total."""
+    return table(spark, d, "scanned_message").rollup("account").agg(F.grouping("account").cast("int").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select account, folder, uid, rfc822_size as size from scanned_message where account = 'tarnwell_private' and rfc822_size > 100000")
+def snapshot_pushdown(spark, d):
+    """Snapshot source with pushed equality and size filters."""
+    mailbox.register(spark)
+    s = spark.read.format("mail_snapshot").load(f"{d}/scanned_message.parquet")
+    return s.where("account = 'tarnwell_private' and size > 100000").select("account", "folder", "uid", "size")
+
+
+@query(r"select hdr_id, lower(coalesce(nullif(trim(regexp_extract(from_, '<([^>]+)>', 1), ' '), ''), trim(from_, ' '))) as addr from mail_headers")
+def sender_address(spark, d):
+    """Bare sender addresses."""
+    return table(spark, d, "mail_headers").select("hdr_id", fetch.sender(F.col("from_")).alias("addr"))
+
+
+@query("""
+select case when has_flag then 'x' end as a, profile, cast(count(*) as bigint) as n, array_to_string(list_sort(list(filename))[1:10], ', ') as first_names
+from (select false as has_flag, coalesce(profile, '?') as profile, filename from delivered where filename is not null) group by all""")
+def report_names(spark, d):
+    """First ten file names of every profile."""
+    x = table(spark, d, "delivered").where("filename is not null").withColumn("profile", F.coalesce("profile", F.lit("?")))
+    counts = x.groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
+    names = audit.smallest(x, "profile", "filename", 10)
+    return counts.join(names, "profile").select(F.lit(None).cast("string").alias("a"), "profile", "n", F.array_join("names", ", ").alias("first_names"))
+
+
+@query("select part_id, concat('data:', content_type, ';base64,', to_base64(content)) as uri from attachment_part")
+def data_uris(spark, d):
+    """Attachments as data URIs."""
+    return table(spark, d, "attachment_part").select("part_id", X.data_uri(F.col("content"), F.col("content_type")).alias("uri"))
