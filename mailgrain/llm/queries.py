@@ -91,4 +91,11 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_report": p9_report,
 }
-SQL = {}
+SQL = {
+    "p7_found": r"""
+with d as (select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(nfc_normalize(regexp_extract(trim(text, chr(10) || chr(13) || ' '), '^(?s)(.*?)(\n\s*\n|$)', 1))), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
+dg as (select doc_id, array_to_string(w[k:k + 12], ' ') as g from d, lateral (select unnest(generate_series(1, len(w) - 12)) as k)),
+ig as (select distinct item_id, array_to_string(w[k:k + 12], ' ') as g from i, lateral (select unnest(generate_series(1, len(w) - 12)) as k))
+select distinct doc_id, item_id from dg join ig using (g)""",
+}
