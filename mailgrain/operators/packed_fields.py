@@ -166,22 +166,38 @@ def parse(tokens: list[tuple[str, str]], separators: str) -> list[tuple[str, str
     return values
 
 
-def bits(values: list[tuple[str, str | None, str]], separators: str, model: dict[str, float]) -> float:
-    """Length of a parse in bits: types, separators and letters that fit no type."""
-    per_gap = 1.0 + math.log2(len(separators))
-    return sum(model[t] + LITERAL_BITS * len(lit) for t, _, lit in values) + per_gap * (len(values) - 1)
+#: Fields of one plain value, which every dialect reads alike: type -> form.
+_SINGLE = re.compile(
+    r"(?P<bare>(?:mailto:)?[\w.+-]+@[\w-]+(?:\.[\w-]+)*)|(?P<angle><[^<>\"'@]+@[^<>\"'@]+>)"
+    r"|(?P<name_angle>[^\W\d_][\w.-]*(?: [^\W\d_][\w.-]*)* <[^<>\"'@]+@[^<>\"'@]+>)"
+    r'|(?P<quoted_name_angle>"(?:\\.|[^"\\])*" <[^<>"\'@]+@[^<>"\'@]+>)'
+)
 
 
 def choose(text: str, types: dict[str, float], dialects: dict[str, float]):
-    """(dialect, values) of the cheapest parse; ties go to the earlier dialect."""
+    """(dialect, values) of the cheapest parse; ties go to the earlier dialect.
+
+    Dialects that differ only in separators the field doesn't hold share one parse.
+    """
+    single = _SINGLE.fullmatch(text)
+    if single:
+        kind = single.lastgroup
+        addr = text[text.rindex("<") :] if kind != "bare" else text
+        return "comma", [(kind, _bare("addr" if kind == "bare" else "angle", addr), "")]
     tokens = tokenise(text)
-    kinds = {t for k, t in tokens if k == "delim"} | {c for k, t in tokens if k == "space" for c in t}
+    present = {t for k, t in tokens if k == "delim"} | {c for k, t in tokens if k == "space" for c in t}
+    parses: dict[frozenset[str], tuple[list, float]] = {}
     best = None
     for name, separators in DIALECTS.items():
-        if best is not None and not kinds & set(separators):
+        active = present & set(separators)
+        if best is not None and not active:
             continue
-        values = parse(tokens, separators)
-        cost = bits(values, separators, types) + dialects[name]
+        key = frozenset(active)
+        if key not in parses:
+            values = parse(tokens, separators)
+            parses[key] = values, sum(types[t] + LITERAL_BITS * len(lit) for t, _, lit in values)
+        values, value_bits = parses[key]
+        cost = value_bits + (1.0 + math.log2(len(separators))) * (len(values) - 1) + dialects[name]
         if best is None or cost < best[0]:
             best = (cost, name, values)
     return best[1], best[2]
