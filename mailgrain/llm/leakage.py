@@ -138,6 +138,11 @@ def fold_in(rows: list[list[int]], basis: np.ndarray, idf: np.ndarray) -> np.nda
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
+def word_runs(ids: list[int]) -> set[tuple[int, ...]]:
+    """All runs of RUN known words."""
+    return {tuple(ids[k : k + RUN]) for k in range(len(ids) - RUN + 1) if min(ids[k : k + RUN]) >= 0}
+
+
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest run of words common to both sequences."""
     best, last = 0, np.zeros(len(b) + 1, dtype=np.int32)
@@ -210,6 +215,7 @@ def _leaks_of_block(documents, block, item_type, rank, min_cosine):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         basis, idf, vocabulary, latent, owner, item_ids, answers, names = shared.value
         arrays = [np.array(x) for x in item_ids]
+        item_runs = [word_runs(x) for x in item_ids]
 
         for batch in batches:
             out = []
@@ -225,10 +231,16 @@ def _leaks_of_block(documents, block, item_type, rank, min_cosine):
                 for r, c in zip(*np.nonzero(cosine >= min_cosine), strict=True):
                     pair = of[at + r], int(owner[c])
                     best[pair] = max(best.get(pair, 0.0), float(cosine[r, c]))
+            runs_of: dict[int, set[tuple[int, ...]]] = {}
             for (k, item), cosine in best.items():
-                run = longest_run(np.array(docs[k]), arrays[item])
+                if k not in runs_of:
+                    runs_of[k] = word_runs(docs[k])
+                verbatim = not runs_of[k].isdisjoint(item_runs[item])
                 share = common_subsequence(docs[k], item_ids[item]) / len(item_ids[item])
                 found = len(answers[item] & set(docs[k])) / len(answers[item])
+                if not verbatim and (share < PARAPHRASE_LCS or found < PARAPHRASE_ANSWERS):
+                    continue
+                run = longest_run(np.array(docs[k]), arrays[item])
                 if run >= RUN:
                     kind = "verbatim"
                 elif share >= PARAPHRASE_LCS and found >= PARAPHRASE_ANSWERS:
