@@ -36,6 +36,9 @@ ABBREVIATIONS = {
     "MDT": -360, "PST": -480, "PDT": -420,
 }
 
+#: Words after a clock time that name no zone.
+NO_ZONES = frozenset(["uhr", "h", "local time"])
+
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
 
@@ -128,7 +131,7 @@ _SHAPES = [
     ("epoch_us", re.compile(r"(?P<n>9{15,17})")),
     ("ymd", re.compile(rf"(?P<y>9999)[-/.](?P<m>99?)[-/.](?P<d>99?)[ A]{_CLOCK}{_TAIL}")),
     ("ymd", re.compile(rf"(?P<y>9999)(?P<m>99)(?P<d>99)[ A]?(?P<h>99)(?P<mi>99)(?P<s>99)?(?:[.,]9+)?{_TAIL}")),
-    ("named", re.compile(rf"{_WEEKDAY}(?P<d>99?)\.?[ -](?P<mon>A+)\.?[ -](?P<y>9999|99),? {_CLOCK}(?P<uhr> AAA(?=$))?{_TAIL}")),
+    ("named", re.compile(rf"{_WEEKDAY}(?P<d>99?)\.?[ -](?P<mon>A+)\.?[ -](?P<y>9999|99),? {_CLOCK}{_TAIL}")),
     ("named", re.compile(rf"A+,? (?P<mon>A+) +(?P<d>99?) {_CLOCK} (?:(?P<zone>A+) )?(?P<y>9999)")),
     ("dmy", re.compile(rf"(?P<d>99?)\.(?P<m>99?)\.(?P<y>9999|99),? {_CLOCK}{_TAIL}")),
     ("slash", re.compile(rf"(?P<a>99?)/(?P<b>99?)/(?P<y>9999|99),? {_CLOCK}(?: ?(?P<half>AA)(?= |$))?{_TAIL}")),
@@ -214,7 +217,7 @@ def convert_mask(
     zones = _words(texts, named) if named else [""] * n
     unsettled = np.ones(n, dtype=bool)
     for word in set(zones):
-        if not word:
+        if not word or word.lower() in NO_ZONES:
             continue
         rows = np.fromiter((z == word for z in zones), bool, n)
         if word.upper() in ABBREVIATIONS:
