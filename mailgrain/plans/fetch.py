@@ -31,17 +31,32 @@ def predicates(rules: list[R.Rule]) -> list[tuple[int, Column]]:
     return [(i, R.header_predicate(r, addresses, F.col("subject"), F.col("date_wall"), F.col("received_wall"), F.col("size"))) for i, r in enumerate(rules)]
 
 
-def matched(messages: DataFrame, rules: list[R.Rule], folders: DataFrame, strict: bool = True) -> DataFrame:
+def matched(messages: DataFrame, rules: list[R.Rule], folders: DataFrame, strict: bool = True, names: DataFrame | None = None) -> DataFrame:
     """Messages plus ``ordinal`` of the first rule on their folder that matches (null: none).
 
     ``folders``: account, folder, ordinal (see folder_map).  It has a few rows per
-    account, so its arrays of ordinals join as one small table.
+    account, so its arrays of ordinals join as one small table.  ``names``:
+    hdr_id, name of attachments.  It is read only for messages that a rule with
+    an attachment filter could still win; a message without known attachments
+    matches no such rule.
     """
     scope = folders.groupBy("account", "folder").agg(F.collect_set("ordinal").alias("__scope"))
     wide = with_addresses(messages, rules, strict).join(scope, ["account", "folder"], "left")
     tests = [(i, p & F.coalesce(F.array_contains("__scope", i), F.lit(False))) for i, p in predicates(rules)]
-    out = wide.withColumn("ordinal", R.first_match(tests))
-    return out.drop("__scope", *[c for c in out.columns if c.startswith("__addr_")])
+    filtered = [i for i, r in enumerate(rules) if r.attachments]
+    plain = R.first_match([t for t in tests if t[0] not in filtered]) if len(filtered) < len(rules) else F.lit(None).cast("int")
+    out = wide.withColumn("ordinal", plain)
+    if filtered and names is not None:
+        before = F.coalesce("ordinal", F.lit(len(rules)))
+        open_for = F.filter(F.array(*[F.when(p & (before > i), F.lit(i)) for i, p in tests if i in filtered]), lambda i: i.isNotNull())
+        out = out.withColumn("__open", open_for)
+        asked = out.where(F.size("__open") > 0).select("hdr_id", F.explode("__open").alias("__o"))
+        wins = F.lit(False)
+        for i in filtered:
+            wins = wins | ((F.col("__o") == i) & R.attachment_predicate(rules[i].attachments, F.array("name")))
+        won = asked.join(names.select("hdr_id", "name"), "hdr_id").where(wins).groupBy("hdr_id").agg(F.min("__o").alias("__won"))
+        out = out.join(won, "hdr_id", "left").withColumn("ordinal", F.coalesce("__won", "ordinal"))
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def matched_by_table(messages: DataFrame, rules: list[R.Rule], folders: DataFrame, strict: bool = True) -> DataFrame:
@@ -134,6 +149,23 @@ def without_move_targets(folders: DataFrame, targets: DataFrame, rules: list[R.R
     return folders.join(skipped, ["account", "folder"], "left_anti")
 
 
+def namespace_of(namespaces: DataFrame, folders: DataFrame) -> DataFrame:
+    """account, prefix, delimiter: the server's namespace, else the inbox where its folders lie under it.
+
+    ``namespaces``: account, prefix (null: not told).  ``folders``: account, folder, delimiter.
+    """
+    d = F.coalesce(F.nullif("delimiter", F.lit("")), F.lit("/"))
+    seen = folders.groupBy("account").agg(F.max(d).alias("delimiter"), F.bool_or(F.startswith("folder", F.concat(F.lit("INBOX"), d))).alias("under"))
+    told = namespaces.select("account", F.col("prefix").alias("told"))
+    guess = F.when(F.col("under"), F.concat(F.lit("INBOX"), "delimiter")).otherwise("")
+    return seen.join(told, "account", "left").select("account", F.coalesce("told", guess).alias("prefix"), "delimiter")
+
+
+def envelope_address(parts: Column) -> Column:
+    """Header text of an array of (mailbox, host) structs."""
+    return F.array_join(F.transform(parts, lambda p: F.concat_ws("@", p["mailbox"], p["host"])), ", ")
+
+
 def sender(message: Column) -> Column:
     """Address of a sender header."""
     return F.lower(email_address(message))

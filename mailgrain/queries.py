@@ -15,11 +15,11 @@ from mailgrain.functions import attachments as A
 from mailgrain.functions import markup as H
 from mailgrain.functions import mime as M
 from mailgrain.functions import text as X
-from mailgrain.operators import audit, instants, naming, packed_fields, redelivery
+from mailgrain.operators import audit, instants, naming, packed_fields, redelivery, reports
 from mailgrain.operators import state as st
 from mailgrain.plans import fetch, render
 from mailgrain.plans import rules as R
-from mailgrain.runtime import spread, table
+from mailgrain.runtime import materialise, spread, table
 from mailgrain.sources import config, mailbox
 from mailgrain.streaming import delivery
 
@@ -90,7 +90,7 @@ def folder_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scopes(spark: SparkSession, d: str) -> DataFrame:
-    folders = folder_list(spark, d)
+    folders = materialise(folder_list(spark, d), "folders")  # a few rows per account, read five times
     return R.folder_map(spark, RULES, folders, mailbox.trash_folders(folders))
 
 
@@ -749,3 +749,51 @@ def report_names(spark, d):
 def data_uris(spark, d):
     """Attachments as data URIs."""
     return table(spark, d, "attachment_part").select("part_id", X.data_uri(F.col("content"), F.col("content_type")).alias("uri"))
+
+
+@query(rf"""with {MBOX}, pdf as (select distinct hdr_id from attachment_part where lower(regexp_extract(filename, '^(?:.*/)?[^/]+\.([^./]+)$', 1)) = 'pdf')
+select mbox.hdr_id, cast(case when {GLOBS} and pdf.hdr_id is not null then 0 when size > 100000 then 1 when pdf.hdr_id is not null then 2 end as integer) as ordinal
+from mbox left join pdf on mbox.hdr_id = pdf.hdr_id where size is not null""")
+def first_match_attachments(spark, d):
+    """First match where rules look at attachments, bodies read late."""
+    rules = [R.Rule("bills", subject=RULES[0].subject, attachments=(".PDF",)), R.Rule("large", larger=100_000), R.Rule("pdf", attachments=("pdf",))]
+    box = mbox(spark, d).where("size is not null")
+    scope = folder_list(spark, d).select("account", "folder", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ordinal"))
+    names = table(spark, d, "attachment_part").select("hdr_id", F.col("filename").alias("name"))
+    return fetch.matched(box, rules, scope, strict=False, names=names).select("hdr_id", "ordinal")
+
+
+@query(f"""with {MBOX}, {HITS}, keys as (select distinct account, folder, uidvalidity, uid, 1 as known from delivered),
+r as (select {RULE_NAMES}[ordinal + 1] as profile, count(*) filter (where known is null) as n from hits left join keys using (account, folder, uidvalidity, uid) where ordinal is not null group by 1)
+select concat_ws(chr(10), concat(sum(n), ' delivered'), string_agg(concat('  ', profile, ': ', n), chr(10) order by profile) filter (where n > 0), '3 failed') as summary from r""")
+def fetch_summary(spark, d):
+    """Text of a fetch report; zero counters are left out."""
+    counters = spark.createDataFrame([(3, 0, 0, 0)], "failed long, post_fetch_failed long, already_archived long, post_fetch_skipped long")
+    return reports.summary_text(fetch_plan(spark, d).report, counters)
+
+
+@query("""
+with f as (select distinct source as "group", concat('/pdf/', doc_id % 200) as path from documents where doc_id % 3 = 0 and source is not null),
+c as (select "group", count(*) as n, array_to_string(list_sort(list(path))[1:10], ', ') as names from f group by 1)
+select "group", cast(n as bigint) as n, concat(names, case when n > 10 then concat(' … and ', n - 10, ' more') else '' end) as shown from c""")
+def non_compliant(spark, d):
+    """Failing paths of every group, ten shown."""
+    docs = table(spark, d, "documents").where("source is not null")
+    results = docs.select(F.col("source").alias("group"), F.concat(F.lit("/pdf/"), (F.col("doc_id") % 200).cast("string")).alias("path"), (F.col("doc_id") % 3 != 0).alias("compliant"))
+    return reports.non_compliant(results)
+
+
+@query("""select source, doc_id, cast((row_number() over (partition by source order by doc_id) - 1) // 100 as bigint) as batch from (select distinct source, doc_id from documents)""")
+def validation_batches(spark, d):
+    """Files in batches of a hundred."""
+    return reports.batches(table(spark, d, "documents"), "source", "doc_id")
+
+
+@query("""
+with a as (select distinct account from scanned_message)
+select account, case when length(account) % 3 = 0 then 'mail.' else 'INBOX/' end as prefix, '/' as delimiter from a""")
+def namespaces(spark, d):
+    """Prefix of every account's folders."""
+    folders = folder_list(spark, d)
+    told = folders.select("account").distinct().select("account", F.when(F.length("account") % 3 == 0, "mail.").alias("prefix"))
+    return fetch.namespace_of(told, folders)
