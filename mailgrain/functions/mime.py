@@ -5,7 +5,9 @@ from __future__ import annotations
 import email
 import email.policy
 import email.utils
+import functools
 import unicodedata
+from email.headerregistry import HeaderRegistry
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ MAIL_TYPE = T.StructType(
 )
 
 
+# Parsed headers are immutable texts; the same type and disposition lines come again and again.
+_POLICY = email.policy.default.clone(header_factory=functools.lru_cache(maxsize=16_384)(HeaderRegistry()))
+
+
 def _body(message, kind: str) -> tuple[object, str | None]:
     part = message.get_body(preferencelist=(kind,))
     if part is None:
@@ -72,7 +78,7 @@ def read_mail(raw: bytes | None) -> dict:
     if raw is None:
         return empty | {"ok": False, "error": "no content", "attachments": [], "inline_parts": []}
     try:
-        message = email.message_from_bytes(bytes(raw), policy=email.policy.default)
+        message = email.message_from_bytes(bytes(raw), policy=_POLICY)
         out = dict(empty)
         for field, name in (("from_", "From"), ("to", "To"), ("cc", "Cc"), ("bcc", "Bcc"), ("subject", "Subject")):
             out[field] = str(message.get(name, "") or "")
@@ -117,6 +123,28 @@ def parse_mail(raw: pd.Series) -> pd.DataFrame:
     return frame
 
 
+def read_mails(mails, raw: str, keep: list[str]):
+    """``keep`` and ``m`` (MAIL_TYPE) of every row.
+
+    Unlike parse_mail this is an operator of its own: exploding parts or taking
+    several fields can't make the optimiser parse a mail more than once.
+    """
+    source = mails.select(*keep, F.col(raw).alias("__raw"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for content in batch["__raw"]:
+                mail = read_mail(content)
+                rows.append({name: mail[name] for name in MAIL_TYPE.names})
+            out = batch[keep].copy()
+            out["m"] = pd.Series(rows, dtype=object, index=batch.index)
+            yield out
+
+    fields = [f for f in source.schema.fields if f.name in keep]
+    return source.mapInPandas(run, T.StructType([*fields, T.StructField("m", MAIL_TYPE)]))
+
+
 class MailParts:
     """Table function: one row per part of a mail, numbered from 1."""
 

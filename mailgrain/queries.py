@@ -54,7 +54,7 @@ hits as (
   select mbox.*, case
     when folder = 'INBOX/Invoices' and {GLOBS} and coalesce(size > 5120, true) then 0
     when (folder = 'INBOX' or folder like 'INBOX/%') and {NORDLICHT} and coalesce({DAY} >= date '2020-01-01', true) then 1
-    when folder in ('Lists', 'INBOX') and regexp_matches(subject, '^(Re: )?\\[list-\\d+\\]') then 2
+    when folder in ('Lists', 'INBOX') and regexp_matches(subject, '^(Re: )?\\[list-\\p{{Nd}}+\\]') then 2
     when folder = 'INBOX' and {TEST_TO} and coalesce({DAY} <= date '2022-12-31', true) and coalesce(size < 2097152, true) then 3
     when folder = 'Archive' then 4 end as ordinal
   from mbox
@@ -194,7 +194,7 @@ def match_address_mode(spark, d):
     return m.where(R.address_predicate(rule, F.col("__addr_to"))).select("hdr_id")
 
 
-@query(f"with {MBOX} select hdr_id from mbox where regexp_matches(subject, '^(Re: )?\\[list-\\d+\\]')")
+@query(f"with {MBOX} select hdr_id from mbox where regexp_matches(subject, '^(Re: )?\\[list-\\p{{Nd}}+\\]')")
 def match_subject_regex(spark, d):
     """Subject by unanchored, case-sensitive expression."""
     return mbox(spark, d).where(R.subject_predicate(RULES[2].subject, F.col("subject"))).select("hdr_id")
@@ -436,7 +436,7 @@ def raw_mail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return spread(raw_mail(spark, d)).select("doc_id", M.parse_mail("raw").alias("m"))
+    return M.read_mails(spread(raw_mail(spark, d)), "raw", ["doc_id"])
 
 
 @query("""
