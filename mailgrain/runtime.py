@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -28,9 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + local
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it is deleted when the driver ends, or by ``clean_scratch``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(clean_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def clean_scratch() -> None:
+    """Delete the intermediate tables of this driver.  Results that still read them can't be used afterwards."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001, S112 - the session may be gone; the folder's owner clears it then
+            continue
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
