@@ -14,13 +14,13 @@ IMAGE_TYPES = tuple(f"image/{t}" for t in ("jpeg", "jpg", "png", "gif", "tiff",
 HEIC_BRANDS = ("heic", "heix", "heim", "heis", "mif1", "msf1")
 AVIF_BRANDS = ("avif", "avis")
 REASONS = {
-    "UNSUPPORTED_TYPE": "Dateityp wird nicht unterstützt",
-    "ENCRYPTED": "Datei ist verschlüsselt",
-    "CORRUPT": "Datei ist beschädigt",
-    "TOO_LARGE": "Datei ist zu groß",
-    "TRANSCODE_FAILED": "Umwandlung ist gescheitert",
-    "EMPTY": "Datei ist leer",
-    "TIMEOUT": "Zeitüberschreitung",
+    "UNSUPPORTED_TYPE": "Dieser Dateityp wird nicht in die PDF übernommen.",
+    "ENCRYPTED": "Die Datei ist verschlüsselt und konnte nicht geöffnet werden.",
+    "CORRUPT": "Die Datei ist beschädigt und konnte nicht gelesen werden.",
+    "TOO_LARGE": "Die Datei ist zu groß und wurde nicht in die PDF übernommen.",
+    "TRANSCODE_FAILED": "Die Datei konnte nicht in eine PDF-Seite umgewandelt werden.",
+    "EMPTY": "Die Datei ist leer.",
+    "TIMEOUT": "Die Umwandlung hat zu lange gedauert und wurde abgebrochen.",
 }
 DEFAULT_MAX_BYTES = 400 * 1024 * 1024
 
