@@ -19,8 +19,9 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailgrain.runtime import spread
 
@@ -149,6 +150,10 @@ def compile_mask(mask: str) -> tuple[tuple[str, dict[str, tuple[int, int]]], ...
     return tuple(found)
 
 
+def _codes(mask: str, texts: np.ndarray) -> np.ndarray:
+    return np.array(texts, dtype=f"U{len(mask)}").view(np.uint32).reshape(len(texts), len(mask))
+
+
 def _number(codes: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     value = np.zeros(len(codes), dtype=np.int64)
     for i in range(*span):
@@ -170,19 +175,19 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     return start + d - 1, ok & (start + d - 1 < after)
 
 
-def convert_mask(
-    mask: str, texts: np.ndarray, home: np.ndarray, day_first: np.ndarray, version: str
-) -> tuple[np.ndarray, np.ndarray]:
-    """(UTC seconds, readable) of texts that share a mask."""
+def local_mask(mask: str, texts: np.ndarray, day_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, str, dict[str, tuple[int, int]]]:
+    """(seconds since 1970 as the written clock counts them, readable, kind, spans) of texts that share a mask.
+
+    No zone is looked at.  A bare number has no clock but that of 1970, UTC.
+    """
     n = len(texts)
-    seconds, good = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     readings = compile_mask(mask)
     if not readings:
-        return seconds, good
+        return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), "", {}
     kind, at = readings[0]
-    codes = np.array(texts, dtype=f"U{len(mask)}").view(np.uint32).reshape(n, len(mask))
+    codes = _codes(mask, texts)
     if kind.startswith("epoch"):
-        return _number(codes, at["n"]) // {"epoch": 1, "epoch_ms": 1000, "epoch_us": 1_000_000}[kind], ~good
+        return _number(codes, at["n"]) // {"epoch": 1, "epoch_ms": 1000, "epoch_us": 1_000_000}[kind], np.ones(n, dtype=bool), kind, at
     y = _number(codes, at["y"])
     if at["y"][1] - at["y"][0] == 2:
         y = y + 2000
@@ -206,7 +211,20 @@ def convert_mask(
     days, exists = _days(y, m, d)
     good &= exists
     local = days * 86400 + h * 3600 + mi * 60 + s
+    return local, good, kind, at
+
+
+def convert_mask(
+    mask: str, texts: np.ndarray, home: np.ndarray, day_first: np.ndarray, version: str
+) -> tuple[np.ndarray, np.ndarray]:
+    """(UTC seconds, readable) of texts that share a mask."""
+    n = len(texts)
+    local, good, kind, at = local_mask(mask, texts, day_first)
+    if not kind or kind.startswith("epoch"):
+        return local, good
+    seconds = np.zeros(n, dtype=np.int64)
     if "off" in at:
+        codes = _codes(mask, texts)
         lo, hi = at["off"]
         sign = np.where(codes[:, lo] == ord("-"), -1, 1)
         hours = _number(codes, (lo + 1, lo + 3))
@@ -268,6 +286,29 @@ def to_instants(values: DataFrame, text: str, home_zone: str, day_first: str, ke
     return source.mapInPandas(run, f"{schema}, utc_s long")
 
 
+@F.pandas_udf(T.LongType())
+def _wall_seconds(text: pd.Series, day_first: pd.Series) -> pd.Series:
+    texts = text.fillna("").str.strip().to_numpy(dtype=object)
+    first = day_first.map(lambda v: v is None or v != v or bool(v)).to_numpy(dtype=bool)
+    masks = pd.Series([mask_of(t) for t in texts], dtype=object)
+    seconds, good = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
+    for mask, rows in masks.groupby(masks).indices.items():
+        seconds[rows], good[rows], *_ = local_mask(mask, texts[rows], first[rows])
+    return pd.Series(seconds, dtype="Int64").mask(~good)
+
+
+def wall_clock(text: Column, day_first: Column) -> Column:
+    """Written wall clock (timestamp_ntz, whole seconds) of a text in any form that ``to_instants`` reads.
+
+    Offset, zone and home zone change nothing, so an unknown zone leaves the clock
+    readable; a bare number shows UTC.  ``day_first`` null counts as true.  Null,
+    blank, unreadable and impossible values give null.
+    """
+    seconds = _wall_seconds(text, day_first)
+    days = F.floor(seconds / 86400).cast("int")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), F.pmod(seconds, F.lit(86400)).cast("decimal(18,6)"))
+
+
 def mail_instants(mail_headers: DataFrame, scanned_message: DataFrame, account: DataFrame) -> DataFrame:
     """fld, hdr_id, utc_s of the readable ``date_`` and ``received`` values."""
     zones = account.select("name", "home_zone", "day_first")

@@ -80,7 +80,7 @@ def query(sql: str | None = None):
 
 
 def mbox(spark: SparkSession, d: str) -> DataFrame:
-    return mailbox.mailbox(table(spark, d, "scanned_message"), table(spark, d, "mail_headers"))
+    return mailbox.mailbox(table(spark, d, "scanned_message"), table(spark, d, "mail_headers"), table(spark, d, "account"))
 
 
 def folder_list(spark: SparkSession, d: str) -> DataFrame:

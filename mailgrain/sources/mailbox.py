@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, InputPartition, LessThan
 
+from mailgrain.operators.instants import wall_clock
+
 # Fixed values.
 UNSELECTABLE = ("\\noselect", "\\nonexistent")
 TRASH_NAMES = ("trash", "deleted", "deleted messages", "deleted items", "papierkorb", "bin")
@@ -51,18 +53,18 @@ def trash_folders(folders: DataFrame) -> DataFrame:
     return marked.join(has, "account").where(F.when(F.col("has_flag"), F.col("by_flag")).otherwise(F.col("by_name"))).select("account", "folder")
 
 
-def mailbox(scanned: DataFrame, headers: DataFrame) -> DataFrame:
-    """Scanned messages with their headers, times as wall clock where they are written plainly.
+def mailbox(scanned: DataFrame, headers: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Scanned messages with their headers, times as the wall clock they are written in (see ``instants.wall_clock``).
 
-    Header texts are never null here; ids and sizes may be.
+    Header texts are never null here; ids and sizes may be.  ``accounts``: name, day_first.
     """
-    plain = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
-    wall = lambda c: F.when(F.col(c).rlike(plain), F.col(c).try_cast("timestamp_ntz"))
-    h = headers.select(
+    order = F.broadcast(accounts.select(F.col("name").alias("account"), F.col("day_first").alias("__first")))  # one row per account
+    wall = lambda c: wall_clock(F.col(c), F.col("__first"))
+    h = headers.join(order, "account", "left").select(
         "hdr_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("from_", "to_", "cc", "bcc", "subject")],
         F.nullif(F.trim("message_id"), F.lit("")).alias("message_id"), wall("date_").alias("date_wall"),
     )
-    s = scanned.select("account", "folder", "uidvalidity", "uid", "hdr_id", F.col("rfc822_size").alias("size"), wall("received").alias("received_wall"))
+    s = scanned.join(order, "account", "left").select("account", "folder", "uidvalidity", "uid", "hdr_id", F.col("rfc822_size").alias("size"), wall("received").alias("received_wall"))
     return s.join(h, "hdr_id")
 
 
