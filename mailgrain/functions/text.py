@@ -47,9 +47,9 @@ def format_date(wall: Column, pattern: str = DATE_FORMAT) -> Column:
 def truncate_bytes(text: Column, limit: int = NAME_BYTES) -> Column:
     """Longest prefix within ``limit`` UTF-8 bytes that ends at a character, without trailing blanks."""
     raw = text.cast("binary")
-    cut = F.substring(raw, 1, limit)
-    # a broken last character shows as one replacement sign or more; they go only if the text was cut
-    whole = F.regexp_replace(F.make_valid_utf8(cut), "�+$", "")
+    inside = lambda k: F.hex(F.substring(raw, k + 1, 1)).between("80", "BF")  # noqa: E731 - byte k + 1 continues a character
+    end = F.when(~inside(limit), limit).when(~inside(limit - 1), limit - 1).when(~inside(limit - 2), limit - 2).otherwise(limit - 3)
+    whole = F.substring(raw, F.lit(1), end).cast("string")
     return F.when(F.octet_length(text) <= limit, F.rtrim(text)).otherwise(F.rtrim(whole))
 
 

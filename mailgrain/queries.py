@@ -341,9 +341,9 @@ SAFE = r"trim(regexp_replace(regexp_replace({x}, '[/\\:*?\"<>|]', '_', 'g'), '[\
 select hdr_id, case when safe = '' then 'email' else safe end as base_name from b"""
 )
 def base_name(spark, d):
-    """File names of messages with plain subjects."""
+    """File names of all messages."""
     name = X.base_name(F.coalesce("date_wall", "received_wall"), F.lit("demo"), F.col("subject"))
-    return mbox(spark, d).where(F.col("subject").rlike(r"^[\x20-\x7e]*\z")).select("hdr_id", name.alias("base_name"))
+    return mbox(spark, d).select("hdr_id", name.alias("base_name"))
 
 
 @query(rf"select part_id, {SAFE.format(x='nfc_normalize(filename)')} as safe from attachment_part where not regexp_matches(filename, '[\x80-\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")

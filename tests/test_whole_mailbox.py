@@ -64,3 +64,8 @@ def test_date_rules_hold_for_every_form(spark, box):
         assert {r["hdr_id"]: r["ordinal"] for r in query(spark, box).collect()} == nordlicht
     shown = {r["hdr_id"]: r["shown"] for r in Q.format_date_human(spark, box).collect()}
     assert shown == {i: dt.datetime(*w).strftime("%d.%m.%Y %H:%M") if w else "" for i, (*_, w, _) in enumerate(TIMES)}
+
+
+def test_every_subject_names_a_file(spark, box):
+    got = {r["hdr_id"]: r["base_name"] for r in Q.base_name(spark, box).collect()}
+    assert got == {i: brute_name(w or r, SUBJECTS[i]) for i, (*_, w, r) in enumerate(TIMES)}
