@@ -348,9 +348,8 @@ def base_name(spark, d):
 
 @query(rf"select part_id, {SAFE.format(x='nfc_normalize(filename)')} as safe from attachment_part where not regexp_matches(filename, '[\x80-\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
 def sanitize_nfc(spark, d):
-    """Safe file names (compared where blanks are plain)."""
-    a = table(spark, d, "attachment_part").where(~F.col("filename").rlike(r"[\x80-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
-    return a.select("part_id", X.sanitize(F.col("filename")).alias("safe"))
+    """Safe file names; null stays null."""
+    return table(spark, d, "attachment_part").select("part_id", X.sanitize(F.col("filename")).alias("safe"))
 
 
 @query(r"""

@@ -69,3 +69,11 @@ def test_date_rules_hold_for_every_form(spark, box):
 def test_every_subject_names_a_file(spark, box):
     got = {r["hdr_id"]: r["base_name"] for r in Q.base_name(spark, box).collect()}
     assert got == {i: brute_name(w or r, SUBJECTS[i]) for i, (*_, w, r) in enumerate(TIMES)}
+
+
+def test_every_filename_is_made_safe(spark, tmp_path):
+    blanks = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    names = [None, "", "plain.pdf", "ü.pdf", *[f"a{c}b{c}" for c in blanks], f"x{blanks}y", "a᠎b", "a\x80b\x9fc", "a​b", 'q?"<>|.txt']
+    spark.createDataFrame(list(enumerate(names)), "part_id long, filename string").coalesce(1).write.parquet(str(tmp_path / "attachment_part.parquet"))
+    brute = {i: n and re.sub(r"[\s_]+", "_", re.sub(r'[/\\:*?"<>|]', "_", unicodedata.normalize("NFC", n))).strip("_") for i, n in enumerate(names)}
+    assert {r["part_id"]: r["safe"] for r in Q.sanitize_nfc(spark, str(tmp_path)).collect()} == brute
