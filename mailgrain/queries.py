@@ -756,7 +756,7 @@ from mbox left join pdf on mbox.hdr_id = pdf.hdr_id where size is not null""")
 def first_match_attachments(spark, d):
     """First match where rules look at attachments, bodies read late."""
     rules = [R.Rule("bills", subject=RULES[0].subject, attachments=(".PDF",)), R.Rule("large", larger=100_000), R.Rule("pdf", attachments=("pdf",))]
-    box = mbox(spark, d).where("size is not null")
+    box = mbox(spark, d)
     scope = folder_list(spark, d).select("account", "folder", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ordinal"))
     names = table(spark, d, "attachment_part").select("hdr_id", F.col("filename").alias("name"))
     return fetch.matched(box, rules, scope, strict=False, names=names).select("hdr_id", "ordinal")

@@ -77,3 +77,9 @@ def test_every_filename_is_made_safe(spark, tmp_path):
     spark.createDataFrame(list(enumerate(names)), "part_id long, filename string").coalesce(1).write.parquet(str(tmp_path / "attachment_part.parquet"))
     brute = {i: n and re.sub(r"[\s_]+", "_", re.sub(r'[/\\:*?"<>|]', "_", unicodedata.normalize("NFC", n))).strip("_") for i, n in enumerate(names)}
     assert {r["part_id"]: r["safe"] for r in Q.sanitize_nfc(spark, str(tmp_path)).collect()} == brute
+
+
+def test_unknown_sizes_meet_the_size_rule(spark, box):
+    spark.createDataFrame([(3, "x.pdf"), (4, "y.PDF"), (8, "z.txt")], "hdr_id long, filename string").coalesce(1).write.mode("overwrite").parquet(f"{box}/attachment_part.parquet")
+    got = {r["hdr_id"]: r["ordinal"] for r in Q.first_match_attachments(spark, box).collect()}
+    assert got == {i: 1 if i % 3 == 0 or i % 2 else 2 if i == 4 else None for i in range(len(TIMES))}
