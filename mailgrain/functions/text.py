@@ -115,8 +115,9 @@ def format_date_human(wall: Column) -> Column:
 
 def safe_attachment_name(name: Column) -> Column:
     """Last path part without control characters; 'attachment' if nothing usable is left."""
-    last = F.regexp_extract(F.regexp_replace(name, r"\\", "/"), r"([^/]*)/*$", 1)
-    clean = F.trim(F.regexp_replace(last, r"[\x00-\x1f\x7f]", ""))
+    path = F.regexp_replace(F.regexp_replace(name, r"\\", "/"), r"(?:/+\.)*/*\z", "")
+    last = F.regexp_extract(path, r"([^/]*)\z", 1)
+    clean = F.regexp_replace(F.regexp_replace(last, r"[\x00-\x1f\x7f]", ""), r"(?U)^\s+|\s+\z", "")
     return F.when(clean.isNull() | clean.isin("", ".", ".."), F.lit("attachment")).otherwise(clean)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_NUMBERED = re.compile(r"(.*)-([1-9][0-9]*)", re.DOTALL)
+
 
 def identity(message_id: Column, from_: Column, subject: Column, stamp: Column, content: Column) -> Column:
     """Struct of the first line (message id, else sender, subject and time) and the content hash line."""
@@ -57,26 +60,42 @@ def number_within(df: DataFrame, group: str, order: list[str], out: str) -> Data
 def unique_names_probe(mails: DataFrame, collision: str, base: str, ident: str, order: list[str]) -> DataFrame:
     """Exact probing where bases can meet each other's numbered names (``x-2`` as a base of its own).
 
-    ``collision`` groups every base with all names it can reach.  Groups must be
-    small; use unique_names where bases can't meet.
+    ``collision`` groups every base with all names it can reach.  A group stays
+    in one task, which reads it as a stream and keeps its names; use unique_names
+    where bases can't meet.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, str] = {}
-        names, skips = [], []
-        for b, i in zip(part[base], part[ident], strict=True):
-            k, name = 1, b
-            while held.get(name, i) != i:
-                k += 1
-                name = f"{b}-{k}"
-            skips.append(name in held)
-            held[name] = i
-            names.append(name)
-        return part.assign(name=names, skip=skips)
+        free: dict[str, int] = {}  # no number below is free
+        own: dict[tuple[str, str], int] = {}  # least number an identity holds of a base
+        group = object()
+        for part in batches:
+            names, skips = [], []
+            for g, b, i in zip(part[collision], part[base], part[ident], strict=True):
+                if g != group:
+                    group, held, free, own = g, {}, {}, {}
+                name = b
+                if held.get(b, i) != i:
+                    k, mine = free.get(b, 2), own.get((b, i))
+                    while (mine is None or k < mine) and f"{b}-{k}" in held:
+                        k += 1
+                    if mine is None or k < mine:
+                        free[b] = k
+                    else:
+                        k = mine
+                    name = f"{b}-{k}"
+                skips.append(name in held)
+                if name not in held:
+                    held[name] = i
+                    m = name and _NUMBERED.fullmatch(name)
+                    if m and int(m[2]) > 1:
+                        own[m[1], i] = min(own.get((m[1], i), int(m[2])), int(m[2]))
+                names.append(name)
+            yield part.assign(name=names, skip=skips)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mails.schema.fields)
-    return mails.groupBy(collision).applyInPandas(run, f"{schema}, name string, skip boolean")
+    return mails.repartition(F.col(collision)).sortWithinPartitions(collision, *order).mapInPandas(run, f"{schema}, name string, skip boolean")
 
 
 def content_dedup(files: DataFrame, keys: list[str], content: str, order: str) -> DataFrame:

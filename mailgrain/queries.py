@@ -392,8 +392,7 @@ def format_date_human(spark, d):
 select t, n as safe from (values ('../../etc/passwd', 'passwd'), ('a\b.txt', 'b.txt'), ('..', 'attachment'), ('.', 'attachment'), ('', 'attachment'), ('  ', 'attachment'), ('ok.pdf', 'ok.pdf'), ('dir/', 'dir')) v(t, n)""")
 def safe_attachment_name(spark, d):
     """Attachment names without paths."""
-    rows = [("../../etc/passwd",), ("a\\b.txt",), ("..",), (".",), ("",), ("  ",), ("ok.pdf",), ("dir/",)]
-    return spark.createDataFrame(rows, "t string").select("t", X.safe_attachment_name(F.col("t")).alias("safe"))
+    return table(spark, d, "attachment_part").select(F.col("filename").alias("t"), X.safe_attachment_name(F.col("filename")).alias("safe"))
 
 
 SNIFF = """case when starts_with(h, '255044462D') then 'application/pdf' when starts_with(h, '89504E470D0A1A0A') then 'image/png' when starts_with(h, 'FFD8FF') then 'image/jpeg'
@@ -496,10 +495,11 @@ def unique_names(spark, d):
 
 @query("select n, name, skip from (values (1, 'x', false), (2, 'x-2', false), (3, 'x', true), (4, 'x-3', false), (5, 'x-2-2', false)) v(n, name, skip)")
 def unique_names_cross(spark, d):
-    """Exact probing where a base meets a numbered name."""
-    rows = [(1, "x", "a"), (2, "x-2", "b"), (3, "x", "a"), (4, "x", "c"), (5, "x-2", "d")]
-    mails = spark.createDataFrame(rows, "n int, base string, ident string").withColumn("grp", F.regexp_replace("base", r"(-\d+)+$", ""))
-    return naming.unique_names_probe(mails, "grp", "base", "ident", ["n"]).select("n", "name", "skip")
+    """Exact names of attachments by content, in order of part_id, where a name may meet a numbered one."""
+    ident = F.coalesce(F.sha2("content", 256), F.lit("-"))
+    parts = table(spark, d, "attachment_part").select(F.col("part_id").alias("n"), X.safe_attachment_name(F.col("filename")).alias("base"), ident.alias("ident"))
+    parts = parts.withColumn("grp", F.regexp_replace("base", r"(-\d+)+\z", ""))
+    return naming.unique_names_probe(parts, "grp", "base", "ident", ["n"]).select("n", "name", "skip")
 
 
 @query(r"""select mail_id, not regexp_matches(html_body, '(?i)<(a|b|i|img|table|tr|td|ul|li|h1|strong|em|u)[ >]') and not regexp_matches(html_body, '(?i)\b(background|border)\b') and trim(html_body) <> '' as trivial from parsed_mail where html_body is not null""")

@@ -1,8 +1,10 @@
 """Queries over the whole mailbox, by brute force where SQL can't follow."""
 
 import datetime as dt
+import random
 import re
 import unicodedata
+from pathlib import PurePosixPath
 
 import pytest
 
@@ -83,3 +85,37 @@ def test_unknown_sizes_meet_the_size_rule(spark, box):
     spark.createDataFrame([(3, "x.pdf"), (4, "y.PDF"), (8, "z.txt")], "hdr_id long, filename string").coalesce(1).write.mode("overwrite").parquet(f"{box}/attachment_part.parquet")
     got = {r["hdr_id"]: r["ordinal"] for r in Q.first_match_attachments(spark, box).collect()}
     assert got == {i: 1 if i % 3 == 0 or i % 2 else 2 if i == 4 else None for i in range(len(TIMES))}
+
+
+def brute_attachment(name):
+    last = PurePosixPath((name or "").replace("\\", "/")).name
+    clean = re.sub(r"[\x00-\x1f\x7f]", "", last).strip()
+    return "attachment" if clean in ("", ".", "..") else clean
+
+
+def test_every_attachment_name_is_made_safe(spark, tmp_path):
+    names = [None, "", "  ", ".", "..", "../../etc/passwd", "a\\b.txt", "dir/", "dir/.", "dir/.//./", "a/..", "/", "//.", "dir/\n", "x\n", "a\x00b", "\xa0", "  ok.pdf　", "ok.pdf", "a./b.", "\x85x"]
+    spark.createDataFrame([(n,) for n in names], "filename string").coalesce(1).write.parquet(str(tmp_path / "attachment_part.parquet"))
+    assert {r["t"]: r["safe"] for r in Q.safe_attachment_name(spark, str(tmp_path)).collect()} == {n: brute_attachment(n) for n in names}
+
+
+def brute_unique(rows):
+    held, out = {}, set()
+    for n, base, ident in sorted(rows):
+        k, name = 1, base
+        while held.get(name, ident) != ident:
+            k += 1
+            name = f"{base}-{k}"
+        out.add((n, name, name in held))
+        held[name] = ident
+    return out
+
+
+def test_numbered_names_never_meet(spark, tmp_path):
+    pick = random.Random(3)
+    rows = [(n, pick.choice(["x", "x", "x-2", "x-3", "x-2-2", "x-02", "y", "y-4", "x-1"]), bytes([pick.randrange(12)])) for n in range(150)]
+    rows += [(n, "z", n.to_bytes(4)) for n in range(150, 20_150)]  # a base with most rows
+    spark.createDataFrame(rows, "part_id long, filename string, content binary").coalesce(1).write.parquet(str(tmp_path / "attachment_part.parquet"))
+    got = {tuple(r) for r in Q.unique_names_cross(spark, str(tmp_path)).collect()}
+    assert {r for r in got if r[0] < 150} == brute_unique(rows[:150])
+    assert {r for r in got if r[0] >= 150} == {(n, "z" if n == 150 else f"z-{n - 149}", False) for n in range(150, 20_150)}
