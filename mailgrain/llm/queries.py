@@ -76,6 +76,12 @@ def p9_report(spark, sf_dir):
     return truncation.truncation_report(table(spark, sf_dir, "documents"))
 
 
+def p9_limits(spark, sf_dir):
+    """Length hazards of every source and which lengths are significant."""
+    ends = truncation.endings(table(spark, sf_dir, "documents"))
+    return truncation.length_limits(ends).selectExpr("source", "measure", "length", "n", "round(hazard, 9) as hazard", "round(around, 9) as around", "`limit`")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_normal": p2_normal,
@@ -90,6 +96,7 @@ QUERIES = {
     "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p9_limits": p9_limits,
 }
 SQL = {
     "p7_found": r"""
@@ -98,4 +105,18 @@ i as (select item_id, regexp_extract_all(lower(nfc_normalize(regexp_extract(trim
 dg as (select doc_id, array_to_string(w[k:k + 12], ' ') as g from d, lateral (select unnest(generate_series(1, len(w) - 12)) as k)),
 ig as (select distinct item_id, array_to_string(w[k:k + 12], ' ') as g from i, lateral (select unnest(generate_series(1, len(w) - 12)) as k))
 select distinct doc_id, item_id from dg join ig using (g)""",
+    "p9_limits": r"""
+with t as (select distinct source, text from documents where length(trim(text, ' ')) > 0),
+x as (select source, 'chars' as measure, length(text) as length from t union all select source, 'bytes', octet_length(encode(text)) from t),
+h as (select source, measure, length, count(*) as n from x group by all),
+r as (select *,
+    sum(n) over (partition by source, measure order by length desc) as reached,
+    sum(n) over (partition by source, measure order by length range between 10 preceding and 10 following) - n as near,
+    count(*) over (partition by source, measure) as tests from h),
+z as (select *, n / reached as hazard, (near + 1.0) / (greatest(reached, 1) * 20 + 1.0) as around from r),
+p as (select *, case when n <= reached * around then 1.0 else
+    list_sum([exp(k * ln(reached * around) - reached * around - lgamma(k + 1)) for k in generate_series(n::bigint, n::bigint + 199)]) end as p_value from z),
+k as (select *, row_number() over (partition by source, measure order by p_value, length) as rank from p),
+b as (select *, max(case when p_value <= 0.01 * rank / tests then rank else 0 end) over (partition by source, measure) as last from k)
+select source, measure, length, n, round(hazard, 9) as hazard, round(around, 9) as around, rank <= last and n >= 3 and hazard > 2 * around as "limit" from b""",
 }

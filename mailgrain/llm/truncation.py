@@ -1,18 +1,24 @@
 """Text cut off by field limits.
 
-Two kinds of evidence meet.  *Length hazards*: per source, the chance that a text
-ends at length L given that it reaches L, in characters and in bytes, is tested
-against the hazards of the neighbouring lengths; Benjamini-Hochberg control over
-all tests gives the significant limits.  *Endings*: a text's last unit (sentence
-or line, digits masked) is complete if it ends in a sentence mark, or if the
-corpus knows it as an ending: it closes at least ``ENDING_RATE`` of all texts and
-a fair share of the units that begin with it stop there.  A cut unit is a prefix
-of longer ones, so that share is near nothing.  Endings at a significant length
-must be complete by the stricter share.
+*Length hazards* come first: per source, the chance that a text ends at length L
+given that it reaches L, in characters and in bytes and over distinct texts, is
+tested against the hazards of the neighbouring lengths.  Benjamini-Hochberg
+control within each source and measure gives the significant lengths.  A text of
+such a length is cut (reason "limit") unless its last unit (sentence or line,
+digits masked) ends in a sentence mark or is an ending the corpus knows: one that
+closes at least ``ENDING_RATE`` of all texts and at which at least
+``STOP_SHARE_AT_LIMIT`` of the units that begin with it stop.  The length is the
+evidence there, so whatever isn't known to be complete counts as cut.
+
+Elsewhere nothing speaks for a cut but the ending itself.  Reason "transfer" needs
+positive evidence: a remnant of an encoding, a word that the corpus only knows
+longer, a unit that others merely begin with, or the opening words of sentences
+that close with a mark everywhere else.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -30,6 +36,12 @@ ENDING_RATE = 3e-4
 ENDING_LEAST, ENDING_LEAST_INLINE = 2, 3
 #: Share of the units beginning with an ending that must stop there: anywhere, and at a significant length.
 STOP_SHARE, STOP_SHARE_AT_LIMIT = 0.03, 0.5
+#: Share of all units an opening must begin, and of all words a word must make up, to be evidence; bounds both tables to 1 / rate.
+OPENING_RATE, WORD_RATE = 1e-5, 2e-6
+#: Least count of either, for small corpora.
+EVIDENCE_LEAST = 4
+#: Share of the units with an opening that must end in a sentence mark for the opening to promise one.
+PROSE_SHARE = 0.8
 NEIGHBOURS = 10
 FALSE_DISCOVERY = 0.01
 LEAST_EXCESS = 3
@@ -40,6 +52,9 @@ _CLOSED = re.compile(r"(?<!\.)[.!?][\"'”»›’)\]]*$")
 _QUOTED_CLOSE = re.compile(r"[.!?]\s?»$")
 _NUMBER = re.compile(r"\d+")
 _HOST = re.compile(r"\b([a-z]+://)[\w.-]+\.[a-z]{2,}(?=/)")
+_REMNANT = re.compile(r"(?:�|=[0-9A-F]{0,2}|&#?\w{0,8}|%[0-9A-F]{0,2}|\\u[0-9a-fA-F]{0,3})$")
+_WORDS = re.compile(r"[^\W\d_]+")
+_LAST_WORD = re.compile(r"[^\W\d_]+$")
 
 
 def units(text: str) -> list[str]:
@@ -90,12 +105,76 @@ def endings(documents: DataFrame) -> DataFrame:
     return source.mapInPandas(run, f"doc_id {id_type}, source string, chars int, bytes int, digest long, unit string, closed boolean")
 
 
-def known_endings(documents: DataFrame, ends: DataFrame) -> dict[str, float]:
-    """Unpunctuated units that the corpus knows as endings, with the share that stops there.
+def openings(unit: str) -> list[tuple[str, bool]]:
+    """First word and first two words of a unit, each with whether the unit holds no more; a line start stays part of them."""
+    words = unit.split()
+    start = "\n" if unit.startswith("\n") else ""
+    return [(start + " ".join(words[:k]), len(words) == k) for k in (1, 2) if len(words) >= k]
+
 
-    Counts run over all documents.  At most 1 / ENDING_RATE endings reach the
-    driver, since each distinct text has one.  List entries are known by their
-    last word, under the key "- word".
+class Evidence:
+    """What the whole corpus says about endings.
+
+    ``shares``: known endings with the share of units that stop there.
+    ``opening``: opening words -> (units, of these closed by a mark, of these nothing more).
+    ``words``: frequent words and their counts.
+    """
+
+    def __init__(self, shares: dict[str, float], opening: dict[str, tuple[int, int, int]], words: dict[str, int]):
+        self.shares, self.opening = shares, opening
+        self.words = words
+        self.sorted = sorted(words)
+        self.sums = [0]
+        for w in self.sorted:
+            self.sums.append(self.sums[-1] + words[w])
+
+    def share(self, unit: str) -> float | None:
+        """Share of the units beginning like this one that stop here; None for an unknown ending."""
+        word = bullet_word(unit)
+        return self.shares.get(unit if word is None else "- " + word)
+
+    def is_broken_word(self, unit: str) -> bool:
+        """Whether the last word is almost only known as the beginning of longer words."""
+        m = _LAST_WORD.search(unit)
+        if not m:
+            return False
+        word = m.group()
+        low = bisect.bisect_left(self.sorted, word)
+        high = bisect.bisect_left(self.sorted, word + "\U0010ffff")
+        own = self.words.get(word, 0)
+        longer = self.sums[high] - self.sums[low] - own
+        return longer >= EVIDENCE_LEAST and own < STOP_SHARE * longer
+
+    def breaks_off(self, unit: str) -> bool:
+        """Whether units that open like this one go on, or close with a mark."""
+        known = [(self.opening[k], whole) for k, whole in openings(unit) if k in self.opening]
+        if not known:
+            return False
+        (n, closed, nothing_more), whole = known[-1]
+        if whole:
+            return nothing_more < STOP_SHARE * n or closed >= PROSE_SHARE * n
+        return closed >= PROSE_SHARE * n
+
+    def reason(self, unit: str, closed: bool, at_limit: bool) -> str | None:
+        """ "limit", "transfer", or None for a complete text."""
+        if closed:
+            return None
+        share = self.share(unit)
+        if at_limit:
+            return "limit" if share is None or share < STOP_SHARE_AT_LIMIT else None
+        if _REMNANT.search(unit):
+            return "transfer"
+        if share is not None and bullet_word(unit) is None:
+            return "transfer" if share < STOP_SHARE else None
+        return "transfer" if self.is_broken_word(unit) or self.breaks_off(unit) else None
+
+
+def corpus_evidence(documents: DataFrame, ends: DataFrame) -> Evidence:
+    """Counts over all documents: known endings, openings and words.
+
+    At most 1 / ENDING_RATE endings reach the driver, since each distinct text
+    has one, at most 1 / OPENING_RATE openings of either length and 1 / WORD_RATE
+    words.  List entries are known by their last word, under the key "- word".
     """
     open_ends = ends.where(~F.col("closed")).groupBy("digest").agg(F.first("unit").alias("unit"))
     texts = ends.agg(F.count_distinct("digest")).first()[0]
@@ -106,47 +185,71 @@ def known_endings(documents: DataFrame, ends: DataFrame) -> dict[str, float]:
     enough = F.when(F.col("k").rlike(r"^(\n|- )"), F.lit(least)).otherwise(F.lit(max(least, ENDING_LEAST_INLINE)))
     counted = open_ends.groupBy(as_key.alias("k")).count().where(F.col("count") >= enough).collect()
     candidates = {r["k"] for r in counted}
-    words = {k[2:] for k in candidates if k.startswith("- ")}
+    entry_words = {k[2:] for k in candidates if k.startswith("- ")}
     plain = {k for k in candidates if not k.startswith("- ")}
-    lengths, word_lengths = sorted({len(k) for k in plain}), sorted({len(w) for w in words})
-    if not candidates:
-        return {}
+    # lengths of the endings by their first letters: a unit is tried only against endings that may begin it
+    by_start: dict[str, set[int]] = {}
+    for k in plain:
+        by_start.setdefault(k[:4], set()).add(len(k))
+    starts = {k: sorted(v) for k, v in by_start.items()}
+    short = sorted({len(k) for k in plain if len(k) < 4})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin, stop = Counter(), Counter()
+        opened, closed, whole = Counter(), Counter(), Counter()
+        seen = Counter()
         for batch in batches:
             for text in batch["text"]:
                 for unit in units(text.rstrip()):
-                    for n in lengths:
-                        if n > len(unit):
-                            break
-                        if (head := unit[:n]) in plain:
+                    for n in (*short, *starts.get(unit[:4], ())):
+                        if n <= len(unit) and (head := unit[:n]) in plain:
                             begin[head] += 1
                             stop[head] += n == len(unit)
+                    parts = unit.split()
                     if (last := bullet_word(unit)) is not None:
-                        for word in unit.split()[1:]:
-                            for n in word_lengths:
-                                if n > len(word):
-                                    break
-                                if (head := word[:n]) in words:
+                        for word in parts[1:]:
+                            for n in range(1, len(word) + 1):
+                                if (head := word[:n]) in entry_words:
                                     begin["- " + head] += 1
-                        if last in words:
+                        if last in entry_words:
                             stop["- " + last] += 1
-        yield pd.DataFrame([(k, n, stop[k]) for k, n in begin.items()], columns=["k", "begin", "stop"])
-
-    texts_df = spread(documents.select("text").where(F.length(F.trim("text")) > 0))
-    shares = texts_df.mapInPandas(run, "k string, begin long, stop long").groupBy("k").agg(F.sum("begin").alias("b"), F.sum("stop").alias("s"))
-    return {r["k"]: r["s"] / r["b"] for r in shares.collect()}
+                    ends_well = is_closed(unit)
+                    for key, nothing_more in openings(unit):
+                        opened[key] += 1
+                        closed[key] += ends_well
+                        whole[key] += nothing_more
+                    seen.update(_WORDS.findall(unit))
+        rows = [("e", k, n, stop[k], 0) for k, n in begin.items()]
+        rows += [("o", k, n, closed[k], whole[k]) for k, n in opened.items()]
+        rows += [("w", k, n, 0, 0) for k, n in seen.items()]
+        yield pd.DataFrame(rows, columns=["t", "k", "n", "a", "b"])
+
+    source = spread(documents.select("text").where(F.length(F.trim("text")) > 0))
+    counts = source.mapInPandas(run, "t string, k string, n long, a long, b long").groupBy("t", "k").agg(*[F.sum(c).alias(c) for c in "nab"])
+    counts = materialise(counts, "ending-counts")
+    total = {r["t"]: r["s"] for r in counts.groupBy("t").agg(F.sum("n").alias("s")).collect()}
+    # each unit counts under one and two opening words
+    bound = {"o": OPENING_RATE * total.get("o", 0) / 2, "w": WORD_RATE * total.get("w", 0)}
+    frequent = F.lit(False)
+    for t, at_least in bound.items():
+        frequent = frequent | ((F.col("t") == t) & (F.col("n") >= max(EVIDENCE_LEAST, math.ceil(at_least))))
+    kept = counts.where((F.col("t") == "e") | frequent).collect()
+    return Evidence(
+        {r["k"]: r["a"] / r["n"] for r in kept if r["t"] == "e"},
+        {r["k"]: (r["n"], r["a"], r["b"]) for r in kept if r["t"] == "o"},
+        {r["k"]: r["n"] for r in kept if r["t"] == "w"},
+    )
 
 
 def length_limits(ends: DataFrame) -> DataFrame:
     """source, measure, length, n, hazard, around, p_value, limit: one row per source, measure and length.
 
-    The histogram has at most one row per distinct length of a source, so its
+    Copies of one text count once, since they say nothing new.  The histogram has at most one row per distinct length of a source, so its
     windows stay small even for a source with a third of all texts.
     """
     histogram = (
-        ends.select("source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes")])).alias("x"))
+        ends.select("source", "digest", "chars", "bytes").distinct()
+        .select("source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes")])).alias("x"))
         .groupBy("source", "x.measure", "x.length")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -190,12 +293,13 @@ def upper_tail(n: int, trials: int, p: float) -> float:
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """doc_id, source, chars, bytes, at_limit, cut for every text that isn't null or blank.
+    """doc_id, source, chars, bytes, at_limit, cut, reason for every text that isn't null or blank.
 
-    Repeated rows stay; a null source is a source of its own.
+    ``reason`` is "limit", "transfer" or null.  Repeated rows stay; a null source
+    is a source of its own.
     """
     ends = materialise(endings(documents), "endings")
-    shares = known_endings(documents, ends)
+    evidence = documents.sparkSession.sparkContext.broadcast(corpus_evidence(documents, ends))
     limits = length_limits(ends).where("limit")
     flagged = ends
     for measure in ("chars", "bytes"):
@@ -203,16 +307,13 @@ def truncated(documents: DataFrame) -> DataFrame:
         flagged = flagged.join(at, F.col("source").eqNullSafe(F.col("__s")) & (F.col(measure) == F.col("__l")), "left").drop("__s", "__l")
     flagged = flagged.withColumn("at_limit", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
 
-    def open_cut(unit: pd.Series, closed: pd.Series, at_limit: pd.Series) -> pd.Series:
-        out = []
-        for u, c, a in zip(unit, closed, at_limit, strict=True):
-            word = None if c else bullet_word(u)
-            share = shares.get(u, 0.0) if word is None else shares.get("- " + word, 0.0)
-            out.append(not c and share < (STOP_SHARE_AT_LIMIT if a or word is not None else STOP_SHARE))
-        return pd.Series(out, dtype=bool)
+    def why(unit: pd.Series, closed: pd.Series, at_limit: pd.Series) -> pd.Series:
+        known = evidence.value
+        return pd.Series([known.reason(u, c, a) for u, c, a in zip(unit, closed, at_limit, strict=True)], dtype=object)
 
-    cut = F.pandas_udf(open_cut, "boolean")
-    return flagged.select("doc_id", "source", "chars", "bytes", "at_limit", cut("unit", "closed", "at_limit").alias("cut"))
+    reason = F.pandas_udf(why, "string")
+    flagged = flagged.select("doc_id", "source", "chars", "bytes", "at_limit", reason("unit", "closed", "at_limit").alias("reason"))
+    return flagged.select("doc_id", "source", "chars", "bytes", "at_limit", F.col("reason").isNotNull().alias("cut"), "reason")
 
 
 def truncation_report(documents: DataFrame) -> DataFrame:
@@ -221,6 +322,6 @@ def truncation_report(documents: DataFrame) -> DataFrame:
     return t.groupBy("source").agg(
         F.count(F.lit(1)).alias("texts"),
         F.count_if("cut").alias("cut"),
-        F.count_if(F.col("cut") & F.col("at_limit")).alias("at_limit"),
+        F.count_if(F.col("reason") == "limit").alias("at_limit"),
         (F.count_if("cut") / F.count(F.lit(1))).alias("share"),
     )

@@ -123,6 +123,38 @@ def test_truncation(spark):
     assert T.truncated(df.limit(0)).count() == 0
 
 
+def test_hazards_decide(spark):
+    """Endings nobody knows are cut at a significant length and complete elsewhere."""
+    rng = random.Random(4)
+    odd = lambda n: "".join(rng.choice("qwxzjkv") for _ in range(n))
+    docs = []
+    for i in range(600):
+        text = " ".join(f"The {rng.choice(WORDS)} is on page {rng.randrange(99)}." for _ in range(rng.randrange(2, 6)))
+        if i % 3 == 0:
+            docs.append((i, "capped", text + "\n" + odd(200 - len(text) - 1)))
+        elif i % 3 == 1:
+            docs.append((i, "capped", text))
+        else:
+            docs.append((i, "open", text + "\n" + odd(rng.randrange(5, 90))))
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in T.truncated(df).collect()}
+    assert {r["reason"] for i, r in got.items() if i % 3 == 0} == {"limit"}
+    assert {r["reason"] for i, r in got.items() if i % 3} == {None}
+    limits = {(r["source"], r["measure"], r["length"]) for r in T.length_limits(T.endings(df)).where("limit").collect()}
+    assert {("capped", "chars", 200), ("capped", "bytes", 200)} <= limits and "open" not in {source for source, _, _ in limits}
+
+
+def test_evidence_of_transfer():
+    known = T.Evidence({"\nBest wishes": 0.9, "- item": 0.8}, {"We moved": (50, 49, 0), "\nBest": (40, 0, 0), "\nAnna": (9, 0, 9)}, {"questionnaire": 30, "the": 90})
+    assert known.reason("We moved the", False, False) == "transfer"
+    assert known.reason("x questio", False, False) == "transfer"
+    assert known.reason("\nBest", False, False) == "transfer"
+    assert known.reason("any text=C3", False, False) == "transfer"
+    assert known.reason("\nBest wishes", False, False) is None and known.reason("\nBest wishes", False, True) is None
+    assert known.reason("\nAnna", False, False) is None and known.reason("\nAnna", False, True) == "limit"
+    assert known.reason("We moved the table.", True, True) is None
+
+
 def test_upper_tail():
     assert T.upper_tail(0, 10, 0.1) == 1.0
     assert T.upper_tail(3, 1000, 0.001) == pytest.approx(0.0803, abs=1e-3)
