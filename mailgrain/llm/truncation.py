@@ -46,10 +46,12 @@ NEIGHBOURS = 10
 FALSE_DISCOVERY = 0.01
 LEAST_EXCESS = 3
 
-_SPLIT = re.compile(r"(?<=[.!?])[ \t ]+|\s*\n\s*")
-_PARAGRAPH = re.compile(r"\n\s*\n\s*[^\n]*$")
+_LINES = re.compile(r"\s*\n\s*")
+_SENTENCES = re.compile(r"(?<=[.!?])[ \t\u00a0]+")
 _CLOSED = re.compile(r"(?<!\.)[.!?][\"'”»›’)\]]*$")
 _QUOTED_CLOSE = re.compile(r"[.!?]\s?»$")
+_BULLETS = ("-", "*", "•", "–")
+_MAY_CLOSE = frozenset(".!?\"'”»›’)]")
 _NUMBER = re.compile(r"\d+")
 _HOST = re.compile(r"\b([a-z]+://)[\w.-]+\.[a-z]{2,}(?=/)")
 _REMNANT = re.compile(r"(?:�|=[0-9A-F]{0,2}|&#?\w{0,8}|%[0-9A-F]{0,2}|\\u[0-9a-fA-F]{0,3})$")
@@ -57,13 +59,20 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _LAST_WORD = re.compile(r"[^\W\d_]+$")
 
 
+def masked(text: str) -> str:
+    """Text with digits and link hosts masked."""
+    text = _NUMBER.sub("0", text)
+    return _HOST.sub(r"\1*", text) if "://" in text else text
+
+
 def units(text: str) -> list[str]:
-    """Sentences and lines of a text, digits and link hosts masked, with a mark for what begins a line."""
+    """Sentences and lines of a masked text, with a mark for what begins a line."""
     out = []
-    for k, line in enumerate(re.split(r"\s*\n\s*", text)):
-        parts = [p for p in (x.strip() for x in re.split(r"(?<=[.!?])[ \t ]+", line)) if p]
-        for j, part in enumerate(parts):
-            out.append(_HOST.sub(r"\1*", ("\n" if j == 0 and k else "") + _NUMBER.sub("0", part)))
+    for k, line in enumerate(_LINES.split(text)):
+        parts = [p for p in (x.strip() for x in _SENTENCES.split(line)) if p]
+        if parts:
+            out.append("\n" + parts[0] if k else parts[0])
+            out += parts[1:]
     return out
 
 
@@ -71,20 +80,22 @@ def last_unit(text: str) -> str:
     """The last of ``units`` of the text, from its tail only where that is safe."""
     text = text.rstrip()
     line = text.rsplit("\n", 1)[-1]
-    part = re.split(r"(?<=[.!?])[ \t ]+", line.strip())[-1]
+    part = _SENTENCES.split(line.strip())[-1]
     begins = "\n" in text and part == line.strip()
-    return _HOST.sub(r"\1*", ("\n" if begins else "") + _NUMBER.sub("0", part))
+    return masked(("\n" if begins else "") + part)
 
 
 def is_closed(unit: str) -> bool:
     """Whether a unit ends in a sentence mark that isn't a row of dots."""
-    return bool(_CLOSED.search(unit) or _QUOTED_CLOSE.search(unit))
+    return unit[-1:] in _MAY_CLOSE and bool(_CLOSED.search(unit) or _QUOTED_CLOSE.search(unit))
 
 
 def bullet_word(unit: str) -> str | None:
     """Last word of a list entry of two or more words, else None."""
+    if unit.lstrip()[:1] not in _BULLETS:
+        return None
     words = unit.split()
-    return words[-1] if len(words) > 2 and words[0] in ("-", "*", "•", "–") else None
+    return words[-1] if len(words) > 2 and words[0] in _BULLETS else None
 
 
 def endings(documents: DataFrame) -> DataFrame:
@@ -107,8 +118,8 @@ def endings(documents: DataFrame) -> DataFrame:
 
 def openings(unit: str) -> list[tuple[str, bool]]:
     """First word and first two words of a unit, each with whether the unit holds no more; a line start stays part of them."""
-    words = unit.split()
-    start = "\n" if unit.startswith("\n") else ""
+    words = unit.split(None, 2)
+    start = "\n" if unit[:1] == "\n" else ""
     return [(start + " ".join(words[:k]), len(words) == k) for k in (1, 2) if len(words) >= k]
 
 
@@ -200,14 +211,15 @@ def corpus_evidence(documents: DataFrame, ends: DataFrame) -> Evidence:
         seen = Counter()
         for batch in batches:
             for text in batch["text"]:
-                for unit in units(text.rstrip()):
+                text = masked(text.rstrip())
+                seen.update(_WORDS.findall(text))
+                for unit in units(text):
                     for n in (*short, *starts.get(unit[:4], ())):
                         if n <= len(unit) and (head := unit[:n]) in plain:
                             begin[head] += 1
                             stop[head] += n == len(unit)
-                    parts = unit.split()
                     if (last := bullet_word(unit)) is not None:
-                        for word in parts[1:]:
+                        for word in unit.split()[1:]:
                             for n in range(1, len(word) + 1):
                                 if (head := word[:n]) in entry_words:
                                     begin["- " + head] += 1
@@ -218,7 +230,6 @@ def corpus_evidence(documents: DataFrame, ends: DataFrame) -> Evidence:
                         opened[key] += 1
                         closed[key] += ends_well
                         whole[key] += nothing_more
-                    seen.update(_WORDS.findall(unit))
         rows = [("e", k, n, stop[k], 0) for k, n in begin.items()]
         rows += [("o", k, n, closed[k], whole[k]) for k, n in opened.items()]
         rows += [("w", k, n, 0, 0) for k, n in seen.items()]
