@@ -219,6 +219,9 @@ _CUE = re.compile(
     r"|[Cc]ontactez|[Dd]emandez|[Aa]ppelez|[Ll]lame a|[Pp]regunte (?:a|por)) "
     r"|(?:[Rr]egards|[Ww]ishes|[Gg]rüße|[Gg]rüßen|[Cc]ordialement|[Aa]tentamente|[Ss]aludos),?\s*[\n\ue000]\s*)$"
 )
+#: Last words of the cues, tried before the pattern is.
+_CUE_WORDS = frozenset("call phone contact ask meet met tell thank remind inform to with signed by attn sie bei ansprechpartner ansprechpartnerin ist gez contactez demandez appelez a por regards wishes grüße grüßen cordialement atentamente saludos".split())
+_GREETING_WORDS = frozenset("hallo hi hello dear lieber liebe liebe/r moin hey".split())
 _TITLES = frozenset("herr herrn frau mr mrs ms miss dr prof mme m sr sra señor señora madame monsieur".split())
 _NOT_NAMES = frozenset("all everyone colleagues team zusammen kollegen kolleginnen sir madam damen herren there friends ladies gentlemen both folks".split())
 
@@ -233,8 +236,7 @@ def _shown(token: str) -> bool:
 
 def name_points(text: str, first: re.Match, second: re.Match, names: Names) -> int:
     """How much speaks for two neighbouring capitalised words being a person nobody knows as a sender."""
-    cue = _CUE.search(text, max(0, first.start() - 40), first.start())
-    if cue is None or first.group().lower() in _TITLES or not (_shown(second.group()) and len(second.group()) > 1):
+    if len(second.group()) < 2 or first.group().lower() in _TITLES or _CUE.search(text, max(0, first.start() - 40), first.start()) is None:
         return 0
     points = 2
     for word in (first.group(), second.group()):
@@ -252,77 +254,108 @@ def valid_iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-def find_names(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[Found]:
+class _Words:
+    """What a lexicon says about a word, remembered: (shown as a name, given name, family name, lower case)."""
+
+    def __init__(self, names: Names):
+        self.names = names
+        self.known: dict[str, tuple[bool, bool, bool]] = {}
+
+    def __call__(self, word: str) -> tuple[bool, bool, bool]:
+        got = self.known.get(word)
+        if got is None:
+            low, shown, long = word.casefold(), _shown(word), len(word) > 1
+            in_given, in_family = self.names.given.get(low, 0), self.names.family.get(low, 0)
+            got = shown, shown and long and in_given > in_family, shown and long and in_family > 0
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+
+_STEP = {gap: re.compile(gap) for gap in (r"\s", r"\s?", r",\s", r" ")}
+
+
+def find_names(text: str, names: Names, taken: list[tuple[int, int]], about: _Words | None = None) -> Iterator[Found]:
     """Person names by lexicon, initials and titles, longest form first."""
-    tokens = [m for m in _TOKEN.finditer(text) if m.group()[0].isupper()]
+    about = about or _Words(names)
+    tokens = [m for m in _TOKEN.finditer(text) if text[m.start()].isupper()]
+    words = [m.group() for m in tokens]
     starts = {m.start(): k for k, m in enumerate(tokens)}
     blocked = sorted(taken)
     low = [b for b, _ in blocked]
 
-    def free(m: re.Match) -> bool:
-        k = bisect.bisect_right(low, m.start()) - 1
-        return k < 0 or blocked[k][1] <= m.start()
+    def free(k: int) -> bool:
+        at = tokens[k].start()
+        j = bisect.bisect_right(low, at) - 1
+        return j < 0 or blocked[j][1] <= at
 
-    def given(m: re.Match) -> bool:
-        t = m.group().casefold()
-        return _shown(m.group()) and names.given.get(t, 0) > names.family.get(t, 0) and len(t) > 1
+    def given(k: int) -> bool:
+        return about(words[k])[1]
 
-    def family(m: re.Match) -> bool:
-        return _shown(m.group()) and m.group().casefold() in names.family and len(m.group()) > 1 and free(m)
+    def family(k: int) -> bool:
+        return about(words[k])[2] and free(k)
 
-    def initial(m: re.Match) -> bool:
-        return len(m.group()) == 1 and text[m.end() : m.end() + 1] == "." and text[m.start() - 1 : m.start()] != "." and free(m)
+    def initial(k: int) -> bool:
+        m = tokens[k]
+        return len(words[k]) == 1 and text[m.end() : m.end() + 1] == "." and text[m.start() - 1 : m.start()] != "." and free(k)
 
     def after(end: int, gap: str) -> int | None:
-        m = re.compile(gap).match(text, end)
+        m = _STEP[gap].match(text, end)
         return starts.get(m.end()) if m else None
 
     k = 0
     while k < len(tokens):
-        m = tokens[k]
+        m, word = tokens[k], words[k]
         last, end = None, None
-        if free(m):
-            g, f, i = given(m), family(m), initial(m)
+        if free(k):
+            shown, g, f = about(word)
+            i = initial(k)
+            long = len(word) > 1
             if g:
                 n = after(m.end(), r"\s")
-                if n is not None and initial(tokens[n]):
+                if n is not None and initial(n):
                     p = after(tokens[n].end() + 1, r"\s")
-                    if p is not None and family(tokens[p]):
+                    if p is not None and family(p):
                         last, end = p, tokens[p].end()
                     else:
                         last, end = n, tokens[n].end() + 1
-                elif n is not None and family(tokens[n]):
+                elif n is not None and family(n):
                     last, end = n, tokens[n].end()
-                elif n is not None and text[m.end()] == " " and free(tokens[n]) and _shown(tokens[n].group()) and len(tokens[n].group()) > 2:
-                    if not given(tokens[n]) and not _COMPANY.match(text, tokens[n].end()):
+                elif n is not None and text[m.end()] == " " and free(n) and about(words[n])[0] and len(words[n]) > 2:
+                    if not given(n) and not _COMPANY.match(text, tokens[n].end()):
                         last, end = n, tokens[n].end()  # a family name no sender bears
             if end is None and f:
                 n = after(m.end(), r",\s")
-                if n is not None and given(tokens[n]):
+                if n is not None and given(n):
                     last, end = n, tokens[n].end()
                     p = after(tokens[n].end(), r"\s")
-                    if p is not None and initial(tokens[p]):
+                    if p is not None and initial(p):
                         last, end = p, tokens[p].end() + 1
-                elif n is not None and initial(tokens[n]):
+                elif n is not None and initial(n):
                     last, end = n, tokens[n].end() + 1
             if end is None and i:
                 n = after(m.end() + 1, r"\s?")
-                if n is not None and initial(tokens[n]):
+                if n is not None and initial(n):
                     n = after(tokens[n].end() + 1, r"\s?")
-                if n is not None and family(tokens[n]):
+                if n is not None and family(n):
                     last, end = n, tokens[n].end()
-            if end is None and _TITLE.search(text, max(0, m.start() - 24), m.start()) and _shown(m.group()) and len(m.group()) > 1:
+            before = ""
+            if end is None and shown and long:
+                front = text[max(0, m.start() - 20) : m.start()].split()
+                before = front[-1].strip(".,:\ue000").lower() if front else ""
+            if before in _TITLES and _TITLE.search(text, max(0, m.start() - 24), m.start()):
                 last, end = k, m.end()
             if end is None and (g or f):
                 last, end = k, m.end()
-            if end is None and _shown(m.group()) and len(m.group()) > 2 and m.group().lower() not in _NOT_NAMES:
-                if _GREETING.search(text, max(0, m.start() - 16), m.start()) and re.match(r"\s?[,!]?\s?(?:[\n\ue000]|$)|,", text[m.end() : m.end() + 3]):
+            if end is None and len(word) > 2 and before in _GREETING_WORDS and word.lower() not in _NOT_NAMES:
+                if re.match(r"\s?[,!]?\s?(?:[\n\ue000]|$)|,", text[m.end() : m.end() + 3]) and _GREETING.search(text, max(0, m.start() - 16), m.start()):
                     last, end = k, m.end()
             if end is not None and last == k and _COMPANY.match(text, end):
                 end = None
-            if end is None and _shown(m.group()) and len(m.group()) > 1:
+            if end is None and before in _CUE_WORDS:
                 n = after(m.end(), r" ")
-                if n is not None and free(tokens[n]) and name_points(text, m, tokens[n], names) >= NAME_POINTS:
+                if n is not None and about(words[n])[0] and free(n) and name_points(text, m, tokens[n], names) >= NAME_POINTS:
                     last, end = n, tokens[n].end()
         if end is None:
             k += 1
@@ -360,7 +393,13 @@ def find_phones(text: str, free) -> Iterator[Found]:
             at += 1
 
 
-def find(text: str, names: Names) -> list[Found]:
+#: What a text must hold for the forms of addresses, of numbers and of accounts to be tried at all.
+_MAY_ADDRESS = re.compile(r"\d{5}(?!\d)|\d[A-Z]{2}(?!\w)")
+_MAY_ID = re.compile(r"(?<![\w-])(?=[A-Z\d])(?:" + "|".join(re.sub(r"^\(\?<![^)]*\)", "", p.pattern).replace(r"([- ]|\s)", r"[-\s]").replace(r"\1", r"[-\s]") for p in _ID_FORMS) + ")")
+_MAY_IBAN = re.compile(r"[A-Z]{2}\d\d")
+
+
+def find(text: str, names: Names, about: _Words | None = None) -> list[Found]:
     """All entities of visible text, without overlaps, in order."""
     taken: list[tuple[int, int]] = []
     out: list[Found] = []
@@ -374,19 +413,23 @@ def find(text: str, names: Names) -> list[Found]:
             if keep:
                 out.append(Found(kind, a, b, _squeeze(text[a:b])))
 
-    for pattern in (_MESSAGE_ID, _LINK):
-        for m in pattern.finditer(text):
+    if "<" in text:
+        for m in _MESSAGE_ID.finditer(text):
             take("", *m.span(), keep=False)
-    for m in _IBAN.finditer(text):
-        if valid_iban(m.group()):
+    if ":/" in text or "www." in text or "cid:" in text or "mid:" in text:
+        for m in _LINK.finditer(text):
             take("", *m.span(), keep=False)
+    if _MAY_IBAN.search(text):
+        for m in _IBAN.finditer(text):
+            if valid_iban(m.group()):
+                take("", *m.span(), keep=False)
     if "@" in text or re.search(r"\b(?:at|AT)\b", text):
         for m in _EMAIL.finditer(text):
             take("email", *m.span("v"))
-    for pattern in _ADDRESS:
+    for pattern in _ADDRESS if _MAY_ADDRESS.search(text) else ():
         for m in pattern.finditer(text):
             take("address", *m.span())
-    for pattern in _ID_FORMS:
+    for pattern in _ID_FORMS if _MAY_ID.search(text) else ():
         for m in pattern.finditer(text):
             if not _NOT_PHONE.search(text[max(0, m.start() - 30) : m.start()]):
                 take("id_number", *m.span())
@@ -398,7 +441,7 @@ def find(text: str, names: Names) -> list[Found]:
     for f in find_phones(text, free):
         taken.append((f.begin, f.end))
         out.append(f)
-    out.extend(find_names(text, names, taken))
+    out.extend(find_names(text, names, taken, about))
     return sorted(out, key=lambda f: f.begin)
 
 
@@ -536,18 +579,19 @@ class Detector:
     """Finds entities of mails with the broadcast lexicon and the rare names that come with a row."""
 
     def __init__(self, names: Names):
-        self.names = names
+        self.names, self.about = names, _Words(names)
 
     def mail(self, text: str | None, page: str | None, rare) -> list[tuple[str, str | None, Visible | None, list[Found]]]:
         """(body, source, visible text, finds) of both bodies."""
-        names = self.names
+        names, about = self.names, self.about
         if rare is not None and len(rare):
             given, family = _lexicon(rare)
             names = Names(ChainMap(given, names.given), ChainMap(family, names.family), names.common)
+            about = _Words(names)
         out = []
         for body, value, read in (("text", text, visible_text), ("html", page, visible_html)):
             seen = read(value) if value else None
-            out.append((body, value, seen, find(seen.text, names) if seen else []))
+            out.append((body, value, seen, find(seen.text, names, about) if seen else []))
         return out
 
 
