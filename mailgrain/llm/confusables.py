@@ -3,10 +3,11 @@
 A longest-match transducer reads a text once, grapheme cluster by grapheme
 cluster.  Its mapping is compiled by rule from the Unicode character database
 (widths, ligatures, letter-like signs, composable accents, blanks, hyphens,
-invisible characters) plus a short list of look-alike letters, and checked for
-conflicts: no key twice with different outputs, no output that holds a key.
-Look-alikes and other foreign letters count only inside a word that also has
-Latin letters, so the word is buffered until it ends.
+invisible characters) plus a list of look-alike letters and what composes from
+them, and checked for conflicts: no key twice with different outputs, no output
+that holds a key, no look-alike that is a key of its own.  Entries of look-alikes
+hold only inside a word that also has Latin letters, so the word is buffered
+until it ends.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ KINDS = ("width", "accent", "invisible", "blank", "hyphen", "script")
 # Letters of other scripts that look like a Latin letter, and that letter.
 LOOKALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХԚԜҮасԁеһіјӏорԛѕԝхуү" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυχγ" "ՏՕԼՍոսցհօ" "ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ",
-        "ABESIJKMHOPCTYXQWYacdehijlopqswxyy" "ABEZHIKMNOPTYXaivopuxy" "SOLUnugho" "ABCEHJKLMPRSTVWZ",
+        "АВЕЅІЈКМНОРСТУХԚԜҮԌѴасԁеһіјӏорԛѕԝхуүѡѵ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϜαινορυχγϲϳ" "ՏՕԼՍոսցհօզյառ" "ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎠᎡᎽᏀᏔᏕᏤᏳ",
+        "ABESIJKMHOPCTYXQWYGVacdehijlopqswxyywv" "ABEZHIKMNOPTYXCFaivopuxycj" "SOLUnughoqjwn" "ABCEHJKLMPRSTVWZDRYGWSVG",
         strict=True,
     )
 )
@@ -72,9 +73,25 @@ def _mapping_of(c: str) -> tuple[str, str] | None:
     return None
 
 
+#: Keys of the leaves of the trie: of entries that always hold, and of those that hold in a word with Latin letters.
+ALWAYS, IN_WORD = "", "word"
+
+
+def lookalike_map() -> dict[str, str]:
+    """Look-alike letters and what they compose to, such as і with dots for ï."""
+    out = dict(LOOKALIKES)
+    for code in range(0x370, 0x2000):
+        full = unicodedata.normalize("NFD", chr(code))
+        if len(full) > 1 and full[0] in LOOKALIKES and all(map(_is_accent, full[1:])):
+            single = unicodedata.normalize("NFC", LOOKALIKES[full[0]] + full[1:])
+            if len(single) == 1:
+                out[unicodedata.normalize("NFC", chr(code))] = single
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def compiled() -> tuple[dict, dict[str, tuple[str, str]]]:
-    """(trie, flat mapping), conflict-checked.  The trie's leaves are under the key ``""``."""
+    """(trie, flat mapping), conflict-checked.  Look-alikes are in the flat mapping under the kind "script"."""
     flat: dict[str, tuple[str, str]] = {}
 
     def add(key: str, kind: str, out: str) -> None:
@@ -100,22 +117,27 @@ def compiled() -> tuple[dict, dict[str, tuple[str, str]]]:
     for key, (_, out) in flat.items():
         if any(c in flat for c in out):
             raise ValueError(f"output of {key!r} is itself mapped")
+    similar = lookalike_map()
+    for key, out in similar.items():
+        if key in flat or out in flat or out in similar or not _LATIN.fullmatch(out):
+            raise ValueError(f"look-alike {key!r} conflicts with another entry")
+        flat[key] = "script", out
     trie: dict = {}
     for key, leaf in flat.items():
         node = trie
         for c in key:
             node = node.setdefault(c, {})
-        node[""] = leaf
+        node[IN_WORD if leaf[0] == "script" else ALWAYS] = leaf
     return trie, flat
 
 
 @functools.lru_cache(maxsize=65536)
-def read_cluster(cluster: str) -> tuple[str, frozenset[str]]:
-    """Output and kinds of one grapheme cluster by longest match."""
+def read_cluster(cluster: str, in_word: bool = False) -> tuple[str, frozenset[str]]:
+    """Output and kinds of one grapheme cluster by longest match; ``in_word`` takes look-alikes too."""
     if cluster.isascii():
         return cluster, frozenset()
     trie, _ = compiled()
-    shown = "".join(c for c in cluster if trie.get(c, {}).get("", ("",))[0] != "invisible")
+    shown = "".join(c for c in cluster if trie.get(c, {}).get(ALWAYS, ("",))[0] != "invisible")
     keeps_joiners = bool(_EMOJI.search(shown) or _JOINING.search(shown))
     out, kinds, i = [], set(), 0
     while i < len(cluster):
@@ -123,8 +145,10 @@ def read_cluster(cluster: str) -> tuple[str, frozenset[str]]:
         while j < len(cluster) and cluster[j] in node:
             node = node[cluster[j]]
             j += 1
-            if "" in node:
-                best = j, node[""]
+            if ALWAYS in node:
+                best = j, node[ALWAYS]
+            elif in_word and IN_WORD in node:
+                best = j, node[IN_WORD]
         if best and not (keeps_joiners and best[1][0] == "invisible"):
             kinds.add(best[1][0])
             out.append(best[1][1])
@@ -153,7 +177,7 @@ def transduce(text: str) -> tuple[str, frozenset[str]]:
         nonlocal latin, foreign
         if latin and foreign:
             kinds.add("script")
-            out.extend("".join(LOOKALIKES.get(c, c) for c in w) for w in word)
+            out.extend(read_cluster(w, True)[0] for w in word)
         else:
             out.extend(word)
         word.clear()
