@@ -32,6 +32,12 @@ def p3_restored(spark, sf_dir):
     return found.where("garbled").drop("garbled")
 
 
+def p3_accuracy(spark, sf_dir):
+    """Share of clean values that come back after each kind of misreading."""
+    texts = confusables.header_texts(table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "attachment_part"), sender=True)
+    return mojibake.restoration_accuracy(texts, "text")
+
+
 KEY = "demonstration key"
 
 
@@ -101,6 +107,7 @@ QUERIES = {
     "p2_normal": p2_normal,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p3_accuracy": p3_accuracy,
     "p4_found": p4_found,
     "p4_collisions": p4_collisions,
     "p4_redacted": p4_redacted,

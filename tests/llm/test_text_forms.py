@@ -36,6 +36,14 @@ def test_normal_form_is_stable(text):
     assert C.normal_form(once) == once
 
 
+def test_lookalikes_are_stable_and_agree():
+    """In a word with Latin letters a look-alike gives what the letter itself gives, and twice changes nothing."""
+    for key, out in C.lookalike_map().items():
+        once = C.normal_form(f"x{key}y")
+        assert once == C.normal_form(f"x{out}y") == C.normal_form(once) == f"x{out}y"
+        assert C.normal_form(key) == key
+
+
 def test_normalise_rows(spark):
     rows = [(1, None, "k"), (2, "Ａ", "k"), (2, "Ａ", "k"), (3, "x" * 200_000 + " ", None)]
     out = C.normalise(spark.createDataFrame(rows, "id long, v string, kinds string"), "v", ["id"])
@@ -67,6 +75,66 @@ def test_restore(spark):
     assert M.restored(spark.createDataFrame([], "id long, v string"), "v", ["id"]).count() == 0
 
 
+def small_model(*more):
+    pairs = {}
+    for t in " ".join([*CLEAN, *more]).split(" "):
+        for a, b in zip("\x02" + t.lower(), t.lower() + "\x03"):
+            pairs[a + b] = pairs.get(a + b, 0) + 1
+    return M.Plausibility(pairs)
+
+
+def exhaustive(token, model, depth=2):
+    """Cheapest text within ``depth`` encode and decode steps, all of them tried."""
+    best, level = (model.cost(token), token), {token: (0.0, 0)}
+    for _ in range(depth):
+        after = {}
+        for text, (price, others) in level.items():
+            for read in M.READ_AS:
+                data = M.encode(text, read)
+                for to in M.WRITTEN_IN if data is not None and read else ():
+                    new = None if to == read else M.decode(data, to)
+                    if new:
+                        k = others + (to != "utf-8")
+                        cost = price + (M.UTF8_BITS if to == "utf-8" else M.STEP_BITS * k)
+                        after[new] = min(after.get(new, (cost, k)), (cost, k))
+                        best = min(best, (model.cost(new) + cost, new))
+        level = after
+    return best
+
+
+@pytest.mark.parametrize("text", ["Küche", "fällig", "Réunion", "décalée"])
+@pytest.mark.parametrize("steps", [(("utf-8", "cp1252"),), (("cp1252", "cp437"),), (("utf-8", "cp1252"), ("utf-8", "mac_roman")), (("utf-8", "cp437"), ("utf-8", "cp1252"))])
+def test_search_is_the_cheapest(text, steps):
+    model = small_model()
+    bad = M.garble(text, steps)
+    got, path, gain = M.search(bad, model)
+    cost, _ = exhaustive(bad, model)
+    assert model.cost(bad) - gain <= cost + 1e-9 and got == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcüéÃ©¼Â¤ñ", min_size=1, max_size=6))
+def test_bound_is_below_all_reached(token):
+    model = small_model()
+    cost, _ = exhaustive(token, model, 1)
+    assert model.bound(token) <= cost + 1e-9
+
+
+def test_lost_no_break_space():
+    restorer = M.Restorer(small_model("à la carte à jour", "à demain"))
+    assert restorer.restore(wrong("IRMÃ à margem", "utf-8", "cp1252").replace("\u00a0", " "))[1].replace("\u00a0", " ").endswith("à margem")
+
+
+def test_accuracy(spark):
+    rows = [(t,) for t in CLEAN * 20] + [(None,), ("",), ("plain",)]
+    got = {r["misreading"]: r for r in M.restoration_accuracy(spark.createDataFrame(rows, "v string"), "v").collect()}
+    assert set(got) <= set(M.MISREADINGS) and got["utf-8 as cp1252"]["restored"] >= 0.9 * got["utf-8 as cp1252"]["texts"]
+
+
+def test_model_is_bounded():
+    assert len({M.sign_of(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000}) <= 3072 + 256 + 17
+
+
 def test_codecs_round_trip():
     for name in M.READ_AS:
         for b in range(256):
