@@ -9,9 +9,11 @@ whole document: longest common run of words, longest common subsequence, and the
 share of the item's answer words found.  The passage geometry guarantees that
 ``RUN`` shared words lie in one passage of either side.
 
-The fit is bounded: all item passages and at most ``FIT_DOCUMENTS`` documents.
-The search covers every document.  Items go through in blocks of ``ITEM_BLOCK``,
-so what is broadcast never exceeds the model of one block.
+Texts are read once and kept as word numbers of the items' vocabulary; word
+frequencies, the fit and the search work on these.  The fit is bounded: all item
+passages and at most ``FIT_DOCUMENTS`` documents.  The search covers every
+document that has a passage to fold in.  Items go through in blocks of
+``ITEM_BLOCK``, so what is broadcast never exceeds the model of one block.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailgrain.runtime import spread
+from mailgrain.runtime import materialise, spread
 
 RUN = 13
 DOC_WINDOW, DOC_STEP = 20, 8
@@ -48,7 +49,9 @@ _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits, lower case, compatibility forms folded, invisible characters dropped."""
-    return _WORD.findall(unicodedata.normalize("NFKC", text).translate(_INVISIBLE).lower())
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+    return _WORD.findall(text.lower())
 
 
 def item_words(text: str) -> list[str]:
@@ -68,26 +71,30 @@ def weigh(ids: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, v / np.linalg.norm(v)
 
 
-def document_frequencies(documents: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents holding each word of the vocabulary, and the number of documents; counted over all."""
+def numbered(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """doc_id, ids, live: the words of every text by their numbers, -1 for words of no item.
+
+    ``live`` says whether some passage holds enough known words to be folded in.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        number = shared.value.get
         for batch in batches:
-            for text in batch["text"]:
-                seen[-1] += 1
-                seen.update({vocabulary[w] for w in words(text) if w in vocabulary})
-        yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
-
-    rows = documents.select("text").where("text is not null").mapInPandas(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary))
-    total = 0
-    for r in rows:
-        if r["w"] < 0:
-            total = r["n"]
-        else:
-            df[r["w"]] = r["n"]
-    return df, total
+            ids = [[number(w, -1) for w in words(t)] for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": pd.Series(ids, dtype=object, index=batch.index), "live": [bool(known_passages(x)) for x in ids]})
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    return documents.mapInPandas(run, f"doc_id {id_type}, ids array<int>, live boolean")
+
+
+def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Documents holding each word of the vocabulary, and the number of documents; counted over all."""
+    held = tokens.select(F.explode(F.array_distinct("ids")).alias("w")).where("w >= 0")
+    df = np.zeros(size)
+    for r in held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect():
+        df[r["w"]] = r["n"]
+    return df, tokens.count()
 
 
 def gram_product(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -138,19 +145,30 @@ def fold_in(rows: list[list[int]], basis: np.ndarray, idf: np.ndarray) -> np.nda
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
-def word_runs(ids: list[int]) -> set[tuple[int, ...]]:
-    """All runs of RUN known words."""
-    return {tuple(ids[k : k + RUN]) for k in range(len(ids) - RUN + 1) if min(ids[k : k + RUN]) >= 0}
+def word_runs(ids: list[int]) -> dict[tuple[int, ...], list[int]]:
+    """Where each run of RUN known words begins."""
+    out: dict[tuple[int, ...], list[int]] = {}
+    unknown = -1
+    for k, x in enumerate(ids):
+        if x < 0:
+            unknown = k
+        if k - unknown >= RUN:
+            out.setdefault(tuple(ids[k - RUN + 1 : k + 1]), []).append(k - RUN + 1)
+    return out
 
 
-def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest run of words common to both sequences."""
-    best, last = 0, np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        now = np.zeros_like(last)
-        now[1:] = np.where(b == x, last[:-1] + 1, 0)
-        best = max(best, int(now.max()))
-        last = now
+def longest_run(a: list[int], b: list[int], a_runs: dict, b_runs: dict) -> int:
+    """Length of the longest run of words common to both sequences, 0 if it is under RUN."""
+    best = 0
+    for gram in a_runs.keys() & b_runs.keys():
+        for i in a_runs[gram]:
+            for j in b_runs[gram]:
+                if i and j and a[i - 1] == b[j - 1] >= 0:
+                    continue  # counted from where the run begins
+                n = RUN
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, n)
     return best
 
 
@@ -169,57 +187,64 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(b) - row.bit_count()
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, rank: int = RANK, min_cosine: float = MIN_COSINE, item_block: int = ITEM_BLOCK) -> DataFrame:
     """doc_id, item_id, cosine, run, lcs_share, answer_share, kind of every leaking document and item.
 
-    ``kind`` is "verbatim" (RUN or more consecutive words) or "paraphrase".
-    Null and empty texts and items under RUN words give no row; repeated
-    documents give repeated rows.  Other columns are not read.
+    ``kind`` is "verbatim" (RUN or more consecutive words) or "paraphrase" (``run``
+    is 0 there).  Null and empty texts and items under RUN words give no row;
+    repeated documents give repeated rows.  Other columns are not read.
     """
-    items = eval_items.select("item_id", "text").where("text is not null").distinct()
-    blocks = max(1, math.ceil(items.count() / ITEM_BLOCK))
-    out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        part = _leaks_of_block(documents, [(r["item_id"], r["text"]) for r in block], eval_items.schema["item_id"].dataType, rank, min_cosine)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _leaks_of_block(documents, block, item_type, rank, min_cosine):
     spark = documents.sparkSession
-    texts = [(i, w) for i, w in ((i, item_words(t)) for i, t in block) if len(w) >= RUN]
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, cosine float, run int, lcs_share double, answer_share double, kind string"
+    id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((documents, "doc_id"), (eval_items, "item_id")))
+    schema = f"doc_id {id_type}, item_id {item_type}, cosine float, run int, lcs_share double, answer_share double, kind string"
+    rows = eval_items.select("item_id", "text").where("text is not null").distinct().collect()
+    texts = sorted(((r["item_id"], w) for r, w in ((r, item_words(r["text"])) for r in rows) if len(w) >= RUN), key=lambda x: (str(x[0]), x[1]))
     if not texts:
         return spark.createDataFrame([], schema)
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, x in texts for w in x}))}
     source = spread(documents.select("doc_id", "text").where(F.length("text") > 0))
-    df, total = document_frequencies(source, vocabulary)
+    tokens = materialise(numbered(source, vocabulary), "numbered-words")
+    df, total = document_frequencies(tokens, len(vocabulary))
     idf = np.log((total + 1) / (df + 1)) + 1.0
-    item_ids = [[vocabulary[w] for w in x] for _, x in texts]
+    out = None
+    for at in range(0, len(texts), item_block):
+        block = [(i, [vocabulary[w] for w in x]) for i, x in texts[at : at + item_block]]
+        part = _leaks_of_block(tokens, block, idf, schema, rank, min_cosine)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _leaks_of_block(tokens: DataFrame, block: list[tuple], idf_all: np.ndarray, schema: str, rank: int, min_cosine: float) -> DataFrame:
+    spark = tokens.sparkSession
+    # numbers within the block: its words only, so that the model is as large as the block
+    used = np.unique(np.concatenate([np.asarray(x) for _, x in block]))
+    local = np.full(len(idf_all) + 1, -1, dtype=np.int32)  # the last place serves -1
+    local[used] = np.arange(len(used), dtype=np.int32)
+    idf = idf_all[used]
+    item_ids = [local[np.asarray(x)].tolist() for _, x in block]
     passages = [(k, ids[s:e]) for k, ids in enumerate(item_ids) for s, e in windows(len(ids), ITEM_WINDOW, ITEM_STEP)]
+    numbers = spark.sparkContext.broadcast(local)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"ids": [p for t in batch["text"] for p in known_passages([vocabulary.get(w, -1) for w in words(t)])]})
+            yield pd.DataFrame({"ids": [p for x in batch["ids"] for p in known_passages(numbers.value[x].tolist())]})
 
-    sample = source.orderBy(F.xxhash64("doc_id")).limit(FIT_DOCUMENTS).select("text").repartition(8).mapInPandas(cut, "ids array<int>")
-    fit_rows = spark.createDataFrame([(p,) for _, p in passages], "ids array<int>").repartition(8).unionByName(sample)
-    basis = latent_basis(fit_rows, idf, rank)
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    sample = tokens.orderBy(F.xxhash64("doc_id")).limit(FIT_DOCUMENTS).where("live").select("ids").repartition(slots).mapInPandas(cut, "ids array<int>")
+    fit_rows = spark.createDataFrame([(p,) for _, p in passages], "ids array<int>").unionByName(sample).repartition(slots)
+    basis = latent_basis(materialise(fit_rows, "fit-passages"), idf, rank)
 
     owner = np.array([k for k, _ in passages])
     answers = [set(sorted(set(ids), key=lambda w: (-idf[w], w))[: max(3, len(set(ids)) // 8)]) for ids in item_ids]
-    shared = spark.sparkContext.broadcast((basis, idf, vocabulary, fold_in([p for _, p in passages], basis, idf), owner, item_ids, answers, [i for i, _ in texts]))
+    shared = spark.sparkContext.broadcast((basis, idf, fold_in([p for _, p in passages], basis, idf), owner, item_ids, answers, [i for i, _ in block]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, idf, vocabulary, latent, owner, item_ids, answers, names = shared.value
-        arrays = [np.array(x) for x in item_ids]
+        basis, idf, latent, owner, item_ids, answers, names = shared.value
         item_runs = [word_runs(x) for x in item_ids]
 
         for batch in batches:
             out = []
-            docs = [[vocabulary.get(w, -1) for w in words(t)] for t in batch["text"]]
+            docs = [numbers.value[x].tolist() for x in batch["ids"]]
             rows, of = [], []
             for k, ids in enumerate(docs):
                 for p in known_passages(ids):
@@ -231,17 +256,14 @@ def _leaks_of_block(documents, block, item_type, rank, min_cosine):
                 for r, c in zip(*np.nonzero(cosine >= min_cosine), strict=True):
                     pair = of[at + r], int(owner[c])
                     best[pair] = max(best.get(pair, 0.0), float(cosine[r, c]))
-            runs_of: dict[int, set[tuple[int, ...]]] = {}
+            runs_of: dict[int, dict] = {}
             for (k, item), cosine in best.items():
                 if k not in runs_of:
                     runs_of[k] = word_runs(docs[k])
-                verbatim = not runs_of[k].isdisjoint(item_runs[item])
+                run = longest_run(docs[k], item_ids[item], runs_of[k], item_runs[item])
                 share = common_subsequence(docs[k], item_ids[item]) / len(item_ids[item])
                 found = len(answers[item] & set(docs[k])) / len(answers[item])
-                if not verbatim and (share < PARAPHRASE_LCS or found < PARAPHRASE_ANSWERS):
-                    continue
-                run = longest_run(np.array(docs[k]), arrays[item])
-                if run >= RUN:
+                if run:
                     kind = "verbatim"
                 elif share >= PARAPHRASE_LCS and found >= PARAPHRASE_ANSWERS:
                     kind = "paraphrase"
@@ -250,7 +272,7 @@ def _leaks_of_block(documents, block, item_type, rank, min_cosine):
                 out.append((batch["doc_id"].iloc[k], names[item], cosine, run, share, found, kind))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "run", "lcs_share", "answer_share", "kind"])
 
-    return source.mapInPandas(search, schema)
+    return spread(tokens.where("live").select("doc_id", "ids")).mapInPandas(search, schema)
 
 
 def known_passages(ids: list[int]) -> list[list[int]]:

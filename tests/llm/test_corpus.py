@@ -37,6 +37,50 @@ def test_leaks_against_brute_force(spark):
     assert set(got) == truth and len(got) == len(truth) + ((0, next(i for d, i in truth if d == 0)) in got if any(d == 0 for d, _ in truth) else 0)
 
 
+def test_blocks_of_items_agree(spark):
+    """The verbatim pairs don't depend on how items are cut into blocks."""
+    rng = random.Random(8)
+    items = [(i, sentence(30, rng)) for i in range(12)]
+    docs = [(d, sentence(30, rng) + " " + (items[d % 12][1] if d % 3 == 0 else "") + " " + sentence(10, rng)) for d in range(90)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = [sorted((r["doc_id"], r["item_id"]) for r in L.leaks(*frames, rank=32, item_block=n).where("kind = 'verbatim'").collect()) for n in (100, 5)]
+    assert pairs[0] == pairs[1] == [(d, d % 12) for d in range(0, 90, 3)]
+
+
+def test_paraphrases(spark):
+    """Items retold with other common words and another order, no run of thirteen kept: at least nine in ten are found, and nothing else."""
+    rng = random.Random(21)
+    common, rare = WORDS[:60], WORDS[60:]
+    text = lambda n: " ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(n))
+    items = [(i, text(60)) for i in range(40)]
+
+    def retold(item):
+        out = []
+        w = item.split()
+        for at in range(0, len(w), 8):
+            part = w[at : at + 8]
+            k = next((k for k, x in enumerate(part) if x in common), 0)
+            part[k] = rng.choice(common)
+            if rng.random() < 0.4 and len(part) > 3:
+                part[-1], part[-2] = part[-2], part[-1]
+            out += part
+        return " ".join(out)
+
+    docs, truth = [], set()
+    for d in range(240):
+        i = d % 40
+        body = retold(items[i][1]) if d % 2 else text(60)
+        docs.append((d, f"{text(40)} {body} {text(20)}"))
+        w, ids = L.words(docs[-1][1]), L.item_words(items[i][1])
+        if d % 2 and not {tuple(w[k : k + 13]) for k in range(len(w) - 12)} & {tuple(ids[k : k + 13]) for k in range(len(ids) - 12)}:
+            truth.add((d, i))
+    found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found if r["kind"] == "paraphrase"}
+    print("paraphrases:", len(truth), "found:", len(got & truth), "others:", len(got - truth))
+    assert len(truth) > 60 and len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 0.02 * len(truth)
+    assert all(r["run"] == 0 for r in found if r["kind"] == "paraphrase")
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert L.leaks(docs, items).count() == 0
@@ -60,7 +104,11 @@ def test_sequences():
             for j in range(15):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
                 runs[i + 1, j + 1] = runs[i, j] + 1 if a[i] == b[j] else 0
-        assert L.common_subsequence(a, b) == table[-1, -1] and L.longest_run(np.array(a), np.array(b)) == runs.max()
+        assert L.common_subsequence(a, b) == table[-1, -1]
+    for _ in range(200):
+        a, b = [rng.randrange(2) for _ in range(60)], [rng.randrange(2) for _ in range(50)]
+        longest = max(n for n in range(51) if any(a[i : i + n] == b[j : j + n] for i in range(61 - n) for j in range(51 - n)))
+        assert L.longest_run(a, b, L.word_runs(a), L.word_runs(b)) == (longest if longest >= L.RUN else 0)
 
 
 def test_flight_keeps_both_sums():
