@@ -1,13 +1,15 @@
 """Several values packed in one field: dialect choice by minimum description length.
 
-A *dialect* says which characters separate values and whether single quotes
-quote.  Each field is tokenised once, every dialect proposes a parse, and the
-parse with the shortest code is taken.  A value's code is the length of its
-structural type (bare address, display name plus address, quoted name, ...)
-under type frequencies counted over the whole corpus; what fits no type is coded
-letter by letter, which is dear.  The frequencies come from one distributed
-counting pass whose result has at most ``len(TYPES) + len(DIALECTS)`` rows,
-whatever the size of the data.
+A *dialect* says which characters separate values and whether double quotes
+quote or are plain characters.  One pass over the data tokenises each field under
+either quoting, lets every dialect propose a parse, and writes the parses with
+the types of their values (bare address, display name plus address, quoted name,
+...).  Type and dialect frequencies are then counted over the whole corpus, and
+each field takes the parse with the shortest code under them: a value costs the
+code length of its type, what fits no type is coded letter by letter, which is
+dear.  Counting and choice are built-in expressions over the written parses; the
+counts have at most ``len(TYPES) + len(DIALECTS)`` rows, whatever the size of the
+data.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailgrain.runtime import spread
+from mailgrain.runtime import materialise, spread
 
 #: name -> separators.  A blank separates only after a complete value.
-DIALECTS: dict[str, str] = {
+SEPARATORS: dict[str, str] = {
     "comma": ",",
     "semicolon": ";",
     "pipe": "|",
@@ -36,6 +38,8 @@ DIALECTS: dict[str, str] = {
     "any": ",;|/\t\n",
     "any_blank": ",;|/\t\n ",
 }
+#: Dialects: separators with double quotes that quote, and the same with double quotes as plain characters.
+DIALECTS: dict[str, tuple[str, bool]] = {n: (s, True) for n, s in SEPARATORS.items()} | {f"{n}_unquoted": (s, False) for n, s in SEPARATORS.items()}
 
 TYPES = (
     "empty", "bare", "angle", "single_quoted", "quoted_local", "name_angle", "quoted_name_angle",
@@ -43,12 +47,10 @@ TYPES = (
 )
 
 LITERAL_BITS = 6.5
-OUT_SCHEMA_SUFFIX = "pos int, value string, addr string, dialect string"
 
-_TOKEN = re.compile(
-    r'(?P<qaddr>(?:mailto:)?"(?:\\.|[^"\\])*"@[\w.-]+)'
-    r'|(?P<dq>"(?:\\.|[^"\\])*")'
-    r"|(?P<sq>'(?:\"[^\"]*\"|[^'\s<>,;\"]+)@[^'\s<>,;\"]+')"
+_QUOTES = r"""(?P<qaddr>(?:mailto:)?"(?:\\.|[^"\\])*"@[\w.-]+)|(?P<dq>"(?:\\.|[^"\\])*")|"""
+_REST = (
+    r"(?P<sq>'(?:\"[^\"]*\"|[^'\s<>,;\"]+)@[^'\s<>,;\"]+')"
     r"|(?P<comment>\((?:\\.|[^()\\]|\([^()]*\))*\))"
     r"|(?P<angle><[^<>]*>)"
     r"|(?P<addr>(?:mailto:)?[^\s,;|/<>()\"':@]+(?:'[^\s,;|/<>()\"':@]+)*@[\w-]+(?:\.[\w-]+)*)"
@@ -56,15 +58,16 @@ _TOKEN = re.compile(
     r"|(?P<space>\s+)"
     r"|(?P<colon>:)"
     r"|(?P<word>[^\s,;|/<>()\":]+)"
-    r"|(?P<other>.)",
-    re.IGNORECASE | re.DOTALL,
+    r"|(?P<other>.)"
 )
+_TOKEN = re.compile(_QUOTES + _REST, re.IGNORECASE | re.DOTALL)
+_TOKEN_UNQUOTED = re.compile(_REST.replace("(?P<word>", '(?P<word>"|'), re.IGNORECASE | re.DOTALL)
 _HOLDS = {"qaddr", "sq", "angle", "addr"}
 
 
-def tokenise(text: str) -> list[tuple[str, str]]:
-    """Tokens of a packed field as (kind, text)."""
-    return [(m.lastgroup, m.group()) for m in _TOKEN.finditer(text)]
+def tokenise(text: str, quoted: bool = True) -> list[tuple[str, str]]:
+    """Tokens of a packed field as (kind, text), double quotes quoting or not."""
+    return [(m.lastgroup, m.group()) for m in (_TOKEN if quoted else _TOKEN_UNQUOTED).finditer(text)]
 
 
 def _bare(kind: str, text: str) -> str:
@@ -174,33 +177,65 @@ _SINGLE = re.compile(
 )
 
 
-def choose(text: str, types: dict[str, float], dialects: dict[str, float]):
-    """(dialect, values) of the cheapest parse; ties go to the earlier dialect.
+def plain_value(text: str) -> tuple[str, str] | None:
+    """(type, address) of a field of one plain value, which all dialects read alike; None for any other."""
+    single = _SINGLE.fullmatch(text)
+    if not single:
+        return None
+    kind = single.lastgroup
+    return kind, _bare("addr", text) if kind == "bare" else _bare("angle", text[text.rindex("<") :])
+
 
-    Dialects that differ only in separators the field doesn't hold share one parse.
+def parses(text: str) -> list[tuple[list[str], int, list[str], list[tuple[str, int]]]]:
+    """Distinct parses of a field: (value types, letters coded literally, addresses, dialects with their separators' number).
+
+    Dialects that differ only in separators the field doesn't hold share one
+    parse; those whose separators it doesn't hold at all are left to the first.
+    The quoting matters only where there is a double quote.
     """
-    single = _SINGLE.fullmatch(text)
-    if single:
-        kind = single.lastgroup
-        addr = text[text.rindex("<") :] if kind != "bare" else text
-        return "comma", [(kind, _bare("addr" if kind == "bare" else "angle", addr), "")]
-    tokens = tokenise(text)
-    present = {t for k, t in tokens if k == "delim"} | {c for k, t in tokens if k == "space" for c in t}
-    parses: dict[frozenset[str], tuple[list, float]] = {}
-    best = None
-    for name, separators in DIALECTS.items():
-        active = present & set(separators)
-        if best is not None and not active:
-            continue
-        key = frozenset(active)
-        if key not in parses:
-            values = parse(tokens, separators)
-            parses[key] = values, sum(types[t] + LITERAL_BITS * len(lit) for t, _, lit in values)
-        values, value_bits = parses[key]
-        cost = value_bits + (1.0 + math.log2(len(separators))) * (len(values) - 1) + dialects[name]
-        if best is None or cost < best[0]:
-            best = (cost, name, values)
-    return best[1], best[2]
+    plain = plain_value(text)
+    return [([plain[0]], 0, [plain[1]], [("comma", 1)])] if plain else all_parses(text)
+
+
+def all_parses(text: str) -> list[tuple[list[str], int, list[str], list[tuple[str, int]]]]:
+    """``parses`` by tokens, whatever the field holds."""
+    out: dict[tuple, tuple] = {}
+    for quoted in (True, False) if '"' in text else (True,):
+        tokens = tokenise(text, quoted)
+        present = {t for k, t in tokens if k == "delim"} | {c for k, t in tokens if k == "space" for c in t}
+        for name, (separators, quotes) in DIALECTS.items():
+            active = frozenset(present & set(separators))
+            if quotes != quoted or (not active and (not quoted or out)):
+                continue
+            key = quoted, active
+            if key not in out:
+                values = parse(tokens, separators)
+                # what quotes hide, or the quotes themselves where they don't quote
+                hidden = sum(len(t) for k, t in tokens if k == "dq" and _HIDDEN.search(t)) if quoted else text.count('"')
+                out[key] = ([t for t, _, _ in values], hidden + sum(len(lit) for _, _, lit in values), [a for _, a, _ in values if a], [])
+            out[key][3].append((name, len(separators)))
+    return list(out.values())
+
+
+#: A quoted string that holds a bracketed address is no name: its letters are coded one by one.
+_HIDDEN = re.compile(r"<[^<>\s]+@[^<>\s]+>")
+
+_PARSES = "array<struct<types: array<string>, literal: int, addrs: array<string>, dialects: array<struct<name: string, n: int>>>>"
+
+
+def parsed_fields(fields: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``parses`` of every field, by one pass over the texts."""
+    source = spread(fields.select(*keep, F.col(column).alias("__packed")).where(F.col("__packed").contains("@")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[keep].copy()
+            rows = [[{"types": t, "literal": n, "addrs": a, "dialects": [{"name": d, "n": k} for d, k in ds]} for t, n, a, ds in parses(x)] for x in batch["__packed"]]
+            out["parses"] = pd.Series(rows, dtype=object, index=batch.index)
+            yield out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
+    return source.mapInPandas(run, f"{schema}, parses {_PARSES}")
 
 
 def code_lengths(counts: dict[str, int], names) -> dict[str, float]:
@@ -209,32 +244,39 @@ def code_lengths(counts: dict[str, int], names) -> dict[str, float]:
     return {n: -math.log2((counts.get(n, 0) + 1) / total) for n in names}
 
 
-def learn_codes(fields: DataFrame, column: str) -> tuple[dict[str, float], dict[str, float]]:
-    """Code lengths of value types and dialects from one counting pass over all rows.
+def _table(bits: dict[str, float]) -> Column:
+    return F.create_map(*[x for k, v in bits.items() for x in (F.lit(k), F.lit(v))])
 
-    The workers pre-aggregate per batch; the driver gets one row per type or
-    dialect name (at most 25).
-    """
-    uniform = code_lengths({}, TYPES), code_lengths({}, DIALECTS)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally: dict[tuple[str, str], int] = {}
-        for batch in batches:
-            for text in batch[column]:
-                dialect, values = choose(text, *uniform)
-                if len(values) > 1:
-                    tally["dialect", dialect] = tally.get(("dialect", dialect), 0) + 1
-                for t, _, _ in values:
-                    tally["type", t] = tally.get(("type", t), 0) + 1
-        yield pd.DataFrame([(a, b, n) for (a, b), n in tally.items()], columns=["part", "name", "n"])
-
-    rows = (
-        fields.select(column)
-        .mapInPandas(count, "part string, name string, n long")
-        .groupBy("part", "name")
-        .agg(F.sum("n").alias("n"))
-        .collect()
+def cheapest(types: dict[str, float], dialects: dict[str, float]) -> Column:
+    """Struct of cost, order, dialect and parse number of the cheapest parse; ties go to the earlier dialect."""
+    of_type, of_dialect = _table(types), _table(dialects)
+    order = _table({d: float(k) for k, d in enumerate(DIALECTS)})
+
+    def of_parse(p: Column, k: Column) -> Column:
+        values = F.aggregate(p["types"], F.lit(0.0), lambda bits, t: bits + of_type[t]) + p["literal"] * LITERAL_BITS
+        return F.transform(
+            p["dialects"],
+            lambda d: F.struct(
+                F.round(values + (F.log2(d["n"].cast("double")) + 1.0) * (F.size(p["types"]) - 1) + of_dialect[d["name"]], 9).alias("cost"),
+                order[d["name"]].alias("order"), d["name"].alias("dialect"), k.alias("k"),
+            ),
+        )
+
+    return F.array_min(F.flatten(F.transform("parses", of_parse)))
+
+
+def learn_codes(parsed: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Code lengths of value types and dialects, counted over the parses cheapest under equal lengths.
+
+    The driver gets one row per type or dialect name.
+    """
+    first = parsed.select("parses", cheapest(code_lengths({}, TYPES), code_lengths({}, DIALECTS)).alias("c")).select(F.get("parses", F.col("c.k"))["types"].alias("types"), "c.dialect")
+    named = F.concat(
+        F.transform("types", lambda t: F.struct(F.lit("type").alias("part"), t.alias("name"))),
+        F.when(F.size("types") > 1, F.array(F.struct(F.lit("dialect").alias("part"), F.col("dialect").alias("name")))).otherwise(F.array()),
     )
+    rows = first.select(F.explode(named).alias("x")).groupBy("x.part", "x.name").agg(F.count(F.lit(1)).alias("n")).collect()
     seen = {(r["part"], r["name"]): r["n"] for r in rows}
     return (
         code_lengths({t: seen.get(("type", t), 0) for t in TYPES}, TYPES),
@@ -250,29 +292,13 @@ def split_packed(fields: DataFrame, column: str, keep: list[str], min_values: in
     ``min_values`` keeps only fields with at least so many recipients.  Other
     columns, whatever their names, are not carried.
     """
-    source = fields.select(*keep, F.col(column).alias("__packed")).where(F.col("__packed").contains("@"))
-    source = spread(source)
-    types, dialects = learn_codes(source, "__packed")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            index, pos, addr, used = [], [], [], []
-            for i, text in enumerate(batch["__packed"]):
-                dialect, values = choose(text, types, dialects)
-                found = [a for _, a, _ in values if a]
-                if len(found) < min_values:
-                    continue
-                for k, a in enumerate(found, 1):
-                    index.append(i)
-                    pos.append(k)
-                    addr.append(a)
-                    used.append(dialect)
-            out = batch[keep].iloc[index].reset_index(drop=True)
-            out["pos"], out["addr"], out["dialect"] = pd.Series(pos, dtype="int32"), pd.Series(addr, dtype=object), pd.Series(used, dtype=object)
-            yield out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
-    return source.mapInPandas(run, f"{schema}, pos int, addr string, dialect string")
+    parsed = materialise(parsed_fields(fields, column, keep), "parses")
+    types, dialects = learn_codes(parsed)
+    # a field none of whose parses holds enough recipients needs no choice
+    worth = parsed.where(F.exists("parses", lambda p: F.size(p["addrs"]) >= min_values))
+    chosen = worth.select(*keep, "parses", cheapest(types, dialects).alias("__c")).select(*keep, F.get("parses", F.col("__c.k"))["addrs"].alias("__a"), F.col("__c.dialect").alias("dialect"))
+    rows = chosen.where(F.size("__a") >= min_values).select(*keep, "dialect", F.posexplode("__a").alias("pos", "addr"))
+    return rows.select(*keep, (F.col("pos") + 1).alias("pos"), "addr", "dialect")
 
 
 def recipients(mail_headers: DataFrame, min_values: int = 1) -> DataFrame:
