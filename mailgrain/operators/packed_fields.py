@@ -14,6 +14,7 @@ data.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -62,7 +63,10 @@ _REST = (
 )
 _TOKEN = re.compile(_QUOTES + _REST, re.IGNORECASE | re.DOTALL)
 _TOKEN_UNQUOTED = re.compile(_REST.replace("(?P<word>", '(?P<word>"|'), re.IGNORECASE | re.DOTALL)
-_HOLDS = {"qaddr", "sq", "angle", "addr"}
+#: Token kinds as one letter each; see ``shape_of``.
+_LETTER = {"qaddr": "q", "dq": "d", "sq": "s", "comment": "c", "addr": "m", "colon": ":", "word": "w", "other": "o"}
+_HOLDS = frozenset("qsame")
+_NAMED = {"m": "bare", "a": "angle", "s": "single_quoted", "q": "quoted_local"}
 
 
 def tokenise(text: str, quoted: bool = True) -> list[tuple[str, str]]:
@@ -81,91 +85,177 @@ def _bare(kind: str, text: str) -> str:
     return text.strip().lower()
 
 
-def _classify(tokens: list[tuple[str, str]]) -> tuple[str, str | None, str]:
-    """(type, address, letters to code literally) of one value without blanks."""
-    if not tokens:
-        return "empty", None, ""
-    holders = [t for t in tokens if t[0] in _HOLDS and "@" in t[1]]
-    kinds = [k for k, _ in tokens]
-    literal = "".join(t for _, t in tokens)
-    if len(holders) == 2 and kinds == ["addr", "angle"] and _bare(*holders[0]) == _bare(*holders[1]):
-        return "self_name", _bare(*holders[1]), ""
-    if len(holders) == 2 and kinds == ["sq", "angle"]:
-        return "single_name_angle", _bare(*holders[1]), ""
+def shape_of(tokens: list[tuple[str, str]]) -> str:
+    """One letter per token, all that parsing depends on.
+
+    q s m: quoted, single-quoted and plain address; a: bracketed address, e: the
+    same one as the plain address before it, A: brackets without address; d:
+    quoted string, D: one that holds a bracketed address; c w o: comment, word,
+    anything else; a delimiter and a colon stand for themselves, white space for
+    a blank, tab, line break or (B) both of these.
+    """
+    out = []
+    last = None
+    for kind, text in tokens:
+        if kind == "delim":
+            out.append(text)
+        elif kind == "space":
+            out.append(" " if text == " " else {(True, True): "B", (True, False): "\n", (False, True): "\t"}.get(("\n" in text, "\t" in text), " "))
+        elif kind == "angle":
+            if "@" not in text:
+                out.append("A")
+            else:
+                out.append("e" if last is not None and last[0] == "addr" and _bare(*last) == _bare(kind, text) else "a")
+                last = kind, text
+        else:
+            out.append("D" if kind == "dq" and _HIDDEN.search(text) else _LETTER[kind])
+            if kind in ("addr", "sq", "qaddr"):
+                last = kind, text
+    return "".join(out)
+
+
+def _classify(kinds: str, at: list[int]) -> tuple[str, int | None, tuple[int, ...]]:
+    """(type, place of the address, places to code letter by letter) of one value without blanks."""
+    if not kinds:
+        return "empty", None, ()
+    holders = [k for k, kind in zip(at, kinds, strict=True) if kind in _HOLDS]
+    if kinds == "me":
+        return "self_name", holders[1], ()
+    if kinds in ("sa", "se"):
+        return "single_name_angle", holders[1], ()
     if len(holders) != 1:
-        return "junk", None, literal
-    addr = _bare(*holders[0])
+        return "junk", None, tuple(at)
+    place = holders[0]
     if len(kinds) == 1:
-        return {"addr": "bare", "angle": "angle", "sq": "single_quoted", "qaddr": "quoted_local"}[kinds[0]], addr, ""
-    if kinds[-1] == "angle":
+        return _NAMED["a" if kinds == "e" else kinds], place, ()
+    if kinds[-1] in "aeA":
         head = kinds[:-1]
-        if head == ["dq"]:
-            return "quoted_name_angle", addr, ""
-        if set(head) <= {"word", "dq"}:
-            return "name_angle", addr, ""
-        if "comment" in head and set(head) <= {"word", "dq", "comment"}:
-            return "comment_angle", addr, ""
-        if head.count("delim") == 1 and set(head) <= {"word", "delim"} and head[0] == head[-1] == "word":
-            if next(t for k, t in tokens if k == "delim") == ",":
-                return "last_first_angle", addr, ""
-    if kinds[-1] == "comment" and len(kinds) == 2:
-        return "bare_comment", addr, ""
-    return "junk", addr, literal
-
-
-def parse(tokens: list[tuple[str, str]], separators: str) -> list[tuple[str, str | None, str]]:
-    """Values of a tokenised field under one dialect.
+        if head in ("d", "D"):
+            return "quoted_name_angle", place, ()
+        if set(head) <= set("wdD"):
+            return "name_angle", place, ()
+        if "c" in head and set(head) <= set("wdDc"):
+            return "comment_angle", place, ()
+        if head[0] == head[-1] == "w" and set(head) <= set("w,") and head.count(",") == 1:
+            return "last_first_angle", place, ()
+    if kinds[-1] == "c" and len(kinds) == 2:
+        return "bare_comment", place, ()
+    return "junk", place, tuple(at)
+
+
+_Value = tuple[str, int | None, tuple[int, ...]]
+#: Values of a stretch without other separators where blanks separate: up to the first blank after an address that no comment or delimiter follows.
+_BY_BLANK = re.compile(r"[^qsmaeA]*[qsmaeA][^ \t\nB]*(?:[ \t\nB](?:[c,;|/][^ \t\nB]*|$))*[ \t\nB]?|[^qsmaeA]+$")
+
+
+@functools.lru_cache(maxsize=65_536)
+def _segment(segment: str) -> _Value:
+    """``_classify`` of a stretch of a shape, by places within it."""
+    at = [k for k, c in enumerate(segment) if c not in " \t\nB"]
+    return _classify("".join(segment[k] for k in at), at)
+
+
+@functools.lru_cache(maxsize=64)
+def _splitter(separators: str) -> re.Pattern:
+    return re.compile("[" + re.escape(separators.replace(" ", "")) + ("B" if set(separators) & set("\t\n") else "") + "]")
+
+
+@functools.lru_cache(maxsize=64)
+def _blank_splits(separators: str) -> re.Pattern:
+    """Where a blank may end a value: behind an address of the same stretch, no comment or delimiter next."""
+    inner = "[^" + re.escape(separators) + ("B" if set(separators) & set("\t\n") else "") + "]" if separators else "(?:.|\n)"
+    return re.compile(f"[qsmaeA]{inner}*?[ \\t\\nB](?=[^c,;|/])")
+
+
+def parse(shape: str, separators: str) -> list[_Value]:
+    """Values of a field's shape under one dialect, by places of its tokens; stretch by stretch unless there are groups."""
+    if ":" in shape:
+        return parse_by_token(shape, separators)
+    plain, by_blank = separators.strip(" "), " " in separators
+    values: list[_Value] = []
+    waiting, waits_at = "", 0
+    begin = 0
+    for stretch in _splitter(plain).split(shape) if plain else [shape]:
+        at = begin
+        for piece in _BY_BLANK.findall(stretch) or (stretch,) if by_blank else (stretch,):
+            if waiting:
+                kind, place, _ = _segment(f"{waiting},{piece}")
+                if kind == "last_first_angle":
+                    values.append((kind, place - len(waiting) - 1 + at, ()))
+                    waiting = ""
+                    at += len(piece)
+                    continue
+                values.append(("junk", None, tuple(k + waits_at for k in _segment(waiting)[2])))
+                waiting = ""
+            got = kind, place, literal = _segment(piece)
+            if literal:
+                if piece.strip("w \t\nB") == "":
+                    waiting, waits_at = piece, at
+                else:
+                    values.append((kind, None if place is None else place + at, tuple(k + at for k in literal)))
+            elif place is None:
+                values.append(got)
+            else:
+                values.append((kind, place + at, literal))
+            at += len(piece)
+        begin += len(stretch) + 1
+    if waiting:
+        values.append(("junk", None, tuple(k + waits_at for k in _segment(waiting)[2])))
+    return values
+
+
+def parse_by_token(shape: str, separators: str) -> list[_Value]:
+    """``parse`` token by token.
 
     A name part without an address is joined to the next value when both make
-    "Last, First <address>".  A group name opens a group, ";" closes it.
+    "Last, First <address>"; the comma between them is place -1.  A group name
+    opens a group, ";" closes it.
     """
-    values: list[tuple[str, str | None, str]] = []
-    part: list[tuple[str, str]] = []
-    grouped = False
-    complete = False
-    waiting: list[tuple[str, str]] = []
+    values: list[tuple[str, int | None, tuple[int, ...]]] = []
+    part: list[int] = []
+    grouped = complete = False
+    waiting: list[int] = []
+
+    def kinds(at: list[int]) -> str:
+        return "".join("," if k < 0 else shape[k] for k in at)
 
     def close() -> None:
         nonlocal part, waiting, complete
         body, part, complete = part, [], False
         if waiting:
-            joined = [*waiting, ("delim", ","), *body]
+            joined, before = [*waiting, -1, *body], waiting
             waiting = []
-            got = _classify(joined)
+            got = _classify(kinds(joined), joined)
             if got[0] == "last_first_angle":
                 values.append(got)
                 return
-            values.append(_classify(joined[: joined.index(("delim", ","))]))
-        if body and all(k == "word" for k, _ in body):
+            values.append(_classify(kinds(before), before))
+        if body and set(kinds(body)) == {"w"}:
             waiting = body
             return
-        values.append(_classify(body))
+        values.append(_classify(kinds(body), body))
 
-    for i, (kind, text) in enumerate(tokens):
-        if kind == "space":
-            if "\n" in separators and "\n" in text:
+    for i, kind in enumerate(shape):
+        if kind in " \t\nB":
+            if (kind in "\nB" and "\n" in separators) or (kind in "\tB" and "\t" in separators):
                 close()
-            elif "\t" in separators and "\t" in text:
+            elif " " in separators and complete and shape[i + 1 : i + 2] not in ("", "c", ",", ";", "|", "/"):
                 close()
-            elif " " in separators and complete:
-                after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
-                if after not in ("", "comment", "delim"):
-                    close()
             continue
-        if kind == "delim" and (text in separators or (grouped and text == ";")):
-            if text == ";" and grouped and ";" not in separators:
+        if kind in ",;|/" and (kind in separators or (grouped and kind == ";")):
+            if kind == ";" and grouped and ";" not in separators:
                 grouped = False
             close()
             continue
-        if kind == "colon" and part and not complete and not waiting and all(k in ("word", "dq") for k, _ in part):
-            values.append(("group", None, ""))
+        if kind == ":" and part and not complete and not waiting and set(kinds(part)) <= set("wdD"):
+            values.append(("group", None, ()))
             part, grouped = [], True
             continue
-        part.append((kind, text))
-        complete = complete or kind in _HOLDS
+        part.append(i)
+        complete = complete or kind in "qsmaeA"
     close()
     if waiting:
-        values.append(_classify(waiting))
+        values.append(_classify(kinds(waiting), waiting))
     return values
 
 
@@ -186,56 +276,119 @@ def plain_value(text: str) -> tuple[str, str] | None:
     return kind, _bare("addr", text) if kind == "bare" else _bare("angle", text[text.rindex("<") :])
 
 
-def parses(text: str) -> list[tuple[list[str], int, list[str], list[tuple[str, int]]]]:
-    """Distinct parses of a field: (value types, letters coded literally, addresses, dialects with their separators' number).
+@functools.lru_cache(maxsize=50_000)
+def parses_of(shape: str, quoted: bool) -> tuple[tuple[tuple[tuple[str, int], ...], tuple[int, ...], tuple[int, ...], tuple[str, ...]], ...]:
+    """Distinct parses of a shape: (value types with their counts, places coded literally, places of addresses, dialects).
 
     Dialects that differ only in separators the field doesn't hold share one
     parse; those whose separators it doesn't hold at all are left to the first.
-    The quoting matters only where there is a double quote.
+    Texts are many, shapes few, so parses are remembered by shape.
     """
+    present = set(shape) & set(",;|/") | {c for k in shape for c in {" ": " ", "\t": "\t", "\n": "\n", "B": "\t\n"}.get(k, "")}
+    seen: dict[frozenset, tuple] = {}
+    out: dict[tuple, list[str]] = {}
+    for name, (separators, quotes) in DIALECTS.items():
+        if quotes != quoted:
+            continue
+        active = frozenset(present & set(separators))
+        if " " in active and not _blank_splits("".join(sorted(active - {" "}))).search(shape):
+            active -= {" "}
+        if not active and (not quoted or out):
+            continue
+        if active not in seen:
+            counts: dict[str, int] = {}
+            literal, places = [], []
+            for kind, place, letters in parse(shape, separators):
+                counts[kind] = counts.get(kind, 0) + 1
+                if place is not None:
+                    places.append(place)
+                if letters:
+                    literal += letters
+            seen[active] = tuple(counts.items()), tuple(literal), tuple(places)
+        out.setdefault(seen[active], []).append(name)
+    return tuple((*parsed, tuple(names)) for parsed, names in out.items())
+
+
+def parses(text: str) -> list[tuple[tuple[tuple[str, int], ...], int, list[str], tuple[str, ...]]]:
+    """Distinct parses of a field: (value types with counts, letters coded literally, addresses, dialects)."""
     plain = plain_value(text)
-    return [([plain[0]], 0, [plain[1]], [("comma", 1)])] if plain else all_parses(text)
+    return [(((plain[0], 1),), 0, [plain[1]], ("comma",))] if plain else all_parses(text)
 
 
-def all_parses(text: str) -> list[tuple[list[str], int, list[str], list[tuple[str, int]]]]:
-    """``parses`` by tokens, whatever the field holds."""
-    out: dict[tuple, tuple] = {}
+def all_parses(text: str) -> list[tuple[tuple[tuple[str, int], ...], int, list[str], tuple[str, ...]]]:
+    """``parses`` by tokens, whatever the field holds.
+
+    Double quotes are tried as plain characters only where every parse in which
+    they quote leaves letters to be coded literally: with none left, a parse costs
+    less than one that pays for each quote as a letter.
+    """
+    out = []
     for quoted in (True, False) if '"' in text else (True,):
+        if not quoted and any(letters == 0 for _, letters, _, _ in out):
+            break
         tokens = tokenise(text, quoted)
-        present = {t for k, t in tokens if k == "delim"} | {c for k, t in tokens if k == "space" for c in t}
-        for name, (separators, quotes) in DIALECTS.items():
-            active = frozenset(present & set(separators))
-            if quotes != quoted or (not active and (not quoted or out)):
-                continue
-            key = quoted, active
-            if key not in out:
-                values = parse(tokens, separators)
-                # what quotes hide, or the quotes themselves where they don't quote
-                hidden = sum(len(t) for k, t in tokens if k == "dq" and _HIDDEN.search(t)) if quoted else text.count('"')
-                out[key] = ([t for t, _, _ in values], hidden + sum(len(lit) for _, _, lit in values), [a for _, a, _ in values if a], [])
-            out[key][3].append((name, len(separators)))
-    return list(out.values())
+        bare: dict[int, str] = {}
+        shape = shape_of(tokens)
+        # what quotes hide is coded letter by letter, and so are the quotes where they don't quote
+        hidden = sum(len(tokens[k][1]) for k, c in enumerate(shape) if c == "D") if quoted else text.count('"')
+        for types, literal, places, dialects in parses_of(shape, quoted):
+            letters = sum(len(tokens[k][1]) if k >= 0 else 1 for k in literal)
+            for k in places:
+                if k not in bare:
+                    bare[k] = _bare(*tokens[k])
+            out.append((types, hidden + letters, [bare[k] for k in places], dialects))
+    return out
 
 
 #: A quoted string that holds a bracketed address is no name: its letters are coded one by one.
 _HIDDEN = re.compile(r"<[^<>\s]+@[^<>\s]+>")
+#: Signs between the parses of a field, the parts of a parse, and its addresses.
+_NEXT_PARSE, _NEXT_PART, _NEXT_ADDRESS = "\x1d", "\x1e", "\x1f"
+_TYPE_SIGN = {t: chr(97 + k) for k, t in enumerate(TYPES)}
+_DIALECT_SIGN = {d: chr(65 + k) for k, d in enumerate(DIALECTS)}
+
 
-_PARSES = "array<struct<types: array<string>, literal: int, addrs: array<string>, dialects: array<struct<name: string, n: int>>>>"
+#: What stands for one of these signs, and for the sign it begins with, inside an address.
+_INSIDE = {"\x1c": "\x1c0", _NEXT_PARSE: "\x1c1", _NEXT_PART: "\x1c2", _NEXT_ADDRESS: "\x1c3"}
 
 
-def parsed_fields(fields: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """``keep`` and ``parses`` of every field, by one pass over the texts."""
+def _kept(address: str) -> str:
+    return address.translate({ord(k): v for k, v in _INSIDE.items()}) if not address.isprintable() else address
+
+
+def _given_back(address: Column) -> Column:
+    out = address
+    for sign, inside in reversed(_INSIDE.items()):
+        out = F.replace(out, F.lit(inside), F.lit(sign))
+    return F.when(address.contains("\x1c"), out).otherwise(address)
+
+
+def written(text: str, min_values: int) -> str:
+    """Parses of a field as one string: value count, types with counts, literal letters, dialects, addresses.
+
+    Addresses are left out of parses with fewer than ``min_values``.
+    """
+    return _NEXT_PARSE.join(
+        _NEXT_PART.join((
+            str(sum(n for _, n in types)), ",".join(f"{_TYPE_SIGN[t]}{n}" for t, n in types), str(literal), "".join(map(_DIALECT_SIGN.get, dialects)),
+            _NEXT_ADDRESS.join(map(_kept, found)) if len(found) >= min_values else "",
+        ))
+        for types, literal, found, dialects in parses(text)
+    )
+
+
+def parsed_fields(fields: DataFrame, column: str, keep: list[str], min_values: int = 1) -> DataFrame:
+    """``keep`` and ``parses`` (see ``written``) of every field, by one pass over the texts."""
     source = spread(fields.select(*keep, F.col(column).alias("__packed")).where(F.col("__packed").contains("@")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[keep].copy()
-            rows = [[{"types": t, "literal": n, "addrs": a, "dialects": [{"name": d, "n": k} for d, k in ds]} for t, n, a, ds in parses(x)] for x in batch["__packed"]]
-            out["parses"] = pd.Series(rows, dtype=object, index=batch.index)
+            out["parses"] = [written(x, min_values) for x in batch["__packed"]]
             yield out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
-    return source.mapInPandas(run, f"{schema}, parses {_PARSES}")
+    return source.mapInPandas(run, f"{schema}, parses string")
 
 
 def code_lengths(counts: dict[str, int], names) -> dict[str, float]:
@@ -244,26 +397,36 @@ def code_lengths(counts: dict[str, int], names) -> dict[str, float]:
     return {n: -math.log2((counts.get(n, 0) + 1) / total) for n in names}
 
 
-def _table(bits: dict[str, float]) -> Column:
-    return F.create_map(*[x for k, v in bits.items() for x in (F.lit(k), F.lit(v))])
+def _table(bits: dict[str, float], signs: dict[str, str]) -> Column:
+    return F.create_map(*[x for k, v in bits.items() for x in (F.lit(signs[k]), F.lit(float(v)))])
 
 
 def cheapest(types: dict[str, float], dialects: dict[str, float]) -> Column:
-    """Struct of cost, order, dialect and parse number of the cheapest parse; ties go to the earlier dialect."""
-    of_type, of_dialect = _table(types), _table(dialects)
-    order = _table({d: float(k) for k, d in enumerate(DIALECTS)})
+    """Struct of cost, dialect sign, types and addresses of the cheapest of ``parses``; ties go to the earlier dialect."""
+    of_type, of_dialect = _table(types, _TYPE_SIGN), _table(dialects, _DIALECT_SIGN)
+    of_separator = _table({d: 1.0 + math.log2(len(s)) for d, (s, _) in DIALECTS.items()}, _DIALECT_SIGN)
+
+    def of_parse(p: Column) -> Column:
+        part = F.split(p, _NEXT_PART)
+        bits = F.aggregate(F.split(part[1], ","), F.lit(0.0), lambda acc, t: acc + of_type[F.substring(t, 1, 1)] * F.substring(t, 2, 9).cast("int")) + part[2].cast("int") * LITERAL_BITS
+        more = part[0].cast("int") - 1
+        # dialects of one parse differ by their own bits only: the cheapest of them is enough
+        best = F.array_min(F.transform(F.split(part[3], ""), lambda d: F.struct(F.round(of_separator[d] * more + of_dialect[d], 9).alias("bits"), d.alias("dialect"))))
+        return F.struct(F.round(bits + best["bits"], 9).alias("cost"), best["dialect"].alias("dialect"), part[1].alias("types"), part[4].alias("addrs"))
+
+    return F.array_min(F.transform(F.split("parses", _NEXT_PARSE), of_parse))
 
-    def of_parse(p: Column, k: Column) -> Column:
-        values = F.aggregate(p["types"], F.lit(0.0), lambda bits, t: bits + of_type[t]) + p["literal"] * LITERAL_BITS
-        return F.transform(
-            p["dialects"],
-            lambda d: F.struct(
-                F.round(values + (F.log2(d["n"].cast("double")) + 1.0) * (F.size(p["types"]) - 1) + of_dialect[d["name"]], 9).alias("cost"),
-                order[d["name"]].alias("order"), d["name"].alias("dialect"), k.alias("k"),
-            ),
-        )
 
-    return F.array_min(F.flatten(F.transform("parses", of_parse)))
+def only_parse() -> Column:
+    """Dialect sign, types and addresses of a field with one parse in one dialect, else null; saves scoring it."""
+    part = F.split("parses", _NEXT_PART)
+    alone = ~F.col("parses").contains(_NEXT_PARSE) & (F.length(part[3]) == 1)
+    return F.when(alone, F.struct(F.lit(0.0).alias("cost"), part[3].alias("dialect"), part[1].alias("types"), part[4].alias("addrs")))
+
+
+def choice(types: dict[str, float], dialects: dict[str, float]) -> Column:
+    """``cheapest``, at once where there is nothing to choose."""
+    return F.coalesce(only_parse(), cheapest(types, dialects))
 
 
 def learn_codes(parsed: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -271,16 +434,14 @@ def learn_codes(parsed: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
     The driver gets one row per type or dialect name.
     """
-    first = parsed.select("parses", cheapest(code_lengths({}, TYPES), code_lengths({}, DIALECTS)).alias("c")).select(F.get("parses", F.col("c.k"))["types"].alias("types"), "c.dialect")
-    named = F.concat(
-        F.transform("types", lambda t: F.struct(F.lit("type").alias("part"), t.alias("name"))),
-        F.when(F.size("types") > 1, F.array(F.struct(F.lit("dialect").alias("part"), F.col("dialect").alias("name")))).otherwise(F.array()),
-    )
-    rows = first.select(F.explode(named).alias("x")).groupBy("x.part", "x.name").agg(F.count(F.lit(1)).alias("n")).collect()
-    seen = {(r["part"], r["name"]): r["n"] for r in rows}
+    first = parsed.select(choice(code_lengths({}, TYPES), code_lengths({}, DIALECTS)).alias("c")).groupBy("c.types", "c.dialect").agg(F.count(F.lit(1)).alias("n"))
+    types = first.select("n", F.explode(F.split("types", ",")).alias("t")).select(F.substring("t", 1, 1).alias("sign"), (F.substring("t", 2, 9).cast("long") * F.col("n")).alias("n"))
+    several = first.where("types not rlike '^.1$'").select(F.col("dialect").alias("sign"), "n")
+    rows = types.unionByName(several).groupBy("sign").agg(F.sum("n").alias("n")).collect()
+    seen = {r["sign"]: r["n"] for r in rows}
     return (
-        code_lengths({t: seen.get(("type", t), 0) for t in TYPES}, TYPES),
-        code_lengths({d: seen.get(("dialect", d), 0) for d in DIALECTS}, DIALECTS),
+        code_lengths({t: seen.get(_TYPE_SIGN[t], 0) for t in TYPES}, TYPES),
+        code_lengths({d: seen.get(_DIALECT_SIGN[d], 0) for d in DIALECTS}, DIALECTS),
     )
 
 
@@ -292,13 +453,14 @@ def split_packed(fields: DataFrame, column: str, keep: list[str], min_values: in
     ``min_values`` keeps only fields with at least so many recipients.  Other
     columns, whatever their names, are not carried.
     """
-    parsed = materialise(parsed_fields(fields, column, keep), "parses")
+    parsed = materialise(parsed_fields(fields, column, keep, min_values), "parses")
     types, dialects = learn_codes(parsed)
+    names = F.create_map(*[F.lit(x) for d, sign in _DIALECT_SIGN.items() for x in (sign, d)])
     # a field none of whose parses holds enough recipients needs no choice
-    worth = parsed.where(F.exists("parses", lambda p: F.size(p["addrs"]) >= min_values))
-    chosen = worth.select(*keep, "parses", cheapest(types, dialects).alias("__c")).select(*keep, F.get("parses", F.col("__c.k"))["addrs"].alias("__a"), F.col("__c.dialect").alias("dialect"))
-    rows = chosen.where(F.size("__a") >= min_values).select(*keep, "dialect", F.posexplode("__a").alias("pos", "addr"))
-    return rows.select(*keep, (F.col("pos") + 1).alias("pos"), "addr", "dialect")
+    worth = parsed.where(F.col("parses").rlike(_NEXT_PART + "[^" + _NEXT_PART + _NEXT_PARSE + "]+(?:" + _NEXT_PARSE + "|$)")) if min_values > 1 else parsed
+    chosen = worth.select(*keep, choice(types, dialects).alias("__c")).where(F.length("__c.addrs") > 0)
+    rows = chosen.select(*keep, names[F.col("__c.dialect")].alias("dialect"), F.posexplode(F.split("__c.addrs", _NEXT_ADDRESS)).alias("pos", "addr"))
+    return rows.select(*keep, (F.col("pos") + 1).alias("pos"), _given_back(F.col("addr")).alias("addr"), "dialect")
 
 
 def recipients(mail_headers: DataFrame, min_values: int = 1) -> DataFrame:
