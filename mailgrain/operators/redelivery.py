@@ -1,31 +1,34 @@
 """Messages delivered more than once: a persistent identifier index, probed batch by batch.
 
-Identifiers become 128-bit hashes.  The index holds, by hash prefix, immutable
-runs of sorted identifier arrays with the smallest ``hdr_id`` seen of each.  A
-batch is reduced locally (per identifier, map-side), routed by prefix and probed
-by binary search; what is novel becomes a new run, what is known only lowers the
-kept ``hdr_id``; runs are merged once there are more than ``max_runs``.  Every
-prefix is one bounded group whatever the copies: a message with a third of all
-rows is one entry per batch by the time it reaches its prefix.
+Identifiers become 128-bit hashes.  The index is a folder of immutable runs.  A
+run holds, by hash prefix, sorted identifier arrays with the smallest and the
+largest ``hdr_id`` seen of each.  What is ingested is reduced locally (per
+identifier and batch, map-side) and routed by prefix; batch by batch in order of
+``batch_no`` it is probed by binary search against the runs, and what is novel or
+changes an entry becomes the next run.  Runs are merged once there are more than
+``RUNS_BEFORE_MERGE``.  Every prefix is one bounded group whatever the copies: a
+message with a third of all rows is one entry per batch by the time it reaches its
+prefix, and merging splits prefixes that have grown beyond ``KEYS_PER_PREFIX``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mailgrain.runtime import materialise, scratch_path
 
 KEYS_PER_PREFIX = 100_000
 RUNS_BEFORE_MERGE = 4
-HOT_KEYS = 10_000
-INDEX_SCHEMA = "prefix int, run int, hi array<bigint>, lo array<bigint>, first_id array<bigint>, copies array<bigint>"
+LEAST_PREFIXES = 16
+RUN_SCHEMA = "prefix int, hi array<bigint>, lo array<bigint>, first_id array<bigint>, last_id array<bigint>"
+_COLUMNS = ("hi", "lo", "first_id", "last_id")
+_NAME = re.compile(r"(run|merged)-(\d{6})-p(\d+)")
 
 
 def normal_identifier(message_id: Column) -> Column:
@@ -59,10 +62,12 @@ def keyed_deliveries(delivered: DataFrame, mail_headers: DataFrame) -> DataFrame
 
 
 class Runs:
-    """Sorted identifier arrays of one prefix."""
+    """Sorted identifier arrays of one prefix: persisted ones, which only note what changes, and new ones."""
 
-    def __init__(self, max_runs: int = RUNS_BEFORE_MERGE):
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, persisted=(), max_runs: int = RUNS_BEFORE_MERGE):
+        self.persisted = [tuple(np.array(x, dtype=np.int64) for x in run) for run in persisted]
+        self.changed = [np.zeros(len(run[0]), dtype=bool) for run in self.persisted]
+        self.new: list[tuple[np.ndarray, ...]] = []
         self.max_runs = max_runs
 
     @staticmethod
@@ -82,102 +87,175 @@ class Runs:
                 p += 1
         return found
 
-    def ingest(self, hi: np.ndarray, lo: np.ndarray, first: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    def ingest(self, hi: np.ndarray, lo: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Add one batch of distinct identifiers; True for the novel ones."""
         novel = np.ones(len(hi), dtype=bool)
-        for run in self.runs:
+        for k, run in enumerate(self.persisted + self.new):
+            if not len(run[0]):
+                continue
             at = self.find(run, hi, lo)
             hit = at >= 0
+            if k < len(self.persisted):
+                self.changed[k][at[hit]] |= (first[hit] < run[2][at[hit]]) | (last[hit] > run[3][at[hit]])
             np.minimum.at(run[2], at[hit], first[hit])
-            np.add.at(run[3], at[hit], copies[hit])
+            np.maximum.at(run[3], at[hit], last[hit])
             novel &= ~hit
         if novel.any():
             order = np.lexsort((lo[novel], hi[novel]))
-            self.runs.append(tuple(x[novel][order].copy() for x in (hi, lo, first, copies)))
-        if len(self.runs) > self.max_runs:
-            self.merge()
+            self.new.append(tuple(x[novel][order].copy() for x in (hi, lo, first, last)))
+        if len(self.new) > self.max_runs:
+            self.new = [joined_run(self.new)]
         return novel
 
-    def merge(self) -> None:
-        """One run of all; identifiers are distinct across runs."""
-        if len(self.runs) > 1:
-            joined = [np.concatenate(x) for x in zip(*self.runs, strict=True)]
-            order = np.lexsort((joined[1], joined[0]))
-            self.runs = [tuple(x[order] for x in joined)]
+    def delta(self) -> tuple[np.ndarray, ...]:
+        """One run of what is new and what has changed."""
+        return joined_run(self.new + [tuple(x[c] for x in run) for run, c in zip(self.persisted, self.changed, strict=True)])
+
+
+def joined_run(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One sorted run; an identifier in several runs keeps its smallest and largest id."""
+    runs = [r for r in runs if len(r[0])]
+    if not runs:
+        return tuple(np.empty(0, dtype=np.int64) for _ in _COLUMNS)
+    joined = [np.concatenate(x) for x in zip(*runs, strict=True)]
+    order = np.lexsort((joined[1], joined[0]))
+    hi, lo, first, last = (x[order] for x in joined)
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(hi) != 0) | (np.diff(lo) != 0)]))
+    return hi[begins], lo[begins], np.minimum.reduceat(first, begins), np.maximum.reduceat(last, begins)
 
 
 def prefix_count(rows: int) -> int:
     """Power of two giving about KEYS_PER_PREFIX identifiers a prefix at most."""
-    return 1 << max(4, math.ceil(math.log2(max(rows, 1) / KEYS_PER_PREFIX + 1)))
+    return max(LEAST_PREFIXES, 1 << math.ceil(math.log2(max(rows, 1) / KEYS_PER_PREFIX + 1)))
 
 
-def update_index(keyed: DataFrame, index: DataFrame | None, prefixes: int) -> DataFrame:
-    """The index after all batches of ``keyed``, in order of ``batch_no``.
+class IdentifierIndex:
+    """Index of identifiers in a folder that all executors share.
 
-    ``keyed``: hdr_id, batch_no, hi, lo.  ``index``: an earlier result for the
-    same number of prefixes, or None.
+    ``run-N-pP`` is what the N-th ingestion added over P prefixes, ``merged-N-pP``
+    all up to the N-th.  Folders without a success mark are left over from a
+    failed write and are not read, so an ingestion counts wholly or not at all.
     """
-    prefix = F.pmod(F.col("hi"), F.lit(prefixes)).cast("int")
-    local = keyed.groupBy("hi", "lo", "batch_no").agg(F.min("hdr_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    local = local.select(prefix.alias("prefix"), "hi", "lo", "batch_no", "first_id", "copies")
-
-    def advance(runs: Runs, batch: pd.DataFrame) -> None:
-        order = batch.sort_values("batch_no", kind="stable")
-        cuts = np.flatnonzero(np.diff(order["batch_no"].to_numpy())) + 1
-        columns = [order[c].to_numpy(dtype=np.int64) for c in ("hi", "lo", "first_id", "copies")]
-        for part in zip(*[np.split(c, cuts) for c in columns], strict=True):
-            if len(part[0]):
-                runs.ingest(*part)
-
-    def rows(prefix_no: int, runs: Runs) -> pd.DataFrame:
-        out = [(prefix_no, i, *[x.tolist() for x in run]) for i, run in enumerate(runs.runs)]
-        return pd.DataFrame(out, columns=["prefix", "run", "hi", "lo", "first_id", "copies"])
-
-    if index is None:
-
-        def build(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-            runs = Runs()
-            advance(runs, batch)
-            return rows(int(key[0]), runs)
-
-        return local.groupBy("prefix").applyInPandas(build, INDEX_SCHEMA)
 
-    def extend(key: tuple, old: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        runs = Runs()
-        for r in old.sort_values("run").itertuples():
-            runs.runs.append(tuple(np.array(x, dtype=np.int64) for x in (r.hi, r.lo, r.first_id, r.copies)))
-        advance(runs, batch)
-        return rows(int(key[0]), runs)
-
-    return index.groupBy("prefix").cogroup(local.groupBy("prefix")).applyInPandas(extend, INDEX_SCHEMA)
-
-
-def index_entries(index: DataFrame) -> DataFrame:
-    """hi, lo, first_id, copies: one row per identifier."""
-    return index.select(F.explode(F.arrays_zip("hi", "lo", "first_id", "copies")).alias("e")).select("e.hi", "e.lo", "e.first_id", "e.copies")
-
-
-def repeats(delivered: DataFrame, mail_headers: DataFrame) -> DataFrame:
-    """hdr_id of every delivered row whose message has a row with a smaller hdr_id.
+    def __init__(self, spark: SparkSession, path: str, max_runs: int = RUNS_BEFORE_MERGE):
+        self.spark, self.path, self.max_runs = spark, path.rstrip("/"), max_runs
+
+    def _folders(self) -> list[tuple[int, str, int]]:
+        """(number, name, prefixes) of all complete folders, merged ones after runs of the same number."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        out = []
+        for status in fs.listStatus(root):
+            m = _NAME.fullmatch(status.getPath().getName())
+            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                out.append((int(m[2]), m[1] == "merged", m[0], int(m[3])))
+        return [(n, name, prefixes) for n, _, name, prefixes in sorted(out)]
+
+    def current(self) -> list[tuple[int, str, int]]:
+        """The folders that make up the index: the last merged one and the runs after it."""
+        folders = self._folders()
+        last = max((k for k, (_, name, _) in enumerate(folders) if name.startswith("merged")), default=0)
+        return folders[last:]
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*[f"{self.path}/{n}" for n in names])
+
+    def ingest(self, keyed: DataFrame, rows: int | None = None) -> None:
+        """Take all batches of ``keyed`` (hdr_id, batch_no, hi, lo) into the index, in order of ``batch_no``.
+
+        What was ingested before changes nothing, so a batch may come again.
+        ``rows`` is the number of rows, where it is known.
+        """
+        folders = self.current()
+        number = folders[-1][0] + 1 if folders else 1
+        prefixes = folders[-1][2] if folders else prefix_count(keyed.count() if rows is None else rows)
+        local = keyed.groupBy("hi", "lo", "batch_no").agg(F.min("hdr_id").alias("first_id"), F.max("hdr_id").alias("last_id"))
+        local = local.select(F.pmod("hi", F.lit(prefixes)).cast("int").alias("prefix"), "batch_no", *_COLUMNS)
+
+        def rows_of(prefix: int, runs: Runs, batch: pd.DataFrame) -> pd.DataFrame:
+            order = batch.sort_values("batch_no", kind="stable")
+            cuts = np.flatnonzero(np.diff(order["batch_no"].to_numpy())) + 1
+            columns = [order[c].to_numpy(dtype=np.int64) for c in _COLUMNS]
+            for part in zip(*[np.split(c, cuts) for c in columns], strict=True):
+                if len(part[0]):
+                    runs.ingest(*part)
+            delta = runs.delta()
+            return pd.DataFrame([(prefix, *[x.tolist() for x in delta])] if len(delta[0]) else [], columns=["prefix", *_COLUMNS])
+
+        if folders:
+
+            def extend(key: tuple, old: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+                return rows_of(int(key[0]), Runs(zip(*[old[c] for c in _COLUMNS], strict=True)), batch)
+
+            old = self._read([name for _, name, _ in folders])
+            added = old.groupBy("prefix").cogroup(local.groupBy("prefix")).applyInPandas(extend, RUN_SCHEMA)
+        else:
+            added = local.groupBy("prefix").applyInPandas(lambda key, batch: rows_of(int(key[0]), Runs(), batch), RUN_SCHEMA)
+        added.write.mode("overwrite").parquet(f"{self.path}/run-{number:06d}-p{prefixes}")
+        if len(folders) + 1 > self.max_runs:
+            self.merge()
 
-    Rows with a null hdr_id can't be told apart and are left out.  The index is
-    written to the shared folder; its entries with several copies are joined
-    back to the rows.  Entries with more than a ten-thousandth of all rows (at
-    most HOT_KEYS of them, so they may be broadcast) are joined apart, so that
-    no join task gets more than that of one message.
+    def merge(self) -> None:
+        """Write one merged folder of all runs, with more prefixes where they hold too many identifiers."""
+        folders = self.current()
+        if len(folders) < 2:
+            return
+        number, prefixes = folders[-1][0], folders[-1][2]
+        source = self._read([name for _, name, _ in folders])
+        entries = source.agg(F.sum(F.size("hi"))).first()[0] or 0
+        wide = max(prefixes, prefix_count(entries))
+
+        def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            run = joined_run([tuple(np.array(x, dtype=np.int64) for x in r) for r in zip(*[part[c] for c in _COLUMNS], strict=True)])
+            of = np.mod(run[0], wide)
+            return pd.DataFrame([(int(p), *[x[of == p].tolist() for x in run]) for p in np.unique(of)], columns=["prefix", *_COLUMNS])
+
+        merged = source.groupBy("prefix").applyInPandas(join, RUN_SCHEMA)
+        merged.write.mode("overwrite").parquet(f"{self.path}/merged-{number:06d}-p{wide}")
+
+    def vacuum(self) -> None:
+        """Delete what the current folders replace; call it when no reader is left."""
+        keep = {name for _, name, _ in self.current()}
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root) if fs.exists(root) else ():
+            if _NAME.fullmatch(status.getPath().getName()) and status.getPath().getName() not in keep:
+                fs.delete(status.getPath(), True)
+
+    def entries(self) -> DataFrame:
+        """hi, lo, first_id, last_id: one row per identifier."""
+        names = [name for _, name, _ in self.current()]
+        if not names:
+            return self.spark.createDataFrame([], "hi long, lo long, first_id long, last_id long")
+        rows = self._read(names).select(F.explode(F.arrays_zip(*_COLUMNS)).alias("e")).select(*[F.col(f"e.{c}") for c in _COLUMNS])
+        return rows if len(names) == 1 else rows.groupBy("hi", "lo").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+
+
+def open_index(spark: SparkSession, path: str, max_runs: int = RUNS_BEFORE_MERGE) -> IdentifierIndex:
+    """The index in a folder, empty if there is none yet."""
+    return IdentifierIndex(spark, path, max_runs)
+
+
+def repeats(delivered: DataFrame, mail_headers: DataFrame, index_path: str | None = None) -> DataFrame:
+    """hdr_id of every delivered row whose message has a row with a smaller hdr_id, in this or an earlier ingestion.
+
+    Rows with a null hdr_id can't be told apart and are left out.  The rows go
+    batch by batch into the index at ``index_path`` (a scratch folder if None);
+    its entries with several ids are joined back to them.  A message with very
+    many rows makes a skewed partition of that join, which is split at run time.
     """
+    spark = delivered.sparkSession
     keyed = materialise(keyed_deliveries(delivered, mail_headers).where(F.col("hdr_id").isNotNull()), "deliveries")
-    total = keyed.count()
-    index = materialise(update_index(keyed, None, prefix_count(total)), "identifier-index")
-    several = index_entries(index).where("copies > 1")
-    hot_from = max(10_000, total // HOT_KEYS)
-    hot = F.broadcast(several.where(F.col("copies") > hot_from).select("hi", "lo", "first_id"))
-    cold = several.where(F.col("copies") <= hot_from).select("hi", "lo", "first_id")
-    of_hot = keyed.join(hot, ["hi", "lo"]).where("hdr_id > first_id").select("hdr_id")
-    of_cold = keyed.join(hot, ["hi", "lo"], "left_anti").join(cold, ["hi", "lo"]).where("hdr_id > first_id").select("hdr_id")
-    return of_hot.unionByName(of_cold)
-
-
-def kept(delivered: DataFrame, mail_headers: DataFrame) -> DataFrame:
+    index = open_index(spark, index_path or scratch_path(spark, "identifier-index"))
+    index.ingest(keyed)
+    several = index.entries().where("last_id > first_id").select("hi", "lo", "first_id")
+    return keyed.join(several, ["hi", "lo"]).where("hdr_id > first_id").select("hdr_id")
+
+
+def kept(delivered: DataFrame, mail_headers: DataFrame, index_path: str | None = None) -> DataFrame:
     """The delivered rows that remain: one per message."""
-    return delivered.join(repeats(delivered, mail_headers), "hdr_id", "left_anti")
+    return delivered.join(repeats(delivered, mail_headers, index_path), "hdr_id", "left_anti")
