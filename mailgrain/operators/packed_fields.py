@@ -346,6 +346,8 @@ _HIDDEN = re.compile(r"<[^<>\s]+@[^<>\s]+>")
 _NEXT_PARSE, _NEXT_PART, _NEXT_ADDRESS = "\x1d", "\x1e", "\x1f"
 _TYPE_SIGN = {t: chr(97 + k) for k, t in enumerate(TYPES)}
 _DIALECT_SIGN = {d: chr(65 + k) for k, d in enumerate(DIALECTS)}
+_EQUAL_BITS = math.log2(len(TYPES))
+_SEPARATOR_BITS = {d: 1.0 + math.log2(len(s)) for d, (s, _) in DIALECTS.items()}
 
 
 #: What stands for one of these signs, and for the sign it begins with, inside an address.
@@ -363,32 +365,39 @@ def _given_back(address: Column) -> Column:
     return F.when(address.contains("\x1c"), out).otherwise(address)
 
 
-def written(text: str, min_values: int) -> str:
-    """Parses of a field as one string: value count, types with counts, literal letters, dialects, addresses.
+def written(text: str, min_values: int) -> tuple[str, str]:
+    """(parses of a field as one string, types and dialect of the parse that is cheapest under equal code lengths).
 
-    Addresses are left out of parses with fewer than ``min_values``.
+    A parse holds value count, types with counts, literal letters, dialects and
+    addresses; the latter are left out if there are fewer than ``min_values``.
     """
-    return _NEXT_PARSE.join(
-        _NEXT_PART.join((
-            str(sum(n for _, n in types)), ",".join(f"{_TYPE_SIGN[t]}{n}" for t, n in types), str(literal), "".join(map(_DIALECT_SIGN.get, dialects)),
-            _NEXT_ADDRESS.join(map(_kept, found)) if len(found) >= min_values else "",
-        ))
-        for types, literal, found, dialects in parses(text)
-    )
+    out, first = [], None
+    for types, literal, found, dialects in parses(text):
+        n = sum(k for _, k in types)
+        counted = ",".join(f"{_TYPE_SIGN[t]}{k}" for t, k in types)
+        addresses = _NEXT_ADDRESS.join(map(_kept, found)) if len(found) >= min_values else ""
+        out.append(_NEXT_PART.join((str(n), counted, str(literal), "".join(map(_DIALECT_SIGN.get, dialects)), addresses)))
+        for d in dialects:
+            bits = round(n * _EQUAL_BITS + literal * LITERAL_BITS + _SEPARATOR_BITS[d] * (n - 1), 9)
+            if first is None or (bits, _DIALECT_SIGN[d]) < first[:2]:
+                first = bits, _DIALECT_SIGN[d], counted
+    return _NEXT_PARSE.join(out), first[1] + first[2]
 
 
 def parsed_fields(fields: DataFrame, column: str, keep: list[str], min_values: int = 1) -> DataFrame:
-    """``keep`` and ``parses`` (see ``written``) of every field, by one pass over the texts."""
+    """``keep``, ``parses`` and ``first`` (see ``written``) of every field, by one pass over the texts."""
     source = spread(fields.select(*keep, F.col(column).alias("__packed")).where(F.col("__packed").contains("@")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = [written(x, min_values) for x in batch["__packed"]]
             out = batch[keep].copy()
-            out["parses"] = [written(x, min_values) for x in batch["__packed"]]
+            out["parses"] = [r[0] for r in rows]
+            out["first"] = [r[1] for r in rows]
             yield out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
-    return source.mapInPandas(run, f"{schema}, parses string")
+    return source.mapInPandas(run, f"{schema}, parses string, first string")
 
 
 def code_lengths(counts: dict[str, int], names) -> dict[str, float]:
@@ -404,7 +413,7 @@ def _table(bits: dict[str, float], signs: dict[str, str]) -> Column:
 def cheapest(types: dict[str, float], dialects: dict[str, float]) -> Column:
     """Struct of cost, dialect sign, types and addresses of the cheapest of ``parses``; ties go to the earlier dialect."""
     of_type, of_dialect = _table(types, _TYPE_SIGN), _table(dialects, _DIALECT_SIGN)
-    of_separator = _table({d: 1.0 + math.log2(len(s)) for d, (s, _) in DIALECTS.items()}, _DIALECT_SIGN)
+    of_separator = _table(_SEPARATOR_BITS, _DIALECT_SIGN)
 
     def of_parse(p: Column) -> Column:
         part = F.split(p, _NEXT_PART)
@@ -434,10 +443,12 @@ def learn_codes(parsed: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
     The driver gets one row per type or dialect name.
     """
-    first = parsed.select(choice(code_lengths({}, TYPES), code_lengths({}, DIALECTS)).alias("c")).groupBy("c.types", "c.dialect").agg(F.count(F.lit(1)).alias("n"))
-    types = first.select("n", F.explode(F.split("types", ",")).alias("t")).select(F.substring("t", 1, 1).alias("sign"), (F.substring("t", 2, 9).cast("long") * F.col("n")).alias("n"))
-    several = first.where("types not rlike '^.1$'").select(F.col("dialect").alias("sign"), "n")
-    rows = types.unionByName(several).groupBy("sign").agg(F.sum("n").alias("n")).collect()
+    first = parsed.groupBy("first").agg(F.count(F.lit(1)).alias("n")).select("n", F.substring("first", 1, 1).alias("dialect"), F.substr("first", F.lit(2)).alias("types"))
+    parts = F.concat(
+        F.transform(F.split("types", ","), lambda t: F.struct(F.substring(t, 1, 1).alias("sign"), F.substring(t, 2, 9).cast("long").alias("k"))),
+        F.when(F.col("types").rlike("^.1$"), F.array()).otherwise(F.array(F.struct(F.col("dialect").alias("sign"), F.lit(1).cast("long").alias("k")))),
+    )
+    rows = first.select("n", F.explode(parts).alias("x")).groupBy("x.sign").agg(F.sum(F.col("x.k") * F.col("n")).alias("n")).collect()
     seen = {r["sign"]: r["n"] for r in rows}
     return (
         code_lengths({t: seen.get(_TYPE_SIGN[t], 0) for t in TYPES}, TYPES),
