@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     ``spark.checkpoint.dir`` of the session is used where it is set.  Only a
-    session without it (tests, a laptop) gets a local folder.
+    session whose executors are this process (tests, a laptop) gets a local folder
+    without it: on a cluster each machine would write to its own disk.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir isn't set and {master} has no folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), "mailgrain-shared")
     os.makedirs(local, exist_ok=True)
     return "file://" + local
@@ -79,12 +84,10 @@ def spread(df: DataFrame, *keys) -> DataFrame:
 
 
 def input_splits(df: DataFrame) -> int:
-    """How many file splits a scan of ``df``'s input files gives, from sizes only."""
+    """How many file splits the scans below ``df`` give, from the sizes of their files; what comes after them doesn't count."""
     spark = df.sparkSession
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a plan without statistics
-        return 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
     )
