@@ -35,7 +35,7 @@ _POLICY = email.policy.default.clone(header_factory=functools.lru_cache(maxsize=
 
 def _body(message, kind: str) -> tuple[object, str | None]:
     part = message.get_body(preferencelist=(kind,))
-    if part is None:
+    if part is None or part.get_content_subtype() != kind:
         return None, None
     try:
         return part, part.get_content()
@@ -55,21 +55,25 @@ def _bare(value) -> str | None:
     return (str(value).strip().lstrip("<").rstrip(">") or None) if value else None
 
 
-def _walk(part, bodies: set[int], found: list) -> None:
-    """Parts in order: multiparts are entered unless attached, messages stay whole, shown bodies and lost alternatives go."""
-    attached = part.get_content_disposition() == "attachment"
-    kind = part.get_content_maintype()
-    if kind == "multipart" and not attached:
-        alternative = part.get_content_subtype() == "alternative"
-        for child in part.iter_parts():
-            if alternative and id(child) not in bodies and child.get_content_maintype() == "text" and child.get_content_disposition() != "attachment":
-                if child.get_content_subtype() in ("plain", "html"):
-                    continue
-            _walk(child, bodies, found)
-        return
-    if id(part) in bodies:
-        return
-    found.append(part)
+def _leaves(message, bodies: set[int]) -> list:
+    """Parts that are neither containers nor shown, in order.
+
+    A container is entered unless it is attached as a whole; a message inside a
+    mail stays whole.  What stands beside the shown form of an alternative
+    (another text, a calendar entry) is that form again and goes, and so does
+    the shown body; whatever is marked as attached stays.
+    """
+    out = []
+    waiting = [(message, False)]
+    while waiting:
+        part, is_form = waiting.pop()
+        attached = part.get_content_disposition() == "attachment"
+        if part.get_content_maintype() == "multipart" and not attached:
+            forms = part.get_content_subtype() == "alternative"
+            waiting.extend((child, forms) for child in reversed(list(part.iter_parts())))
+        elif attached or not (is_form or id(part) in bodies):
+            out.append(part)
+    return out
 
 
 def read_mail(raw: bytes | None) -> dict:
@@ -93,22 +97,19 @@ def read_mail(raw: bytes | None) -> dict:
         page, out["html_body"] = _body(message, "html")
         plain, out["text_body"] = _body(message, "plain")
         bodies = {id(p) for p in (page, plain) if p is not None}
-        parts: list = []
-        _walk(message, bodies, parts)
         attachments, inline = [], []
-        if message.is_multipart() or id(message) not in bodies:
-            for number, part in enumerate((p for p in parts if p is not message or message.get_content_maintype() != "text"), 1):
-                try:
-                    name = part.get_filename()
-                    name = unicodedata.normalize("NFC", name) if name else f"attachment-{number:02d}.{part.get_content_subtype()}"
-                    row = {
-                        "filename": name, "content_type": part.get_content_type(), "content": _content(part),
-                        "content_id": _bare(part.get("Content-ID")), "content_location": str(part.get("Content-Location") or "").strip() or None,
-                    }
-                    row["is_inline"] = bool(row["content_id"] or row["content_location"]) and part.get_content_disposition() != "attachment"
-                except Exception:  # noqa: BLE001 - a malformed part is skipped
-                    continue
-                (inline if row["is_inline"] else attachments).append(row)
+        for number, part in enumerate(_leaves(message, bodies), 1):
+            try:
+                name = part.get_filename()
+                name = unicodedata.normalize("NFC", name) if name else f"attachment-{number:02d}.{part.get_content_subtype()}"
+                row = {
+                    "filename": name, "content_type": part.get_content_type(), "content": _content(part),
+                    "content_id": _bare(part.get("Content-ID")), "content_location": str(part.get("Content-Location") or "").strip() or None,
+                }
+                row["is_inline"] = bool(row["content_id"] or row["content_location"]) and part.get_content_disposition() != "attachment"
+            except Exception:  # noqa: BLE001 - a malformed part is skipped
+                continue
+            (inline if row["is_inline"] else attachments).append(row)
         return out | {"ok": True, "error": None, "attachments": attachments, "inline_parts": inline}
     except Exception as e:  # noqa: BLE001 - one mail must not fail a task
         return empty | {"ok": False, "error": f"{type(e).__name__}: {e}"[:200], "attachments": [], "inline_parts": []}

@@ -89,13 +89,24 @@ def decode_words(header: pd.Series) -> pd.Series:
     return header.map(one)
 
 
+def size_bytes(text: str) -> int | None:
+    """Bytes of a size such as '5 MB' (binary units, truncated), for settings; None for nonsense."""
+    plain = text.strip().upper()
+    number = plain.rstrip("BGKM").rstrip()
+    factor = SIZE_UNITS.get(plain[len(number) :].strip())
+    whole, dot, part = number.partition(".")
+    if factor is None or not (whole.isascii() and whole.isdigit()) or (dot and not (part.isascii() and part.isdigit())):
+        return None
+    return int(float(number) * factor)
+
+
 def parse_size(text: Column) -> Column:
-    """Bytes of a size such as '5 MB' (binary units, truncated); null for nonsense."""
-    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([KMG]?B?)\s*$"
-    unit = F.upper(F.regexp_extract(text, pattern, 2))
-    factor = F.coalesce(*[F.when(unit == u, F.lit(f)) for u, f in SIZE_UNITS.items()])
-    number = F.regexp_extract(text, pattern, 1)
-    return F.when(text.rlike(pattern), F.floor(number.try_cast("double") * factor).cast("long"))
+    """``size_bytes`` of a column."""
+    plain = F.upper(F.btrim(text, F.lit(" \t\n\r\f\x0b")))
+    number = F.rtrim(F.regexp_replace(plain, "[BGKM]+$", ""))
+    factors = F.create_map(*[F.lit(x) for pair in SIZE_UNITS.items() for x in pair])
+    factor = F.try_element_at(factors, F.trim(F.substr(plain, F.length(number) + 1)))
+    return F.when(number.rlike("^[0-9]+$|^[0-9]+[.][0-9]+$"), F.floor(number.try_cast("double") * factor).cast("long"))
 
 
 def format_size(n: Column) -> Column:

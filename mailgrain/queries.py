@@ -458,6 +458,61 @@ def mime_parts(spark, d):
     return p.select("doc_id", (F.col("k") + 1).alias("part_no"), "a.filename", F.decode("a.content", "UTF-8").alias("content"))
 
 
+#: Shapes of mails by turn: (type of the whole, [(type, headers, what it holds)]); T is the document's text, S its source.
+ATTACHED = 'Content-Disposition: attachment; filename="{}"'
+SHAPES = [
+    ("multipart/mixed", [("multipart/related", "", [("multipart/alternative", "", [("text/plain", "", "T"), ("text/html", "", "<p>S</p>")]), ("image/png", "Content-ID: <logo>", "S")]), ("application/pdf", ATTACHED.format("doc.pdf"), "S")]),
+    ("multipart/alternative", [("text/plain", "", "T"), ("text/html", "", "<p>S</p>"), ("text/calendar", "", "BEGIN:VCALENDAR"), ("text/x-amp-html", "", "S")]),
+    ("multipart/alternative", [("text/plain", "", "T"), ("text/calendar", ATTACHED.format("invite.ics"), "S")]),
+    ("multipart/mixed", [("text/html", "", "<p>S</p>"), ("message/rfc822", ATTACHED.format("fwd.eml"), "Subject: inner\r\nContent-Type: image/png\r\nContent-ID: <in>\r\n\r\nS")]),
+    ("multipart/mixed", [("text/plain", "", "T"), ("multipart/mixed", ATTACHED.format("nested.eml"), [("text/plain", "", "S")])]),
+    ("text/plain", ATTACHED.format("only.txt")),
+    ("text/plain", ""),
+    ("multipart/mixed", None),
+]
+
+
+def shaped_mail(k: int, text, source):
+    """RFC 822 text of the k-th shape as a column; plain bodies are base64."""
+
+    def part(kind, headers, holds, depth):
+        head = [F.lit(f"Content-Type: {kind}" + (f'; boundary="b{depth}"' if isinstance(holds, list) else "; charset=utf-8" if kind.startswith("text/") else ""))]
+        head += [F.lit(headers)] if headers else []
+        if not isinstance(holds, list):
+            if holds == "T":
+                return [*head, F.lit("Content-Transfer-Encoding: base64"), F.lit(""), text]
+            before, _, after = holds.partition("S")
+            return [*head, F.lit(""), F.concat(F.lit(before), source, F.lit(after)) if "S" in holds and "VCAL" not in holds else F.lit(holds)]
+        lines = [*head, F.lit("")]
+        for n, p in enumerate(holds, 1):
+            lines += [F.lit(f"--b{depth}"), *part(*p, depth * 10 + n)]
+        return [*lines, F.lit(f"--b{depth}--"), F.lit("")]
+
+    kind, holds = SHAPES[k]
+    if holds is None:  # cut off inside its only part
+        lines = [F.lit('Content-Type: multipart/mixed; boundary="b1"'), F.lit(""), F.lit("--b1"), F.lit("Content-Type: text/plain"), F.lit(""), source]
+    else:
+        lines = part(kind, "", holds, 1) if isinstance(holds, list) else part(kind, holds, "T", 1)
+    return F.concat_ws("\r\n", F.lit("From: a@example.org"), F.lit("MIME-Version: 1.0"), *lines)
+
+
+@query("""
+select doc_id,
+  case doc_id % 8 when 3 then null when 5 then null when 7 then source else text end as text_body,
+  case when doc_id % 8 in (0, 1, 3) then concat('<p>', source, '</p>') end as html_body,
+  case doc_id % 8 when 0 then 'doc.pdf' when 2 then 'invite.ics' when 3 then 'fwd.eml' when 4 then 'nested.eml' when 5 then 'only.txt' else '' end as attachments,
+  case doc_id % 8 when 0 then 'logo' else '' end as inline
+from documents where text is not null and source is not null""")
+def mime_structure(spark, d):
+    """Shown bodies, attachments and inline parts of mails of eight structures."""
+    b64 = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", "")
+    docs = table(spark, d, "documents").where("text is not null and source is not null")
+    raw = F.coalesce(*[F.when(F.pmod("doc_id", F.lit(8)) == k, shaped_mail(k, b64, F.col("source"))) for k in range(8)])
+    m = M.read_mails(spread(docs.select("doc_id", F.encode(raw, "UTF-8").alias("raw"))), "raw", ["doc_id"])
+    names = lambda parts, field: F.array_join(F.transform(parts, lambda p: p[field]), ",")
+    return m.select("doc_id", "m.text_body", "m.html_body", names(F.col("m.attachments"), "filename").alias("attachments"), names(F.col("m.inline_parts"), "content_id").alias("inline"))
+
+
 @query("select hdr_id, coalesce(nullif(trim(message_id, ' '), ''), concat_ws('|', coalesce(from_, ''), coalesce(subject, ''), coalesce(date_, ''))) as first_line, concat('sha256:', sha256(coalesce(subject, ''))) as hash_line from mail_headers")
 def identity_hash(spark, d):
     """Identity lines of mails."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mailgrain.plans.rules import ConfigError
 
-_KEY = re.compile(r"IMAP_(?P<account>.+)_(?P<field>HOST|PORT|USER|PASSWORD|SSL)")
+# Settings are named IMAP_<ACCOUNT>_<FIELD>; these words say yes.
+PREFIX, FIELDS, YES = "IMAP_", ("HOST", "PORT", "USER", "PASSWORD", "SSL"), ("1", "true", "yes", "on")
 
 
 @dataclass(frozen=True)
@@ -29,23 +29,25 @@ class Account:
         return f"Account({self.name!r}, {self.host!r}, {self.port}, ssl={self.ssl})"
 
 
+def setting_of(key: str) -> tuple[str, str] | None:
+    """(account, field) that a setting belongs to, or None."""
+    if not key.startswith(PREFIX):
+        return None
+    account, _, name = key[len(PREFIX) :].rpartition("_")
+    return (account.lower(), name) if account and name in FIELDS else None
+
+
 def load_accounts(env: Mapping[str, str]) -> dict[str, Account]:
     """Accounts by lower-case name; ConfigError for an incomplete one."""
-    found: dict[str, dict[str, str]] = {}
-    for key, value in env.items():
-        m = _KEY.fullmatch(key)
-        if m:
-            found.setdefault(m["account"].lower(), {})[m["field"]] = value
+    settings = {place: value for key, value in env.items() if (place := setting_of(key)) and value is not None}
     out = {}
-    for name, fields in found.items():
-        missing = {"HOST", "USER", "PASSWORD"} - set(fields)
-        if missing:
-            raise ConfigError(f"account {name}: missing {sorted(missing)}")
-        ssl = fields.get("SSL", "true").strip().lower() not in ("false", "0", "no", "off")
-        try:
-            out[name] = Account(name, fields["HOST"], fields["USER"], fields["PASSWORD"], int(fields.get("PORT", 993)), ssl)
-        except ValueError as e:
-            raise ConfigError(f"account {name}: bad port") from e
+    for name in dict.fromkeys(account for account, _ in settings):
+        host, port, user, password, ssl = (settings.get((name, f)) for f in FIELDS)
+        if host is None or user is None or password is None:
+            raise ConfigError(f"account {name}: host, user and password are needed")
+        if port is not None and not port.strip().isdigit():
+            raise ConfigError(f"account {name}: bad port {port!r}")
+        out[name] = Account(name, host, user, password, 993 if port is None else int(port), ssl is None or ssl.strip().lower() in YES)
     return out
 
 
@@ -56,12 +58,12 @@ def accounts_frame(spark: SparkSession, accounts: Mapping[str, Account]) -> Data
 
 def pivot_accounts(pairs: DataFrame) -> DataFrame:
     """One row per account of key/value rows (key ``IMAP_<ACCOUNT>_<FIELD>``)."""
-    pattern = r"^IMAP_(.+)_(HOST|PORT|USER|SSL)$"
-    keyed = pairs.where(F.col("key").rlike(pattern)).select(
-        F.lower(F.regexp_extract("key", pattern, 1)).alias("name"), F.regexp_extract("key", pattern, 2).alias("field"), "value"
-    )
-    wide = keyed.groupBy("name").pivot("field", ["HOST", "PORT", "USER", "SSL"]).agg(F.max("value"))
+    inner = F.substr("key", F.lit(len(PREFIX) + 1))
+    field = F.substring_index(inner, "_", -1)
+    name = F.lower(F.substr(inner, F.lit(1), F.length(inner) - F.length(field) - 1))
+    keyed = pairs.where(F.startswith("key", F.lit(PREFIX))).select(name.alias("name"), field.alias("field"), "value").where(F.length("name") > 0)
+    wide = keyed.where(F.col("field").isin(*FIELDS)).groupBy("name").pivot("field", [f for f in FIELDS if f != "PASSWORD"]).agg(F.max("value"))
     return wide.select(
         "name", F.col("HOST").alias("host"), F.coalesce(F.col("PORT").try_cast("int"), F.lit(993)).alias("port"), F.col("USER").alias("user"),
-        (~F.coalesce(F.lower("SSL").isin("false", "0", "no", "off"), F.lit(False))).alias("ssl"),
+        (F.col("SSL").isNull() | F.lower(F.trim("SSL")).isin(*YES)).alias("ssl"),
     )

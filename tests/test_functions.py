@@ -144,3 +144,82 @@ def test_numbers_stay_parallel(spark):
     by = {(g, v): k for g, v, k in got}
     for g in {g for g, _ in by}:
         assert [k for _, k in sorted((v, k) for (x, v), k in by.items() if x == g)] == list(range(1, sum(x == g for x, _ in by) + 1))
+
+
+def raw_mail(kind, parts, subtype="mixed"):
+    """Bytes of a mail of nested (type line, headers, body or parts)."""
+    def one(content, headers, body, depth):
+        if not isinstance(body, list):
+            return f"Content-Type: {content}\r\n{headers}\r\n{body}"
+        edge = f"b{depth}"
+        inner = "".join(f"--{edge}\r\n{one(*p, depth * 10 + k)}\r\n" for k, p in enumerate(body, 1))
+        return f'Content-Type: {content}; boundary="{edge}"\r\n{headers}\r\n{inner}--{edge}--\r\n'
+
+    return f"From: a@x.test\r\nSubject: {kind}\r\nMIME-Version: 1.0\r\n{one(subtype, '', parts, 1)}".encode()
+
+
+ATTACHED = 'Content-Disposition: attachment; filename="{}"\r\n'
+
+
+@pytest.mark.parametrize(
+    "raw, text, html, attachments, inline",
+    [
+        # mixed > related > alternative, inline image and a document
+        (raw_mail("nested", [("multipart/related", "", [("multipart/alternative", "", [("text/plain", "", "hi"), ("text/html", "", "<p>x</p>")]), ("image/png", "Content-ID: <logo>\r\nContent-Disposition: inline\r\n", "p")]), ("application/pdf", ATTACHED.format("doc.pdf"), "d")], "multipart/mixed"), "hi", "<p>x</p>", ["doc.pdf"], ["logo"]),
+        # other forms of the shown text
+        (raw_mail("invite", [("text/plain", "", "plain"), ("text/html", "", "<p>h</p>"), ("text/calendar; method=REQUEST", "", "BEGIN:VCALENDAR"), ("text/x-amp-html", "", "<html>")], "multipart/alternative"), "plain", "<p>h</p>", [], []),
+        (raw_mail("invite", [("text/plain", "", "plain"), ("text/calendar", ATTACHED.format("invite.ics"), "BEGIN:VCALENDAR")], "multipart/alternative"), "plain", None, ["invite.ics"], []),
+        # a container and a message attached as a whole
+        (raw_mail("fwd", [("text/plain", "", "see"), ("multipart/mixed", ATTACHED.format("nested.eml"), [("text/plain", "", "nested body")])], "multipart/mixed"), "see", None, ["nested.eml"], []),
+        (raw_mail("fwd", [("text/plain", "", "see"), ("message/rfc822", ATTACHED.format("fwd.eml"), "Subject: in\r\nContent-Type: image/png\r\nContent-ID: <i>\r\n\r\nx")], "multipart/mixed"), "see", None, ["fwd.eml"], []),
+        # the only part is attached, or isn't a text
+        (b"Subject: t\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=a.txt\r\n\r\nbody", None, None, ["a.txt"], []),
+        (b"Subject: t\r\nContent-Type: application/zip\r\n\r\nbody", None, None, ["attachment-01.zip"], []),
+        (b"Subject: t\r\n\r\nbody", "body", None, [], []),
+        # broken: no closing edge, no parts
+        (b'Content-Type: multipart/mixed; boundary="e"\r\n\r\n--e\r\nContent-Type: text/plain\r\n\r\ncut', "cut", None, [], []),
+        (b"", "", None, [], []),
+    ],
+)
+def test_mail_structures(raw, text, html, attachments, inline):
+    m = M.read_mail(raw)
+    assert m["ok"] and (m["text_body"] or "").strip() == (text or "") and (m["html_body"] or "").strip() == (html or "")
+    assert [a["filename"] for a in m["attachments"]] == attachments and [a["content_id"] for a in m["inline_parts"]] == inline
+
+
+def test_attached_text_keeps_its_bytes():
+    raw = b'Content-Type: multipart/mixed; boundary="B"\r\n\r\n--B\r\nContent-Type: text/csv; charset="windows-1252"\r\nContent-Disposition: attachment; filename="d.csv"\r\nContent-Transfer-Encoding: base64\r\n\r\ngOkNCg==\r\n--B--\r\n'
+    assert M.read_mail(raw)["attachments"][0]["content"] == b"\x80\xe9\r\n"
+
+
+@pytest.mark.parametrize(
+    "style, targets",
+    [
+        ("a{background:url(//x.test/a.png)}", ["//x.test/a.png"]),
+        ('@import "//x.test/s.css"; b{}', ["//x.test/s.css"]),
+        ("@import url('//x.test/s.css');", ["//x.test/s.css"]),
+        ("url( '//x.test/a(1).png' ) url(//x.test/b)", ["//x.test/a(1).png", "//x.test/b"]),
+        (r'url("//x.test/a\"b.png")', ['//x.test/a"b.png']),
+        ("/* url(//x.test/no) */ content: 'url(//x.test/no)'; url(//x.test/yes)", ["//x.test/yes"]),
+        ("curl(//x.test/no) my@import 'x'", []),
+        ("a: 'open\nurl(//x.test/c)", ["//x.test/c"]),
+        ("url(//x.test/open", ["//x.test/open"]),
+        ("url() url('')", []),
+        ("", []),
+    ],
+)
+def test_style_references(style, targets):
+    assert [t for *_, t in H.style_references(style)] == targets
+    cleaner = H.Cleaner([], False)
+    assert "x.test/yes" not in cleaner.css(style) and cleaner.blocked == [t for t in targets if t.startswith("//")]
+
+
+@pytest.mark.parametrize("style, yes", [("background:red", True), ("color:red; BORDER-left : 1px", True), ("p{border:0}", True), ("color:red", False), ("/* border:1 */color:x", False), ("x-border:1", False), ("transition: border", False)])
+def test_box_styles(style, yes):
+    assert H.draws_boxes(style) is yes
+
+
+def test_sizes_agree(spark):
+    texts = ["512", "5 MB", "1.5kb", "2G", " 7 b ", "", "MB", "-5", "five", "5 5MB", "1.", ".5", "1.5.2", "3GBB", "\t8\nK", "٣", "1e3", "10TB", "7 B B"]
+    assert column(spark, texts, X.parse_size) == [X.size_bytes(t) for t in texts]
+    assert [X.size_bytes(t) for t in texts[:5]] == [512, 5 * 1024**2, 1536, 2 * 1024**3, 7] and not any(X.size_bytes(t) for t in texts[5:14])

@@ -65,6 +65,9 @@ def test_bad_settings():
     assert R.size_literal("1.5 kb") == 1536
     with pytest.raises(R.ConfigError):
         config.load_accounts({"IMAP_WORK_HOST": "h"})
+    for ssl, yes in (("banana", False), (" YES ", True), ("on", True), ("1", True), ("false", False), ("", False)):
+        env = {"IMAP_a_b_HOST": "h", "IMAP_a_b_USER": "u", "IMAP_a_b_PASSWORD": "p", "IMAP_a_b_SSL": ssl, "IMAP_HOST": "x", "XIMAP_c_HOST": "y"}
+        assert {n: a.ssl for n, a in config.load_accounts(env).items()} == {"a_b": yes}
     accounts = config.load_accounts({"IMAP_Work_HOST": "h", "IMAP_Work_USER": "u", "IMAP_Work_PASSWORD": "p", "OTHER": "x"})
     assert accounts["work"].port == 993 and accounts["work"].ssl and "p'" not in repr(accounts["work"])
 
