@@ -44,15 +44,15 @@ class Archive:
         open_ones = mailbox.selectable(listed)
         return R.folder_map(self.spark, self.rules, open_ones, mailbox.trash_folders(listed))
 
-    def fetch(self, messages: DataFrame, state: DataFrame, listed: DataFrame, profile: str | None = None, server_actions: bool = True, archive: DataFrame | None = None) -> fetch.FetchPlan:
-        """Plan of a fetch of all rules, or of one."""
+    def fetch(self, messages: DataFrame, state: DataFrame, listed: DataFrame, profile: str | None = None, server_actions: bool = True, archive: DataFrame | None = None, **more: DataFrame) -> fetch.FetchPlan:
+        """Plan of a fetch of all rules, or of one; ``more`` are the optional tables of ``fetch.plan``."""
         if profile is not None:
             R.select_rules(self.rules, profile)
             keep = [i for i, r in enumerate(self.rules) if r.name == profile]
             scope = self.folders(listed).where(f"ordinal in ({', '.join(map(str, keep))})")
         else:
             scope = self.folders(listed)
-        return fetch.plan(messages, st.migrate(state), self.rules, scope, archive, server_actions)
+        return fetch.plan(messages, st.migrate(state), self.rules, scope, archive, server_actions, **more)
 
     def reset(self, state: DataFrame, profile: str | None = None) -> tuple[DataFrame, int]:
         """(state that is kept, rows that go)."""

@@ -59,12 +59,46 @@ def matched(messages: DataFrame, rules: list[R.Rule], folders: DataFrame, strict
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
+def rule_table(spark, rules: list[R.Rule]) -> DataFrame:
+    """One row per rule with what it matches, for ``matched_by_table``.
+
+    Address ends and addresses in lower case, address fields, subject patterns as
+    Java expressions, day and size bounds.  Rules that look at attachments or use
+    conditional patterns can't be told by a row.
+    """
+    rows = []
+    for i, r in enumerate(rules):
+        subjects = [] if r.subject is None else [R.java_pattern(r.subject)] if isinstance(r.subject, str) else [R.glob_regex(g) for g in r.subject]
+        if r.attachments:
+            raise R.ConfigError(f"{r.name}: attachment rules need the expression plan")
+        ends = [e for d in r.domains for e in ("@" + d.lower().lstrip("@"), "." + d.lower().lstrip("@"))]
+        rows.append((i, ends, [a.lower() for a in r.addresses], list(r.mode), subjects, r.since, r.until, r.larger, r.smaller))
+    return spark.createDataFrame(
+        rows, "ordinal int, __ends array<string>, __addresses array<string>, __mode array<string>, __subjects array<string>, __since date, __until date, __larger long, __smaller long"
+    )
+
+
 def matched_by_table(messages: DataFrame, rules: list[R.Rule], folders: DataFrame, strict: bool = True) -> DataFrame:
-    """As ``matched``, planned as a join of messages and rules on the folder; for very many rules."""
-    wide = with_addresses(messages, rules, strict)
-    hits = F.filter(F.array(*[F.when(p, F.lit(i)) for i, p in predicates(rules)]), lambda x: x.isNotNull())
-    keyed = wide.select("hdr_id", "account", "folder", F.explode(hits).alias("ordinal"))
-    first = keyed.join(folders, ["account", "folder", "ordinal"], "left_semi").groupBy("hdr_id").agg(F.min("ordinal").alias("ordinal"))
+    """As ``matched``, planned as a join of the messages with the rules of their folder.
+
+    Every rule is a row that is compared value by value, so the plan doesn't grow
+    with the number of rules.  The rules of a folder come from files that people
+    write and are broadcast.
+    """
+    of_folder = folders.join(rule_table(messages.sparkSession, rules), "ordinal").select("account", "folder", "ordinal", *[f"__{c}" for c in ("ends", "addresses", "mode", "subjects", "since", "until", "larger", "smaller")])
+    columns = address_columns(strict)
+    wide = messages.select("hdr_id", "account", "folder", "subject", F.coalesce("date_wall", "received_wall").cast("date").alias("__day"), "size", F.create_map(*[x for m, c in columns.items() for x in (F.lit(m), c)]).alias("__by_field"))
+    both = wide.join(F.broadcast(of_folder), ["account", "folder"])
+    found = F.flatten(F.transform("__mode", lambda m: F.col("__by_field")[m]))
+    asks = (F.size("__ends") > 0) | (F.size("__addresses") > 0)
+    by_address = F.exists(found, lambda a: F.exists("__ends", lambda e: F.endswith(a, e)) | F.array_contains(F.col("__addresses"), a))
+    by_subject = (F.size("__subjects") == 0) | F.exists("__subjects", lambda r: F.regexp_like(F.col("subject"), r))
+    within = (
+        F.coalesce(F.col("__day") >= F.col("__since"), F.lit(True)) & F.coalesce(F.col("__day") <= F.col("__until"), F.lit(True))
+        & F.coalesce(F.col("size") > F.col("__larger"), F.lit(True)) & F.coalesce(F.col("size") < F.col("__smaller"), F.lit(True))
+    )
+    hits = both.where(within & by_subject & (~asks | by_address))
+    first = hits.groupBy("hdr_id").agg(F.min("ordinal").alias("ordinal"))
     return messages.join(first, "hdr_id", "left")
 
 
@@ -99,26 +133,42 @@ class FetchPlan:
     planned: DataFrame
     actions: DataFrame
     report: DataFrame
+    counters: DataFrame
 
 
-def plan(messages: DataFrame, state: DataFrame, rules: list[R.Rule], folders: DataFrame, archive: DataFrame | None = None, server_actions: bool = True, strict: bool = True) -> FetchPlan:
+def plan(
+    messages: DataFrame, state: DataFrame, rules: list[R.Rule], folders: DataFrame, archive: DataFrame | None = None, server_actions: bool = True, strict: bool = True,
+    namespaces: DataFrame | None = None, names: DataFrame | None = None, failed: DataFrame | None = None, failed_accounts: DataFrame | None = None, failed_actions: DataFrame | None = None,
+) -> FetchPlan:
     """Plan a fetch over all accounts and folders.
 
     ``archive``: account, filename of files that exist; actions apply only to
-    messages whose file does (all, if it is None).
+    messages whose file does (all, if it is None).  ``namespaces`` (account,
+    prefix, delimiter): folders that rules move mail into aren't read unless a
+    rule of the account names them.  ``names``: hdr_id, name of attachments, for
+    rules that look at them.  ``failed`` (state key), ``failed_accounts``
+    (account), ``failed_actions`` (state key): what couldn't be read or done.  A
+    failed message is neither delivered nor acted upon and stays for the next
+    run, a failed account takes nothing else with it, and both are counted.
     """
     spark = messages.sparkSession
     table = rules_frame(spark, rules)
-    hits = matched(scan_filter(messages, rules), rules, folders, strict).where("ordinal is not null").join(F.broadcast(table), "ordinal")  # one row per rule
+    if namespaces is not None:
+        folders = without_move_targets(folders, move_targets(rules, namespaces), rules)
+    if failed_accounts is not None:
+        messages = messages.join(F.broadcast(failed_accounts.select("account").distinct()), "account", "left_anti")  # one row per account
+    hits = matched(scan_filter(messages, rules), rules, folders, strict, names).where("ordinal is not null").join(F.broadcast(table), "ordinal")  # one row per rule
     name = F.concat(base_name(F.coalesce("date_wall", "received_wall"), F.col("profile"), F.col("subject")), F.lit(".eml"))
     known = state.select(*st.KEY, F.col("filename").alias("__recorded"), F.lit(True).alias("__done"))
     both = hits.join(known, st.KEY, "left").withColumn("already", F.coalesce("__done", F.lit(False)))
     both = both.withColumn("filename", F.coalesce("__recorded", name)).drop("__recorded", "__done")
+    flagged = both.withColumn("failed", F.lit(False)) if failed is None else both.join(failed.select(*st.KEY).distinct().withColumn("__f", F.lit(True)), st.KEY, "left").withColumn("failed", F.coalesce("__f", F.lit(False))).drop("__f")
+    both = flagged.where("not failed").drop("failed")
     new = both.where("not already")
     planned = new.select("profile", "account", "folder", "uid", "subject", F.coalesce(F.nullif("action", F.lit("")), F.lit("none")).alias("action"))
     candidates = both.where("has_action") if server_actions else both.where("false")
     if archive is not None:
-        candidates = candidates.join(archive.select("account", "filename").distinct().withColumn("__file", F.lit(True)), ["account", "filename"], "left")
+        candidates = candidates.join(archive.select("account", "filename").distinct().withColumn("__there", F.lit(True)), ["account", "filename"], "left").withColumn("__file", F.coalesce("__there", F.lit(False)))
     else:
         candidates = candidates.withColumn("__file", F.lit(True))
     steps = F.filter(
@@ -129,9 +179,19 @@ def plan(messages: DataFrame, state: DataFrame, rules: list[R.Rule], folders: Da
         ),
         lambda x: x.isNotNull(),
     )
-    actions = candidates.where("__file").select(*st.KEY, "profile", F.posexplode(steps).alias("step_no", "s")).select(*st.KEY, "profile", (F.col("step_no") + 1).alias("step_no"), "s.step", "s.argument")
+    due = candidates.where("__file").select(*st.KEY, "profile", "already", F.posexplode(steps).alias("step_no", "s"))
+    actions = due.select(*st.KEY, "profile", (F.col("step_no") + 1).alias("step_no"), "s.step", "s.argument", "already")
     report = both.groupBy("profile").agg(F.count_if(~F.col("already")).alias("delivered"), F.count_if("already").alias("already_archived"))
-    return FetchPlan(hits, new, planned, actions, report)
+    undone = failed_actions.select(*st.KEY).distinct().join(candidates.where("__file").select(*st.KEY), st.KEY, "left_semi") if failed_actions is not None else state.select(*st.KEY).where("false")
+    counts = [
+        flagged.agg(F.count_if("failed").alias("failed"), F.count_if(~F.col("failed") & F.col("already")).alias("already_archived")),
+        candidates.agg(F.count_if(~F.col("__file")).alias("post_fetch_skipped")),
+        undone.agg(F.count(F.lit(1)).alias("post_fetch_failed")),
+    ]
+    counters = counts[0].withColumn("__k", F.lit(1))
+    for c in counts[1:]:
+        counters = counters.join(c.withColumn("__k", F.lit(1)), "__k")  # one row each
+    return FetchPlan(hits, new, planned, actions, report, counters.select("failed", "post_fetch_failed", "already_archived", "post_fetch_skipped"))
 
 
 def move_targets(rules: list[R.Rule], namespaces: DataFrame) -> DataFrame:
@@ -143,10 +203,10 @@ def move_targets(rules: list[R.Rule], namespaces: DataFrame) -> DataFrame:
 
 
 def without_move_targets(folders: DataFrame, targets: DataFrame, rules: list[R.Rule]) -> DataFrame:
-    """Folder scopes without move targets nobody lists by name."""
-    explicit = sorted({f for r in rules for f in (r.folders or ())})
-    skipped = targets.where(~F.col("folder").isin(explicit)) if explicit else targets
-    return folders.join(skipped, ["account", "folder"], "left_anti")
+    """Folder scopes without move targets that no rule of the account lists by name."""
+    named = targets.sparkSession.createDataFrame([(r.account, f) for r in rules for f in r.folders or ()], "only_account string, listed string")
+    listed = (F.col("folder") == F.col("listed")) & (F.col("only_account").isNull() | (F.lower("account") == F.lower("only_account")))
+    return folders.join(targets.join(F.broadcast(named), listed, "left_anti"), ["account", "folder"], "left_anti")
 
 
 def namespace_of(namespaces: DataFrame, folders: DataFrame) -> DataFrame:

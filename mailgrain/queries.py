@@ -6,6 +6,7 @@ archive folders and files are derived from deliveries and attachments.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,14 +39,11 @@ MBOX = r"""
 mbox as (
   select s.account, s.folder, s.uidvalidity, s.uid, s.hdr_id, s.rfc822_size as size,
     coalesce(h.from_, '') as from_, coalesce(h.to_, '') as to_, coalesce(h.subject, '') as subject,
-    nullif(trim(h.message_id, ' '), '') as message_id,
-    case when regexp_full_match(h.date_, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') then try_cast(h.date_ as timestamp) end as date_wall,
-    case when regexp_full_match(s.received, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') then try_cast(s.received as timestamp) end as received_wall
+    nullif(trim(h.message_id, ' '), '') as message_id
   from scanned_message s join mail_headers h on s.hdr_id = h.hdr_id
 )"""
 FROM_ADDRESSES = r"regexp_extract_all(lower(from_), '[\w.+-]+@[\w.-]+')"
 TO_ADDRESSES = r"regexp_extract_all(lower(to_), '[\w.+-]+@[\w.-]+')"
-DAY = "cast(coalesce(date_wall, received_wall) as date)"
 NORDLICHT = f"len(list_filter({FROM_ADDRESSES}, lambda a: a like '%@nordlicht.example' or a like '%.nordlicht.example' or a like '%@nordlicht-group.example' or a like '%.nordlicht-group.example')) > 0"
 TEST_TO = f"len(list_filter({TO_ADDRESSES}, lambda a: a like '%@test' or a like '%.test')) > 0"
 GLOBS = "(lower(subject) like '%rechnung%' or lower(subject) like '%invoice%' or lower(subject) like '%facture%')"
@@ -53,9 +51,9 @@ HITS = f"""
 hits as (
   select mbox.*, case
     when folder = 'INBOX/Invoices' and {GLOBS} and coalesce(size > 5120, true) then 0
-    when (folder = 'INBOX' or folder like 'INBOX/%') and {NORDLICHT} and coalesce({DAY} >= date '2020-01-01', true) then 1
+    when (folder = 'INBOX' or folder like 'INBOX/%') and {NORDLICHT} then 1
     when folder in ('Lists', 'INBOX') and regexp_matches(subject, '^(Re: )?\\[list-\\p{{Nd}}+\\]') then 2
-    when folder = 'INBOX' and {TEST_TO} and coalesce({DAY} <= date '2022-12-31', true) and coalesce(size < 2097152, true) then 3
+    when folder = 'INBOX' and {TEST_TO} and coalesce(size < 2097152, true) then 3
     when folder = 'Archive' then 4 end as ordinal
   from mbox
 )""".replace("\\\\", "\\")
@@ -79,6 +77,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: The rules without day bounds.  Days are written in forms that SQL can't read, so SQL checks everything else by these.
+DATELESS = [dataclasses.replace(r, since=None, until=None) for r in RULES]
+
+
 def mbox(spark: SparkSession, d: str) -> DataFrame:
     return mailbox.mailbox(table(spark, d, "scanned_message"), table(spark, d, "mail_headers"), table(spark, d, "account"))
 
@@ -100,9 +102,12 @@ def state_of(spark: SparkSession, d: str) -> DataFrame:
     return st.insert_or_ignore(empty, log, F.col("hdr_id"))
 
 
-def fetch_plan(spark: SparkSession, d: str, with_archive: bool = False) -> fetch.FetchPlan:
-    archive = state_of(spark, d).where("filename <> '?' and uid % 3 <> 0").select("account", "filename") if with_archive else None
-    return fetch.plan(mbox(spark, d), state_of(spark, d), RULES, scopes(spark, d), archive, strict=False)
+def fetch_plan(spark: SparkSession, d: str, with_archive: bool = False, rules: list[R.Rule] = RULES) -> fetch.FetchPlan:
+    state = state_of(spark, d)
+    archive = state.where("filename <> '?' and uid % 3 <> 0").select("account", "filename") if with_archive else None
+    # a message of unknown size stands for one that couldn't be read
+    failed = table(spark, d, "scanned_message").where("rfc822_size is null").select(*st.KEY)
+    return fetch.plan(mbox(spark, d), state, rules, scopes(spark, d), archive, strict=False, failed=failed)
 
 
 @query()
@@ -138,27 +143,45 @@ def p6_found(spark, d):
     return instants.mail_instants(table(spark, d, "mail_headers"), table(spark, d, "scanned_message"), table(spark, d, "account"))
 
 
-@query(f"""with {MBOX}, {HITS}, keys as (select distinct account, folder, uidvalidity, uid, 1 as known from delivered)
-select {RULE_NAMES}[ordinal + 1] as profile, cast(count(*) filter (where known is null) as bigint) as delivered,
-  cast(count(*) filter (where known is not null) as bigint) as already_archived
-from hits left join keys using (account, folder, uidvalidity, uid) where ordinal is not null group by 1""")
+@query()
 def fetch_report(spark, d):
     """Deliveries per rule: first match, anti-join with the state, grouped counts."""
     return fetch_plan(spark, d).report
 
 
-@query(f"with {MBOX}, {HITS} select hdr_id, cast(ordinal as integer) as ordinal from hits")
+@query(f"""with {MBOX}, {HITS}, keys as (select distinct account, folder, uidvalidity, uid, 1 as known from delivered)
+select {RULE_NAMES}[ordinal + 1] as profile, cast(count(*) filter (where known is null) as bigint) as delivered,
+  cast(count(*) filter (where known is not null) as bigint) as already_archived
+from hits left join keys using (account, folder, uidvalidity, uid) where ordinal is not null and size is not null group by 1""")
+def fetch_report_dateless(spark, d):
+    """``fetch_report`` by the rules without days."""
+    return fetch_plan(spark, d, rules=DATELESS).report
+
+
+@query()
 def first_match(spark, d):
     """First rule of every message, as one compiled expression."""
     return fetch.matched(mbox(spark, d), RULES, scopes(spark, d), strict=False).select("hdr_id", "ordinal")
 
 
-@query(SQL["first_match"])
+@query(f"with {MBOX}, {HITS} select hdr_id, cast(ordinal as integer) as ordinal from hits")
+def first_match_dateless(spark, d):
+    """``first_match`` by the rules without days."""
+    return fetch.matched(mbox(spark, d), DATELESS, scopes(spark, d), strict=False).select("hdr_id", "ordinal")
+
+
+@query()
 def first_match_table(spark, d):
     """First rule of every message, as a join with the rule table."""
     return fetch.matched_by_table(mbox(spark, d), RULES, scopes(spark, d), strict=False).select("hdr_id", "ordinal")
 
 
+@query(SQL["first_match_dateless"])
+def first_match_table_dateless(spark, d):
+    """``first_match_table`` by the rules without days."""
+    return fetch.matched_by_table(mbox(spark, d), DATELESS, scopes(spark, d), strict=False).select("hdr_id", "ordinal")
+
+
 @query()
 def first_match_strict(spark, d):
     """First rule with addresses by the strict header reader."""
@@ -206,7 +229,7 @@ def match_subject_glob(spark, d):
     return mbox(spark, d).where(R.subject_predicate(RULES[0].subject, F.col("subject"))).select("hdr_id")
 
 
-@query(f"with {MBOX} select hdr_id from mbox where coalesce({DAY} between date '2020-06-01' and date '2021-05-31', true)")
+@query()
 def match_date_window(spark, d):
     """Inclusive day window; undated messages pass."""
     rule = R.Rule("x", since=dt.date(2020, 6, 1), until=dt.date(2021, 5, 31))
@@ -283,35 +306,51 @@ def already_archived_count(spark, d):
     return st.already_delivered(table(spark, d, "scanned_message"), table(spark, d, "delivered")).agg(F.count(F.lit(1)).alias("already_archived"))
 
 
+@query()
+def retry_actions(spark, d):
+    """Server actions due on delivered mail whose archive file exists."""
+    return fetch_plan(spark, d, with_archive=True).actions.where("already").drop("already")
+
+
 @query(f"""with {MBOX}, {HITS}, {STATE}
 select hits.account, hits.folder, hits.uidvalidity, hits.uid, {RULE_NAMES}[ordinal + 1] as profile, cast(row_number() over (partition by hits.hdr_id order by k) as integer) as step_no, step, argument
 from hits join state on hits.account = state.account and hits.folder = state.folder and hits.uidvalidity = state.uidvalidity and hits.uid = state.uid
   join (select distinct account, filename from state where filename <> '?' and uid % 3 <> 0) a on a.account = hits.account and a.filename = state.filename
-  join (values (0, 1, 'move', 'Archive/Invoices'), (2, 1, 'label', 'list'), (3, 1, 'label', 'team'), (3, 2, 'move', 'Team/2022'), (4, 1, 'delete', '')) v(o, k, step, argument) on v.o = ordinal""")
-def retry_actions(spark, d):
-    """Server actions due on delivered mail whose archive file exists."""
-    p = fetch_plan(spark, d, with_archive=True)
-    known = state_of(spark, d).select(*st.KEY)
-    return p.actions.join(known, st.KEY, "left_semi")
+  join (values (0, 1, 'move', 'Archive/Invoices'), (2, 1, 'label', 'list'), (3, 1, 'label', 'team'), (3, 2, 'move', 'Team/2022'), (4, 1, 'delete', '')) v(o, k, step, argument) on v.o = ordinal where size is not null""")
+def retry_actions_dateless(spark, d):
+    """``retry_actions`` by the rules without days."""
+    return fetch_plan(spark, d, with_archive=True, rules=DATELESS).actions.where("already").drop("already")
 
 
-@query(f"""with {MBOX}, {HITS}
-select account, folder, uidvalidity, uid, {RULE_NAMES}[ordinal + 1] as profile, cast(k as integer) as step_no, step, argument
-from hits join (values (0, 1, 'move', 'Archive/Invoices'), (2, 1, 'label', 'list'), (3, 1, 'label', 'team'), (3, 2, 'move', 'Team/2022'), (4, 1, 'delete', '')) v(o, k, step, argument) on v.o = ordinal""")
+@query()
 def post_fetch_steps(spark, d):
     """Ordered server actions of every matched message."""
-    return fetch_plan(spark, d).actions
+    return fetch_plan(spark, d).actions.drop("already")
 
 
 @query(f"""with {MBOX}, {HITS}
-select {RULE_NAMES}[ordinal + 1] as profile, account, folder, uid, subject,
-  ['move to Archive/Invoices', 'none', 'label list', 'label team and move to Team/2022', 'delete'][ordinal + 1] as action
-from hits anti join delivered using (account, folder, uidvalidity, uid) where ordinal is not null""")
+select account, folder, uidvalidity, uid, {RULE_NAMES}[ordinal + 1] as profile, cast(k as integer) as step_no, step, argument
+from hits join (values (0, 1, 'move', 'Archive/Invoices'), (2, 1, 'label', 'list'), (3, 1, 'label', 'team'), (3, 2, 'move', 'Team/2022'), (4, 1, 'delete', '')) v(o, k, step, argument) on v.o = ordinal where size is not null""")
+def post_fetch_steps_dateless(spark, d):
+    """``post_fetch_steps`` by the rules without days."""
+    return fetch_plan(spark, d, rules=DATELESS).actions.drop("already")
+
+
+@query()
 def planned_delivery(spark, d):
     """Dry run: what would be delivered, and the action to follow."""
     return fetch_plan(spark, d).planned
 
 
+@query(f"""with {MBOX}, {HITS}
+select {RULE_NAMES}[ordinal + 1] as profile, account, folder, uid, subject,
+  ['move to Archive/Invoices', 'none', 'label list', 'label team and move to Team/2022', 'delete'][ordinal + 1] as action
+from hits anti join delivered using (account, folder, uidvalidity, uid) where ordinal is not null and size is not null""")
+def planned_delivery_dateless(spark, d):
+    """``planned_delivery`` by the rules without days."""
+    return fetch_plan(spark, d, rules=DATELESS).planned
+
+
 @query(f"with {STATE} select * from state")
 def state_insert_or_ignore(spark, d):
     """State of the delivery log, first write wins."""
@@ -331,22 +370,29 @@ def state_untracked(spark, d):
     return st.untracked(st.migrate(table(spark, d, "delivered")))
 
 
-SAFE = r"trim(regexp_replace(regexp_replace({x}, '[/\\:*?\"<>|]', '_', 'g'), '[\s\x1c-\x1f_]+', '_', 'g'), '_')"
+#: What counts as a blank in names, as a character class.
+BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SAFE = rf"trim(regexp_replace(regexp_replace({{x}}, '[/\\:*?\"<>|]', '_', 'g'), '[{BLANKS.replace(chr(123), chr(123) * 2).replace(chr(125), chr(125) * 2)}_]+', '_', 'g'), '_')"
 
 
-@query(
-    f"""with {MBOX}, b as (
-  select hdr_id, {SAFE.format(x="concat(coalesce(strftime(coalesce(date_wall, received_wall), '%Y-%m-%d_%H-%M-%S'), ''), '_', 'demo', '_', subject)")} as safe from mbox where regexp_full_match(subject, '[\\x20-\\x7e]*')
-)
-select hdr_id, case when safe = '' then 'email' else safe end as base_name from b"""
-)
+@query()
 def base_name(spark, d):
     """File names of all messages."""
     name = X.base_name(F.coalesce("date_wall", "received_wall"), F.lit("demo"), F.col("subject"))
     return mbox(spark, d).select("hdr_id", name.alias("base_name"))
 
 
-@query(rf"select part_id, {SAFE.format(x='nfc_normalize(filename)')} as safe from attachment_part where not regexp_matches(filename, '[\x80-\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')")
+@query(f"""with {MBOX}, b as (select hdr_id, {SAFE.format(x="nfc_normalize(concat('demo_', subject))")} as safe from mbox),
+n as (select hdr_id, unnest(generate_series(40, 200)) as n, safe from b where strlen(safe) > 200),
+f as (select hdr_id, max(n) as n from n where strlen(left(safe, cast(n as integer))) <= 200 group by hdr_id)
+select hdr_id, case when safe = '' then 'email' else rtrim(case when f.n is null then safe else left(safe, cast(f.n as integer)) end, ' ') end as base_name from b left join f using (hdr_id)""")
+def base_name_dateless(spark, d):
+    """``base_name`` of profile and subject."""
+    name = X.base_name(F.lit(None).cast("timestamp_ntz"), F.lit("demo"), F.col("subject"), "{profile}_{subject}")
+    return mbox(spark, d).select("hdr_id", name.alias("base_name"))
+
+
+@query(f"select part_id, {SAFE.format(x='nfc_normalize(filename)')} as safe from attachment_part")
 def sanitize_nfc(spark, d):
     """Safe file names; null stays null."""
     return table(spark, d, "attachment_part").select("part_id", X.sanitize(F.col("filename")).alias("safe"))
@@ -382,14 +428,16 @@ def format_size(spark, d):
     return table(spark, d, "scanned_message").select("hdr_id", X.format_size(F.col("rfc822_size")).alias("size"))
 
 
-@query(f"with {MBOX} select hdr_id, coalesce(strftime(date_wall, '%d.%m.%Y %H:%M'), '') as shown from mbox")
+@query()
 def format_date_human(spark, d):
     """Human dates."""
     return mbox(spark, d).select("hdr_id", X.format_date_human(F.col("date_wall")).alias("shown"))
 
 
-@query(r"""
-select t, n as safe from (values ('../../etc/passwd', 'passwd'), ('a\b.txt', 'b.txt'), ('..', 'attachment'), ('.', 'attachment'), ('', 'attachment'), ('  ', 'attachment'), ('ok.pdf', 'ok.pdf'), ('dir/', 'dir')) v(t, n)""")
+@query(rf"""
+with p as (select filename as t, regexp_extract(regexp_replace(replace(filename, chr(92), '/'), '(?:/+\.)*/*$', ''), '([^/]*)$', 1) as last from attachment_part),
+c as (select t, regexp_replace(regexp_replace(last, '[\x00-\x1f\x7f]', '', 'g'), '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') as clean from p)
+select t, case when clean is null or clean in ('', '.', '..') then 'attachment' else clean end as safe from c""")
 def safe_attachment_name(spark, d):
     """Attachment names without paths."""
     return table(spark, d, "attachment_part").select(F.col("filename").alias("t"), X.safe_attachment_name(F.col("filename")).alias("safe"))
@@ -548,7 +596,7 @@ def unique_names(spark, d):
     return naming.unique_names(docs, "source", "ident", ["doc_id"]).select("doc_id", "name", "skip")
 
 
-@query("select n, name, skip from (values (1, 'x', false), (2, 'x-2', false), (3, 'x', true), (4, 'x-3', false), (5, 'x-2-2', false)) v(n, name, skip)")
+@query()
 def unique_names_cross(spark, d):
     """Exact names of attachments by content, in order of part_id, where a name may meet a numbered one."""
     ident = F.coalesce(F.sha2("content", 256), F.lit("-"))
@@ -806,8 +854,8 @@ def data_uris(spark, d):
 
 
 @query(rf"""with {MBOX}, pdf as (select distinct hdr_id from attachment_part where lower(regexp_extract(filename, '^(?:.*/)?[^/]+\.([^./]+)$', 1)) = 'pdf')
-select mbox.hdr_id, cast(case when {GLOBS} and pdf.hdr_id is not null then 0 when size > 100000 then 1 when pdf.hdr_id is not null then 2 end as integer) as ordinal
-from mbox left join pdf on mbox.hdr_id = pdf.hdr_id where size is not null""")
+select mbox.hdr_id, cast(case when {GLOBS} and pdf.hdr_id is not null then 0 when coalesce(size > 100000, true) then 1 when pdf.hdr_id is not null then 2 end as integer) as ordinal
+from mbox left join pdf on mbox.hdr_id = pdf.hdr_id""")
 def first_match_attachments(spark, d):
     """First match where rules look at attachments, bodies read late."""
     rules = [R.Rule("bills", subject=RULES[0].subject, attachments=(".PDF",)), R.Rule("large", larger=100_000), R.Rule("pdf", attachments=("pdf",))]
@@ -817,13 +865,28 @@ def first_match_attachments(spark, d):
     return fetch.matched(box, rules, scope, strict=False, names=names).select("hdr_id", "ordinal")
 
 
-@query(f"""with {MBOX}, {HITS}, keys as (select distinct account, folder, uidvalidity, uid, 1 as known from delivered),
-r as (select {RULE_NAMES}[ordinal + 1] as profile, count(*) filter (where known is null) as n from hits left join keys using (account, folder, uidvalidity, uid) where ordinal is not null group by 1)
-select concat_ws(chr(10), concat(sum(n), ' delivered'), string_agg(concat('  ', profile, ': ', n), chr(10) order by profile) filter (where n > 0), '3 failed') as summary from r""")
+@query()
 def fetch_summary(spark, d):
     """Text of a fetch report; zero counters are left out."""
-    counters = spark.createDataFrame([(3, 0, 0, 0)], "failed long, post_fetch_failed long, already_archived long, post_fetch_skipped long")
-    return reports.summary_text(fetch_plan(spark, d).report, counters)
+    p = fetch_plan(spark, d, with_archive=True)
+    return reports.summary_text(p.report, p.counters)
+
+
+@query(f"""with {MBOX}, {HITS}, {STATE}, m as (
+  select {RULE_NAMES}[ordinal + 1] as profile, size, ordinal, state.filename, state.uid is not null as known, a.filename is not null as there
+  from hits left join state on hits.account = state.account and hits.folder = state.folder and hits.uidvalidity = state.uidvalidity and hits.uid = state.uid
+    left join (select distinct account, filename from state where filename <> '?' and uid % 3 <> 0) a on a.account = hits.account and a.filename = state.filename
+  where ordinal is not null
+), r as (select profile, count(*) filter (where size is not null and not known) as n from m group by 1),
+c as (select count(*) filter (where size is null) as failed, count(*) filter (where size is not null and known) as already,
+  count(*) filter (where size is not null and ordinal <> 1 and known and not there) as skipped from m),
+n as (select count(*) as skipped from m where size is not null and ordinal <> 1 and not known)
+select concat_ws(chr(10), concat((select sum(n) from r), ' delivered'), (select string_agg(concat('  ', profile, ': ', n), chr(10) order by profile) from r where n > 0),
+  concat(already, ' already archived'), concat(failed, ' failed'), concat(c.skipped + n.skipped, ' actions skipped')) as summary from c, n""")
+def fetch_summary_dateless(spark, d):
+    """``fetch_summary`` by the rules without days."""
+    p = fetch_plan(spark, d, with_archive=True, rules=DATELESS)
+    return reports.summary_text(p.report, p.counters)
 
 
 @query("""

@@ -111,6 +111,50 @@ def test_plan(spark):
     assert fetch.plan(m, state, rules, scope, server_actions=False).actions.count() == 0
 
 
+KEY = "account string, folder string, uidvalidity long, uid long"
+
+
+def test_plan_leaves_move_targets_and_failures_out(spark):
+    rules = [R.Rule("mover", subject="x", recursive=True, folders=("INBOX",), move_to="Done"), R.Rule("lister", account="B", folders=("INBOX/Done",))]
+    m = box(spark, subject="x")
+    for n, (account, folder) in enumerate((("a", "INBOX/Done"), ("b", "INBOX"), ("b", "INBOX/Done"), ("c", "INBOX")), 2):
+        m = m.unionByName(box(spark, hdr_id=n, uid=n, account=account, folder=folder, subject="x"))
+    scope = spark.createDataFrame([(a, f, o) for a in "abc" for f in ("INBOX", "INBOX/Done") for o in (0, 1) if o == 0 or a == "b"], "account string, folder string, ordinal int")
+    spaces = spark.createDataFrame([(a, "INBOX/", "/") for a in "abc"], "account string, prefix string, delimiter string")
+    state = spark.createDataFrame([("a", "INBOX", 1, 1, "gone.eml", "mover")], KEY + ", filename string, profile string")
+    p = fetch.plan(m, state, rules, scope, namespaces=spaces)
+    # only account b lists the target by name
+    assert sorted(r["hdr_id"] for r in p.matched.collect()) == [1, 3, 4, 5]
+    bad = spark.createDataFrame([("b", "INBOX", 1, 3)], KEY)
+    p = fetch.plan(
+        m, state, rules, scope, spark.createDataFrame([("a", "other.eml")], "account string, filename string"), namespaces=spaces,
+        failed=bad, failed_accounts=spark.createDataFrame([("c",)], "account string"), failed_actions=bad,
+    )
+    assert {r["uid"] for r in p.planned.collect()} == {4}
+    assert tuple(p.counters.first()) == (1, 0, 1, 2)
+    done = fetch.plan(m, state, rules, scope, namespaces=spaces, failed_actions=spark.createDataFrame([("a", "INBOX", 1, 1), ("z", "q", 1, 1)], KEY))
+    assert tuple(done.counters.first()) == (0, 1, 1, 0)
+
+
+def test_rule_table_agrees_with_the_expression(spark):
+    rules = [
+        R.Rule("re", subject=r"(?P<kind>bill)-\d+"), R.Rule("glob", subject=("*invoice*", "re?ht"), smaller=50), R.Rule("who", domains=("x.test",), addresses=("Q@y.test",), mode=("from", "cc")),
+        R.Rule("when", since=dt.date(2024, 1, 2), until=dt.date(2024, 2, 1)), R.Rule("any", larger=10),
+    ]
+    texts, senders, sizes, days = ["bill-7", "Bill-7", "An INVOICE", "recht", ""], ["a@x.test", "b@s.x.test", "q@Y.test", "n@nox.test", ""], [5, 40, None], [None, dt.datetime(2024, 1, 2, 3), dt.datetime(2024, 2, 2)]
+    m, n = None, 0
+    for t in texts:
+        for s_ in senders:
+            row = box(spark, hdr_id=n, uid=n, subject=t, from_=s_, size=sizes[n % 3], date_wall=days[n % 3 if n % 2 else n % 2])
+            m = row if m is None else m.unionByName(row)
+            n += 1
+    scope = spark.createDataFrame([("a", "INBOX", o) for o in range(5)], "account string, folder string, ordinal int")
+    by = [{r["hdr_id"]: r["ordinal"] for r in f(m, rules, scope).collect()} for f in (fetch.matched, fetch.matched_by_table)]
+    assert by[0] == by[1] and len(set(by[0].values())) >= 4
+    with pytest.raises(R.ConfigError):
+        fetch.rule_table(spark, [R.Rule("a", attachments=("pdf",))])
+
+
 def test_trash_and_selectable(spark):
     rows = [("a", "Bin", ["\\Noselect"]), ("a", "X", ["\\TRASH"]), ("b", "INBOX/Papierkorb", []), ("b", "INBOX", None)]
     folders = spark.createDataFrame(rows, "account string, folder string, flags array<string>")
