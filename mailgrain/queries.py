@@ -21,7 +21,7 @@ from mailgrain.operators import state as st
 from mailgrain.plans import fetch, render
 from mailgrain.plans import rules as R
 from mailgrain.runtime import materialise, spread, table
-from mailgrain.sources import config, mailbox
+from mailgrain.sources import config, mailbox, sinks
 from mailgrain.streaming import delivery
 
 QUERIES: dict = {}
@@ -670,6 +670,93 @@ def page_plan(spark, d):
     return render.body_plan(spread(mails)).select("mail_id", "page_no", "part")
 
 
+def page_count(kind: str, mime: str, content: bytes) -> int:
+    """A stand-in for converters: one page for texts, up to three for others; a leading zero byte is damage."""
+    if content[:1] == b"\0":
+        raise ValueError("damaged")
+    return 1 if kind == "TEXT" else len(content) % 3 + 1
+
+
+OUTCOMES = """
+outcomes as (select *, case when coalesce(octet_length(content), 0) = 0 then 'EMPTY' when octet_length(content) > 30 then 'TOO_LARGE' when kind = 'OPAQUE' then 'UNSUPPORTED_TYPE'
+  when starts_with(h, '00') then 'CORRUPT' end as reason from sorted)"""
+
+
+@query(f"""with {KINDS}, {OUTCOMES}
+select part_id, reason is null as ok, cast(case when reason is not null then 0 when kind = 'TEXT' then 1 else octet_length(content) % 3 + 1 end as integer) as pages, reason from outcomes""")
+def converted_parts(spark, d):
+    """Outcomes of all attachments with a stand-in converter (cap of 30 bytes)."""
+    return render.converted(spread(table(spark, d, "attachment_part")), F.lit(30), page_count)
+
+
+@query(f"""with {KINDS}, {OUTCOMES}, p as (select hdr_id, part_no, part_id, unnest(case when reason is null then ['separator', 'pages'] else ['info'] end) as page from outcomes)
+select hdr_id, part_no as "index", cast(page = 'pages' as integer) as step, page, part_id from p""")
+def attachment_pages(spark, d):
+    """Separator, pages or information page of every attachment."""
+    parts = table(spark, d, "attachment_part")
+    return render.attachment_pages(parts, render.converted(spread(parts), F.lit(30), page_count)).drop("markup")
+
+
+@query("""
+with f as (select source, md5(text) as ident, min(doc_id) as first_id from documents where text is not null and source is not null group by 1, 2),
+k as (select *, row_number() over (partition by source order by first_id) as n from f)
+select d.doc_id as position, d.source as folder, case when n = 1 then 'mail' else concat('mail-', n) end as name, d.doc_id > first_id as skip
+from documents d join k on d.source = k.source and md5(d.text) = k.ident""")
+def deliver_plan(spark, d):
+    """File of every message in its folder, same bytes once."""
+    docs = table(spark, d, "documents").where("text is not null and source is not null")
+    mails = docs.select(F.col("doc_id").alias("position"), F.col("source").alias("folder"), F.lit("mail").alias("base"), F.encode("text", "UTF-8").alias("content"))
+    return sinks.delivery_names(mails).select("position", "folder", "name", "skip")
+
+
+def render_mails(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed mails with the first plain letter of their subject as subject, undated, in folders by account."""
+    letter = F.regexp_extract(F.coalesce("subject", F.lit("")), "([A-Za-z])", 1)
+    h = table(spark, d, "mail_headers").select(F.col("hdr_id").alias("mail_id"), F.col("account").alias("folder"), F.col("account").alias("profile"), letter.alias("subject"), "message_id", "from_")
+    content = F.encode(F.concat(F.coalesce("text_body", F.lit("")), F.coalesce("html_body", F.lit(""))), "UTF-8")
+    m = table(spark, d, "parsed_mail").select("mail_id", "text_body", "html_body", content.alias("content"), F.lit(1).alias("html_pages"))
+    return m.join(h, "mail_id").withColumn("stamp", F.lit(None).cast("timestamp_ntz"))
+
+
+RENDERED = r"""
+m as (select mail_id, account as folder, case when regexp_extract(coalesce(subject, ''), '([A-Za-z])', 1) = '' then account else concat(account, '_', regexp_extract(subject, '([A-Za-z])', 1)) end as base,
+  concat(coalesce(text_body, ''), coalesce(html_body, '')) as content from parsed_mail join mail_headers on mail_id = hdr_id),
+i as (select folder, base, content, min(mail_id) as first_id from m group by 1, 2, 3),
+n as (select *, row_number() over (partition by folder, base order by first_id) as k from i),
+named as (select m.mail_id, m.folder, case when k = 1 then m.base else concat(m.base, '-', k) end as name, m.mail_id > first_id as skip from m join n using (folder, base, content))"""
+
+
+@query(f"with {RENDERED} select * from named")
+def render_names(spark, d):
+    """Folder name of every mail and whether it is rendered already."""
+    parts = table(spark, d, "attachment_part")
+    outcomes = render.converted(parts, F.lit(30), page_count)
+    return render.render_plan(render_mails(spark, d), parts, outcomes).mails.select("mail_id", "folder", "name", "skip")
+
+
+@query(f"""with {RENDERED}, f as (select mail_id, folder, name, unnest(case when mail_id in (select hdr_id from attachment_part) then ['.pdf', '_mailonly.pdf'] else ['.pdf'] end) as suffix from named where not skip)
+select mail_id, folder, name, concat(name, suffix) as file, suffix = '.pdf' and mail_id in (select hdr_id from attachment_part) as with_attachments from f""")
+def render_files(spark, d):
+    """Files of every mail that a render run writes."""
+    parts = table(spark, d, "attachment_part")
+    outcomes = render.converted(parts, F.lit(30), page_count)
+    return render.render_plan(render_mails(spark, d), parts, outcomes).files
+
+
+@query("""
+select account, uid, step, array_to_string(case step when 'label' then ['STORE'] when 'move' then ['CREATE', 'SUBSCRIBE'] || case when length(account) % 2 = 0 then ['MOVE'] when length(account) % 3 = 0 then ['COPY', 'STORE \\Deleted', 'UID EXPUNGE'] else ['COPY', 'STORE \\Deleted'] end
+    else case when length(account) % 3 = 0 then ['STORE \\Deleted', 'UID EXPUNGE'] else ['STORE \\Deleted'] end end, ',') as commands,
+  case when length(account) % 3 > 0 and (step = 'delete' or (step = 'move' and length(account) % 2 > 0)) then 'no UIDPLUS: left marked as deleted' end as error
+from (select account, uid, ['label', 'move', 'delete'][1 + uid % 3] as step from scanned_message)""")
+def server_outcomes(spark, d):
+    """What servers of different capabilities are told for one step per message."""
+    s = table(spark, d, "scanned_message")
+    steps = s.select("account", "uid", F.element_at(F.array(F.lit("label"), F.lit("move"), F.lit("delete")), (1 + F.col("uid") % 3).cast("int")).alias("step"))
+    can = F.concat(F.when(F.length("account") % 2 == 0, F.array(F.lit("MOVE"))).otherwise(F.array().cast("array<string>")), F.when(F.length("account") % 3 == 0, F.array(F.lit("UIDPLUS"))).otherwise(F.array().cast("array<string>")))
+    told = sinks.server_outcomes(steps, s.select("account").distinct().withColumn("capabilities", can))
+    return told.select("account", "uid", "step", F.array_join("commands", ",").alias("commands"), "error")
+
+
 def rendered(spark: SparkSession, d: str) -> DataFrame:
     """Render results derived from deliveries."""
     x = table(spark, d, "delivered")

@@ -20,9 +20,9 @@ class SourceError(RuntimeError):
 
 
 def eml_files(spark: SparkSession, directory: str) -> DataFrame:
-    """path, stem, modified, length, content of the .eml files directly in a directory (case-sensitive suffix).
+    """path, stem, modified, length, content of the .eml files directly in a directory (case-sensitive suffix), by path.
 
-    Columns that aren't used are pruned, so listings don't read content.
+    Names begin with the date, so paths are in order of time.  Columns that aren't used are pruned, so listings don't read content.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -30,7 +30,31 @@ def eml_files(spark: SparkSession, directory: str) -> DataFrame:
         raise SourceError(f"not a directory: {directory}")
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(directory)
     stem = F.regexp_extract("path", r"([^/]*)\.eml$", 1)
-    return raw.select("path", stem.alias("stem"), F.col("modificationTime").alias("modified"), "length", "content")
+    return raw.select("path", stem.alias("stem"), F.col("modificationTime").alias("modified"), "length", "content").orderBy("path")
+
+
+def collect_files(spark: SparkSession, arguments: list[str]) -> DataFrame:
+    """position, path of the .eml files that files and folders name, each once, in order of first mention.
+
+    A folder gives the files directly in it by name.  SourceError for what isn't
+    there and for a file of another kind.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    seen: dict[str, None] = {}
+    for argument in arguments:
+        path = hadoop.Path(argument)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            raise SourceError(f"not found: {argument}")
+        status = fs.getFileStatus(path)
+        if status.isDirectory():
+            inside = [s for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().endswith(".eml")]
+            seen |= dict.fromkeys(sorted(s.getPath().toString() for s in inside))
+        elif status.getPath().getName().endswith(".eml"):
+            seen[status.getPath().toString()] = None
+        else:
+            raise SourceError(f"not an .eml file: {argument}")
+    return spark.createDataFrame(list(enumerate(seen)), "position int, path string")
 
 
 def collect_paths(arguments: DataFrame) -> DataFrame:
