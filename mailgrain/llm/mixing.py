@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +27,23 @@ from mailgrain.runtime import materialise, spread
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_UNITS = 4_096
-MAX_SOURCES = 10_000
 SEED = 20
 _EPS = 1e-9
 
 
 def token_sizes(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, tokens of every document with a text; empty texts have 0 tokens."""
-    path = os.path.join(tokenizers, vocabulary)
+    """doc_id, source, tokens of every document with a text; empty texts have 0 tokens.
+
+    The vocabulary file lies with the driver and is sent to the executors once.
+    """
+    documents.sparkSession.sparkContext.addFile(os.path.join(tokenizers, vocabulary))
     source = spread(documents.select("doc_id", "source", "text").where(F.col("text").isNotNull()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(SparkFiles.get(os.path.basename(vocabulary)))
         tokenizer.encode_special_tokens = True
         encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         for batch in batches:
@@ -110,25 +113,22 @@ def land(tokens: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np
     return np.rint(p)
 
 
-def uses_of_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[tuple[str, float]]:
-    """(source, uses of each document) of every source with a target.
+def uses_of_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame | None:
+    """source, uses: how often each document of a source with a target is used; None if there is nothing to mix.
 
-    Without ``total_tokens`` the mix is as large as the repeat caps allow.  The
-    result has one row per target, at most MAX_SOURCES.
+    Without ``total_tokens`` the mix is as large as the repeat caps allow.  Only
+    that size reaches the driver.
     """
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     wanted = targets.where("target_share > 0 and source is not null").groupBy("source").agg(
         F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")
     )
-    rows = wanted.join(have, "source", "left").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} targets")
-    rows = [r for r in rows if r["tokens"]]
-    if not rows:
-        return []
-    largest = min((r["cap"] or 1) * r["tokens"] / r["share"] for r in rows)
+    rows = materialise(wanted.join(have, "source"), "mix-sources").where("tokens > 0")
+    largest = rows.agg(F.min(F.coalesce("cap", F.lit(1)) * F.col("tokens") / F.col("share"))).first()[0]
+    if largest is None:
+        return None
     total = largest if total_tokens is None else min(total_tokens, largest)
-    return [(r["source"], r["share"] * total / r["tokens"]) for r in rows]
+    return rows.select("source", (F.col("share") * F.lit(float(total)) / F.col("tokens")).alias("uses"))
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
@@ -139,11 +139,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
     """
     spark = documents.sparkSession
     sizes = materialise(token_sizes(documents, tokenizers, vocabulary).where("tokens > 0"), "token-sizes")
-    uses = uses_of_sources(sizes, targets, total_tokens)
-    schema = sizes.schema
-    if not uses:
-        return spark.createDataFrame([], schema).withColumn("copies", F.lit(1))
-    plan = spark.createDataFrame(uses, "source string, uses double")
+    plan = uses_of_sources(sizes, targets, total_tokens)
+    if plan is None:
+        return spark.createDataFrame([], sizes.schema).withColumn("copies", F.lit(1))
     units = sizes.join(plan, "source").withColumn("whole", F.floor(F.col("uses") + F.lit(_EPS)).cast("int"))
     units = units.withColumn("chance", F.greatest(F.col("uses") - F.col("whole"), F.lit(0.0))).drop("uses")
     biggest = sizes.groupBy("source").count().agg(F.max("count")).first()[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailgrain.llm import confusables, leakage, mixing, mojibake, pii, truncation
-from mailgrain.runtime import table
+from mailgrain.runtime import materialise, table
 
 
 def p2_found(spark, sf_dir):
@@ -51,7 +51,7 @@ def p4_collisions(spark, sf_dir):
     """Stand-ins of several values and values with several stand-ins, by kind: none."""
     found = pii.replacements(table(spark, sf_dir, "parsed_mail"), table(spark, sf_dir, "mail_headers"), KEY)
     kinds = spark.createDataFrame([(k,) for k in pii.KINDS], "kind string")
-    bad = pii.collisions(found).groupBy("kind").agg(F.count_if("entities > 1").alias("shared"), F.count_if("stand_ins > 1").alias("split"))
+    bad = pii.collisions(found).groupBy("kind").agg(F.count_if(F.col("entities") > 1).alias("shared"), F.count_if(F.col("stand_ins") > 1).alias("split"))
     return kinds.join(bad, "kind", "left").na.fill(0, ["shared", "split"])
 
 
@@ -86,6 +86,21 @@ def p8_report(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_kept(spark, sf_dir):
+    """Whether every source meets its target share to within two documents and no document is used too often."""
+    targets = table(spark, sf_dir, "mix_targets")
+    used = mixing.mixed(table(spark, sf_dir, "documents"), targets)
+    sums = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("most"), F.max("tokens").alias("longest"))
+    sums = materialise(sums, "mix-check")
+    total = sums.agg(F.sum("t")).first()[0]
+    both = targets.join(sums, "source", "left")
+    misses = F.abs(F.col("t") - F.col("target_share") * F.lit(float(total)))
+    # each of the others may miss its own target by two documents, which moves the total
+    longest = sums.agg(F.max("longest")).first()[0]
+    slack = 2 * F.col("longest") + F.col("target_share") * F.lit(2.0 * longest) * F.lit(both.count())
+    return both.select("source", (misses <= slack).alias("share_kept"), (F.col("most") <= F.col("max_repeats")).alias("caps_kept"))
+
+
 def p9_found(spark, sf_dir):
     """Documents that are cut off."""
     return truncation.truncated(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
@@ -116,11 +131,13 @@ QUERIES = {
     "p7_report": p7_report,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p8_kept": p8_kept,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p9_limits": p9_limits,
 }
 SQL = {
+    "p8_kept": "select source, true as share_kept, true as caps_kept from mix_targets",
     "p4_collisions": "select kind, 0::bigint as shared, 0::bigint as split from (values ('email'), ('phone'), ('id_number'), ('address'), ('name')) t(kind)",
     "p7_found": r"""
 with d as (select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
