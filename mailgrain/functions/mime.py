@@ -174,15 +174,52 @@ def clean_page_of(markup: str):
 
 
 def register(spark) -> None:
-    """Scalar and table functions for SQL text."""
-    from mailgrain.functions import markup, text
+    """Scalar and table functions for SQL text.
+
+    Python functions run Arrow-batched.  Those that are one expression of
+    built-ins are temporary SQL functions, which the optimiser inlines.
+    """
+    from mailgrain.functions import attachments, markup, text
 
     for name, function in (
         ("nfc", text.nfc), ("email_addresses", text.email_addresses), ("decode_words", text.decode_words),
-        ("html_to_text", markup.html_to_text), ("html_is_trivial", markup.html_is_trivial), ("parse_mail", parse_mail),
+        ("html_to_text", markup.html_to_text), ("html_is_trivial", markup.html_is_trivial), ("parse_mail", parse_mail), ("clean_html", markup.page_cleaner(False)), ("clean_html_remote", markup.page_cleaner(True)),
     ):
         spark.udf.register(name, function)
     parts = F.udtf(MailParts, returnType="part_no int, filename string, content_type string, size long, content_id string, is_inline boolean")
     refs = F.udtf(HtmlReferences, returnType="kind string, url string")
     spark.udtf.register("mail_parts", parts)
     spark.udtf.register("html_refs", refs)
+    c = F.col
+    wall, content, kind, name = c("w"), c("c"), c("k"), c("n")
+    for function, parameters, column in (
+        ("sanitize_name", "t string", text.sanitize(c("t"))), ("cap_bytes", "t string", text.truncate_bytes(c("t"))), ("email_address", "t string", text.email_address(c("t"))),
+        ("format_stamp", "w timestamp_ntz", text.format_date(wall)),
+        ("format_date_human", "w timestamp_ntz", text.format_date_human(wall)), ("parse_size", "t string", text.parse_size(c("t"))), ("format_size", "n bigint", text.format_size(c("n"))),
+        ("safe_attachment_name", "t string", text.safe_attachment_name(c("t"))), ("file_suffix", "t string", text.suffix(c("t"))), ("bare_id", "t string", text.bare_id(c("t"))),
+        ("data_uri", "c binary, k string", text.data_uri(content, kind)), ("decode_bytes", "c binary", text.decode_bytes(content)),
+        ("is_remote_url", "t string", text.is_remote(c("t"))), ("is_allowed_url", "t string", text.is_allowed_url(c("t"), False)), ("escape_html", "t string", text.escape_html(c("t"))),
+        ("sniff_mime", "c binary", attachments.sniff_mime(content)), ("effective_mime", "c binary, k string", attachments.effective_mime(content, kind)), ("classify_attachment", "c binary, k string, n string", attachments.classify(content, kind, name)),
+        ("has_style_reference", "t string", c("t").rlike(r"(?i)url\(|@import")),
+    ):
+        _sql_function(spark, function, parameters, column)
+    for statement in SQL_TEXTS:
+        spark.sql(statement)
+
+
+def _sql_function(spark, name: str, parameters: str, column) -> None:
+    """Temporary SQL function whose body is the text of an expression over its parameters."""
+    empty = spark.createDataFrame([], parameters).select(column.alias("x"))
+    body = empty._jdf.queryExecution().analyzed().expressions().apply(0).child().sql()
+    spark.sql(f"create or replace temporary function {name}({parameters}) returns {empty.schema['x'].dataType.simpleString()} return ({body})")
+
+
+#: Functions made of others, or with a lambda, whose text can't be taken from an expression.
+SQL_TEXTS = (
+    """create or replace temporary function base_name(w timestamp_ntz, k string, t string) returns string return
+      coalesce(nullif(cap_bytes(sanitize_name(concat_ws('_', format_stamp(w), k, t))), ''), 'email')""",
+    """create or replace temporary function move_target(t string, k string, n string) returns string return (
+      with d as (select if(length(n) > 0, n, '/') as d),
+        j as (select array_join(filter(split(replace(t, d, '/'), '/'), p -> length(p) > 0), d) as j from d)
+      select if(length(k) = 0 or startswith(j, k), j, concat(k, j)) from j)""",
+)

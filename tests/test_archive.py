@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailgrain.operators import audit, naming
 from mailgrain.operators import state as st
 from mailgrain.plans import render
+from mailgrain.plans import rules as R
 from mailgrain.sources import config, mailbox, sinks
 from mailgrain.streaming import delivery
 
@@ -93,6 +94,26 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     assert delivery.first_deliveries(spark.read.parquet(str(inbox))).count() == 41
 
 
+def test_stream_with_rules(spark, tmp_path):
+    """First match per message, unmatched ones for later rules, actions until they are done."""
+    schema = "account string, folder string, uidvalidity long, uid long, hdr_id long, size long, received_wall timestamp_ntz, from_ string, to_ string, cc string, bcc string, subject string, message_id string, date_wall timestamp_ntz"
+    rows = [("a", "INBOX", 1, i, i, 10, None, "", "", "", "", "bill" if i % 2 else "other", None, None) for i in range(20)]
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(inbox)
+    folders = spark.createDataFrame([("a", "INBOX", 0)], "account string, folder string, ordinal int")
+    rules = [R.Rule("bills", subject="bill", label="b")]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    delivery.fetch_stream(stream, rules, folders, out, str(tmp_path / "check")).awaitTermination()
+    spark.createDataFrame(rows[:4], schema).write.mode("append").parquet(inbox)
+    delivery.fetch_stream(stream, rules, folders, out, str(tmp_path / "check")).awaitTermination()
+    assert sorted(r["uid"] for r in spark.read.parquet(f"{out}/delivered/batch_id=*").collect()) == list(range(1, 20, 2))
+    assert delivery.matched_later(spark, out, rules, folders).where("ordinal is not null").count() == 0
+    later = delivery.matched_later(spark, out, [R.Rule("any")], folders)
+    assert sorted(r["uid"] for r in later.where("ordinal = 0").collect()) == list(range(0, 20, 2))
+    done = spark.createDataFrame([("a", "INBOX", 1, 1)], "account string, folder string, uidvalidity long, uid long")
+    assert delivery.open_actions(spark, out).count() == 10 and sorted(r["uid"] for r in delivery.open_actions(spark, out, done).collect()) == list(range(3, 20, 2))
+
+
 def test_snapshot_source(spark, tmp_path):
     rows = [("a", "f", 1, i, i, i * 10) for i in range(20)] + [("b", "f", 1, 1, 99, 500)]
     spark.createDataFrame(rows, "account string, folder string, uidvalidity long, uid long, hdr_id long, rfc822_size long").write.parquet(str(tmp_path / "s"))

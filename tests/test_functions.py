@@ -223,3 +223,19 @@ def test_sizes_agree(spark):
     texts = ["512", "5 MB", "1.5kb", "2G", " 7 b ", "", "MB", "-5", "five", "5 5MB", "1.", ".5", "1.5.2", "3GBB", "\t8\nK", "٣", "1e3", "10TB", "7 B B"]
     assert column(spark, texts, X.parse_size) == [X.size_bytes(t) for t in texts]
     assert [X.size_bytes(t) for t in texts[:5]] == [512, 5 * 1024**2, 1536, 2 * 1024**3, 7] and not any(X.size_bytes(t) for t in texts[5:14])
+
+
+def test_functions_in_sql_text(spark):
+    M.register(spark)
+    wall = "timestamp_ntz'2024-01-02 03:04:05'"
+    cases = {
+        "sanitize_name('a/b  c')": "a_b_c", "cap_bytes('abc ')": "abc", "email_address('N <a@x>')": "a@x", f"base_name({wall}, 'p', 'Hi: x')": "2024-01-02_03-04-05_p_Hi_x", "base_name(null, '', '?')": "email",
+        f"format_date_human({wall})": "02.01.2024 03:04", "parse_size('5 MB')": 5 * 1024**2, "format_size(2048L)": "2.0 KB", "safe_attachment_name('../x.pdf')": "x.pdf", "file_suffix('a.PDF')": "pdf",
+        "bare_id('<x>')": "x", "move_target('A/B', 'INBOX.', '.')": "INBOX.A.B", "data_uri(cast('x' as binary), 'text/plain')": "data:text/plain;base64,eA==", "decode_bytes(X'E9')": "é", "is_remote_url('//x')": True,
+        "is_allowed_url('data:x')": True, "escape_html('<a>')": "&lt;a&gt;", "sniff_mime(cast('%PDF-' as binary))": "application/pdf", "classify_attachment(cast('x' as binary), 'text/plain', 'a')": "TEXT",
+        "has_style_reference('URL(x)')": True, "nfc('e\u0301')": "é", "parse_mail(cast('Subject: s' as binary)).subject": "s", "html_is_trivial('<p>x')": True,
+    }
+    got = spark.sql("select " + ", ".join(f"{q} as c{n}" for n, q in enumerate(cases))).first()
+    assert dict(zip(cases, got, strict=True)) == cases
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2), "p", s_) for s_ in ("a", "{date}", "ü" * 150, "", None)], "w timestamp_ntz, k string, t string")
+    assert df.select(F.expr("base_name(w, k, t)").alias("x"), X.base_name(F.col("w"), F.col("k"), F.col("t")).alias("y")).where("x <> y or x is null").count() == 0
