@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from mailgrain.functions import mime
 from mailgrain.operators import audit
 from mailgrain.operators import state as st
-from mailgrain.plans import fetch
+from mailgrain.plans import fetch, render
 from mailgrain.plans import rules as R
-from mailgrain.sources import config, mailbox
+from mailgrain.sources import checks, config, mailbox, sinks
 
 
 class Archive:
@@ -62,7 +62,34 @@ class Archive:
     def verify(self, files: DataFrame, folders: DataFrame) -> DataFrame:
         """Findings about every profile."""
         profiles = self.spark.createDataFrame([(r.name, r.pdf) for r in self.rules], "profile string, pdf boolean")
-        return audit.findings(files, folders, profiles)
+        return audit.findings(files, folders, profiles).orderBy("profile", "kind", "detail")
+
+    def deliver(self, messages: DataFrame, root: str, existing: DataFrame | None = None) -> DataFrame:
+        """Write messages (folder, base, content, position) as files; rows tell what was written once acted upon."""
+        return sinks.deliver(sinks.delivery_names(messages, existing), root)
+
+    def render(self, mails: DataFrame, parts: DataFrame, outcomes: DataFrame, existing: DataFrame | None = None) -> render.RenderPlan:
+        """Plan of a render run over the mails of all profiles."""
+        return render.render_plan(mails, parts, outcomes, existing)
+
+    def adhoc(self, files: DataFrame, name: str, parts: DataFrame, outcomes: DataFrame, existing: DataFrame | None = None) -> render.RenderPlan:
+        """Plan of rendering single files beside themselves."""
+        return render.adhoc_plan(files, name, parts, outcomes, existing)
+
+    def doctor(self, rows: list[tuple[str, str, str]]) -> DataFrame:
+        """Checks of the environment (see ``sources.checks.standard``)."""
+        return checks.checks(self.spark, rows)
+
+    def add_profile(self, path: str, rule: R.Rule) -> str | None:
+        """Append a rule and rewrite the rule file; the name of the backup."""
+        if any(r.name == rule.name for r in self.rules):
+            raise R.ConfigError(f"profile {rule.name!r} is there already")
+        self.rules = [*self.rules, rule]
+        return self.sync_profiles(path)
+
+    def sync_profiles(self, path: str) -> str | None:
+        """Rewrite the rule file in its canonical form; the name of the backup."""
+        return sinks.rewrite_settings(path, R.rules_text(self.rules))
 
     def restore(self, archive: DataFrame, box: DataFrame) -> DataFrame:
         """What a restore would upload and skip."""

@@ -146,6 +146,11 @@ def read_mails(mails, raw: str, keep: list[str]):
     return source.mapInPandas(run, T.StructType([*fields, T.StructField("m", MAIL_TYPE)]))
 
 
+def resolvable_parts(mail):
+    """All parts of a parsed mail that its page may refer to: inline ones and attachments (a column of MAIL_TYPE)."""
+    return F.concat(mail["attachments"], mail["inline_parts"])
+
+
 class MailParts:
     """Table function: one row per part of a mail, numbered from 1."""
 

@@ -109,6 +109,34 @@ def parse_size(text: Column) -> Column:
     return F.when(number.rlike("^[0-9]+$|^[0-9]+[.][0-9]+$"), F.floor(number.try_cast("double") * factor).cast("long"))
 
 
+def required_size(text: Column) -> Column:
+    """``parse_size`` that fails the query for nonsense; null stays null."""
+    got = parse_size(text)
+    return F.when(text.isNull(), F.lit(None).cast("long")).when(got.isNull(), F.raise_error(F.concat(F.lit("not a size: "), text)).cast("long")).otherwise(got)
+
+
+def header_message_id(content: Column, limit: int = 65_536) -> Column:
+    """Message-ID of a raw message from its first ``limit`` bytes: header lines unfolded, nothing after the blank line."""
+    head = F.regexp_extract(decode_bytes(F.substring(content, 1, limit)), r"(?s)^(.*?)(?:\r?\n\r?\n|\z)", 1)
+    flat = F.regexp_replace(head, r"\r?\n[ \t]+", " ")
+    return F.nullif(F.trim(F.regexp_extract(flat, r"(?im)^message-id:([^\r\n]*)", 1)), F.lit(""))
+
+
+@F.pandas_udf(T.StringType())
+def decode_header_bytes(raw: pd.Series) -> pd.Series:
+    """Header bytes with RFC 2047 words decoded; Latin-1 where that fails, null stays null."""
+
+    def one(b):
+        if b is None:
+            return None
+        try:
+            return str(make_header(decode_header(bytes(b).decode("utf-8"))))
+        except (ValueError, LookupError, UnicodeError):
+            return bytes(b).decode("latin-1")
+
+    return raw.map(one)
+
+
 def format_size(n: Column) -> Column:
     """Human size with one decimal, halves to even."""
     out = F.format_string("%d B", n)

@@ -256,6 +256,18 @@ def convert_mask(
     return seconds, good
 
 
+def masks(values: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep``, mask, n, known: how often each shape occurs and whether a parser reads it.
+
+    Shapes without a parser give no instants; this says which and how many.
+    Nulls are left out.
+    """
+    shape = F.regexp_replace(F.regexp_replace(F.col(text), "[0-9]", "9"), r"\p{L}", "A")
+    counted = values.where(F.col(text).isNotNull()).groupBy(*keep, F.trim(shape).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.pandas_udf(lambda m: pd.Series([bool(compile_mask(x)) for x in m], dtype=bool), "boolean")
+    return counted.withColumn("known", known("mask"))
+
+
 def to_instants(values: DataFrame, text: str, home_zone: str, day_first: str, keep: list[str]) -> DataFrame:
     """``keep`` plus ``utc_s`` for every readable value of ``text``.
 

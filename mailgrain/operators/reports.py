@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mailgrain.operators.audit import smallest
@@ -57,3 +57,29 @@ def mail_complete(outcomes: Column) -> Column:
 def outcome_counts(results: DataFrame) -> DataFrame:
     """outcome, n sorted by outcome."""
     return results.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).orderBy("outcome")
+
+
+def mail_only_failures(results: DataFrame) -> DataFrame:
+    """n: failing paths that are body-only files, which points to the renderer rather than to an attachment."""
+    return results.agg(F.count_if(~F.col("compliant") & F.endswith("path", F.lit("_mailonly.pdf"))).alias("n"))
+
+
+def damaged(results: DataFrame) -> DataFrame:
+    """n: attachments that were damaged or locked."""
+    return results.agg(F.count_if(F.col("reason").isin("CORRUPT", "ENCRYPTED")).alias("n"))
+
+
+def mails_of_run(plans: DataFrame) -> DataFrame:
+    """mails: how many mails all plans of a run hold (profile, mails)."""
+    return plans.agg(F.coalesce(F.sum("mails"), F.lit(0)).alias("mails"))
+
+
+def restore_exit_code(outcomes: DataFrame) -> DataFrame:
+    """1 if any upload failed, else 0."""
+    return outcomes.agg(F.coalesce(F.max((F.col("outcome") == "FAILED").cast("int")), F.lit(0)).alias("exit_code"))
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` that counts its rows while they pass, and the observation that tells the count."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

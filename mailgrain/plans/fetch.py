@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailgrain.functions.text import base_name, email_address, email_addresses, move_target
+from mailgrain.functions.mime import read_mails
+from mailgrain.functions.text import base_name, decode_words, email_address, email_addresses, move_target
 from mailgrain.operators import state as st
 from mailgrain.plans import rules as R
 
@@ -102,6 +103,24 @@ def matched_by_table(messages: DataFrame, rules: list[R.Rule], folders: DataFram
     return messages.join(first, "hdr_id", "left")
 
 
+def file_base(rules: list[R.Rule]) -> Column:
+    """File name of a matched message by the naming options of its rule."""
+    wall, profile, subject = F.coalesce("date_wall", "received_wall"), F.col("profile"), F.col("subject")
+    plain = base_name(wall, profile, subject)
+    own = [(i, {k: r.options[o] for k, o in (("pattern", "filename_pattern"), ("date_format", "date_format")) if o in r.options}) for i, r in enumerate(rules)]
+    return F.coalesce(*[F.when(F.col("ordinal") == i, base_name(wall, profile, subject, **o)) for i, o in own if o], plain)
+
+
+def with_bodies(messages: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Messages with ``raw`` from ``bodies`` (state key, raw), joined after all filters; null where there is no body."""
+    return messages.join(bodies.select(*st.KEY, "raw"), st.KEY, "left")
+
+
+def attachment_names(messages: DataFrame) -> DataFrame:
+    """hdr_id, name of every attachment of messages with ``raw``, for rules that look at them."""
+    return read_mails(messages, "raw", ["hdr_id"]).select("hdr_id", F.explode("m.attachments.filename").alias("name"))
+
+
 def rules_frame(spark, rules: list[R.Rule]) -> DataFrame:
     """ordinal, profile, label, move_to, deletes, has_action, action."""
     rows = [
@@ -114,9 +133,12 @@ def rules_frame(spark, rules: list[R.Rule]) -> DataFrame:
 def scan_filter(messages: DataFrame, rules: list[R.Rule]) -> DataFrame:
     """Messages within the loosest bounds of all rules; the filter reaches the scan.
 
-    Unknown sizes stay, as every size rule lets them pass.
+    Unknown sizes and days stay, as every rule lets them pass.
     """
     bounds = R.weakest_bounds(rules)
+    if bounds["since"] is not None:
+        latest = F.greatest("date_wall", "received_wall").cast("date")
+        messages = messages.where(F.coalesce(latest >= F.lit(bounds["since"]), F.lit(True)))
     if bounds["larger"] is not None:
         messages = messages.where(F.coalesce(F.col("size") > bounds["larger"], F.lit(True)))
     if bounds["smaller"] is not None:
@@ -158,7 +180,7 @@ def plan(
     if failed_accounts is not None:
         messages = messages.join(F.broadcast(failed_accounts.select("account").distinct()), "account", "left_anti")  # one row per account
     hits = matched(scan_filter(messages, rules), rules, folders, strict, names).where("ordinal is not null").join(F.broadcast(table), "ordinal")  # one row per rule
-    name = F.concat(base_name(F.coalesce("date_wall", "received_wall"), F.col("profile"), F.col("subject")), F.lit(".eml"))
+    name = F.concat(file_base(rules), F.lit(".eml"))
     known = state.select(*st.KEY, F.col("filename").alias("__recorded"), F.lit(True).alias("__done"))
     both = hits.join(known, st.KEY, "left").withColumn("already", F.coalesce("__done", F.lit(False)))
     both = both.withColumn("filename", F.coalesce("__recorded", name)).drop("__recorded", "__done")
@@ -226,6 +248,12 @@ def envelope_address(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat_ws("@", p["mailbox"], p["host"])), ", ")
 
 
+def headers_of_envelope(e: Column) -> Column:
+    """Struct of header texts from a server's envelope (addresses as arrays of mailbox and host)."""
+    fields = [envelope_address(e[f]).alias(c) for f, c in (("from", "from_"), ("to", "to_"), ("cc", "cc"), ("bcc", "bcc"))]
+    return F.struct(*fields, decode_words(F.coalesce(e["subject"], F.lit(""))).alias("subject"), e["date"].alias("date_"), F.nullif(F.trim(e["message_id"]), F.lit("")).alias("message_id"))
+
+
 def sender(message: Column) -> Column:
     """Address of a sender header."""
     return F.lower(email_address(message))

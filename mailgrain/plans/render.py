@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailgrain.errors import MergeError
 from mailgrain.functions import attachments as A
 from mailgrain.functions import text as X
-from mailgrain.functions.markup import html_is_trivial, html_to_text
+from mailgrain.functions.markup import page_facts
 from mailgrain.operators import naming
 
 # Page geometry in millimetres and pixels, section titles.
@@ -47,6 +48,82 @@ def fit(content_px: Column) -> Column:
     return F.struct(F.when(turned, F.least(F.lit(1.0), landscape / content_px)).otherwise(scale).alias("scale"), turned.alias("landscape"))
 
 
+@dataclass(frozen=True)
+class Rendition:
+    """How a body is laid out: viewport, left margin, and whether wide content may turn the page."""
+
+    name: str
+    width_px: int
+    left_mm: float
+    may_turn: bool
+
+
+#: As the sender saw it, and reflowed to the page.
+FAITHFUL = Rendition("faithful", FAITHFUL_WIDTH, MARGIN, True)
+REFLOWED = Rendition("reflowed", round((A4_WIDTH - MARGIN - LEFT_MARGIN) / 25.4 * DPI), LEFT_MARGIN, False)
+
+
+def carry_links(links: Column, placed: Column) -> Column:
+    """Link rectangles (x0, y0, x1, y1) of a page after ``place`` moved and scaled it."""
+    x = lambda v: v * placed["scale"] + placed["dx"]
+    y = lambda v: v * placed["scale"] + placed["dy"]
+    return F.transform(links, lambda r: r.withField("x0", x(r["x0"])).withField("y0", y(r["y0"])).withField("x1", x(r["x1"])).withField("y1", y(r["y1"])))
+
+
+def resolved_references(references: DataFrame, parts: DataFrame) -> DataFrame:
+    """References of pages (mail_id, url) with the part each means: by content id, else by place; null part_id if none.
+
+    ``parts``: mail_id, part_id, content_id, content_location.  The first part wins.
+    """
+    is_cid = F.lower("url").startswith("cid:")
+    key = F.when(is_cid, F.concat(F.lit("c:"), F.btrim(F.url_decode(F.substr("url", F.lit(5))), F.lit("<> ")))).otherwise(F.concat(F.lit("p:"), F.regexp_replace("url", r"^\./", "")))
+    by_id = parts.where(F.length("content_id") > 0).select("mail_id", F.concat(F.lit("c:"), F.btrim("content_id", F.lit("<> "))).alias("__k"), "part_id")
+    by_place = parts.where(F.length("content_location") > 0).select("mail_id", F.concat(F.lit("p:"), F.regexp_replace("content_location", r"^\./", "")).alias("__k"), "part_id")
+    first = by_id.unionByName(by_place).groupBy("mail_id", "__k").agg(F.min("part_id").alias("part_id"))
+    return references.withColumn("__k", key).join(first, ["mail_id", "__k"], "left").drop("__k")
+
+
+class ImageConverter(Protocol):
+    """Pictures to pages."""
+
+    def pages(self, mime: str, content: bytes) -> bytes: ...
+
+
+class DocumentTool(Protocol):
+    """Documents: made readable (EncryptedError, DamagedError), joined, counted, made fit for archiving."""
+
+    def normalise(self, content: bytes) -> bytes: ...
+
+    def join(self, documents: list[bytes]) -> bytes: ...
+
+    def count(self, content: bytes) -> int: ...
+
+    def archive(self, content: bytes) -> bytes: ...
+
+
+def converter(images: ImageConverter, documents: DocumentTool, texts: Callable[[str], bytes]) -> Callable[[str, str, bytes], int]:
+    """Function for ``converted`` made of the tools for pictures, documents and texts."""
+
+    def convert(kind: str, mime: str, content: bytes) -> int:
+        if kind == "IMAGE":
+            return documents.count(images.pages(mime, content))
+        if kind == "TEXT":
+            try:
+                return documents.count(texts(content.decode("utf-8")))
+            except UnicodeDecodeError:
+                return documents.count(texts(content.decode("latin-1")))
+        return documents.count(documents.normalise(content))
+
+    return convert
+
+
+def joined(documents: DocumentTool, pages: list[bytes]) -> bytes:
+    """One archivable document of several; MergeError if there are none."""
+    if not pages:
+        raise MergeError("nothing to join")
+    return documents.archive(documents.join(pages))
+
+
 def place(source_w: Column, source_h: Column, w: Column, h: Column) -> Column:
     """Struct of the scale and offsets that centre one rectangle in another."""
     scale = F.least(w / source_w, h / source_h)
@@ -59,9 +136,10 @@ def body_plan(mails: DataFrame) -> DataFrame:
     Needs mail_id, text_body, html_body and html_pages (pages of the reflowed
     rendition; null if it failed, which leaves text only).
     """
-    text = F.coalesce(F.nullif("text_body", F.lit("")), html_to_text("html_body"))
-    visual = (F.length(F.coalesce("html_body", F.lit(""))) > 0) & ~html_is_trivial("html_body") & F.col("html_pages").isNotNull()
-    m = mails.select("mail_id", "html_pages", visual.alias("visual"), (F.length(F.coalesce(text, F.lit(""))) > 0).alias("has_text"))
+    facts = mails.withColumn("__facts", page_facts("html_body"))
+    text = F.coalesce(F.nullif("text_body", F.lit("")), F.col("__facts.text"))
+    visual = (F.length(F.coalesce("html_body", F.lit(""))) > 0) & ~F.col("__facts.trivial") & F.col("html_pages").isNotNull()
+    m = facts.select("mail_id", "html_pages", visual.alias("visual"), (F.length(F.coalesce(text, F.lit(""))) > 0).alias("has_text"))
     part = lambda name, title=None: F.struct(F.lit(name).alias("part"), F.lit(title).cast("string").alias("title"))
     several = F.col("visual") & (F.col("html_pages") > 1)
     pages = F.filter(
@@ -145,8 +223,8 @@ def text_attachment_markup(filename: Column, text: Column) -> Column:
 CONVERTED = "part_id long, ok boolean, pages int, reason string"
 
 
-def converted(parts: DataFrame, limits: Column, convert: Callable[[str, str, bytes], int]) -> DataFrame:
-    """part_id, ok, pages, reason of every attachment.
+def converted(parts: DataFrame, limits: Column, convert: Callable[[str, str, bytes], int], jobs: int | None = None) -> DataFrame:
+    """part_id, ok, pages, reason of every attachment; at most ``jobs`` converters run at once.
 
     What the plan already settles (empty, too large, no known type) isn't given
     to ``convert(kind, mime, content)``, which returns a number of pages or raises:
@@ -176,7 +254,8 @@ def converted(parts: DataFrame, limits: Column, convert: Callable[[str, str, byt
                 out.append((part, reason is None, pages, reason))
             yield pd.DataFrame(out, columns=["part_id", "ok", "pages", "reason"])
 
-    return asked.where("reason is null").select("part_id", "kind", "mime", "content").mapInPandas(run, CONVERTED).unionByName(settled)
+    due = asked.where("reason is null").select("part_id", "kind", "mime", "content")
+    return (due if jobs is None else due.coalesce(jobs)).mapInPandas(run, CONVERTED).unionByName(settled)
 
 
 def attachment_pages(parts: DataFrame, outcomes: DataFrame) -> DataFrame:

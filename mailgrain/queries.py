@@ -143,6 +143,24 @@ def p6_found(spark, d):
     return instants.mail_instants(table(spark, d, "mail_headers"), table(spark, d, "scanned_message"), table(spark, d, "account"))
 
 
+@query(r"""
+with t as (select 'date' as fld, date_ as t from mail_headers union all select 'received', received from scanned_message)
+select fld, trim(regexp_replace(regexp_replace(t, '[0-9]', '9', 'g'), '\p{L}', 'A', 'g'), ' ') as mask, count(*) as n from t where t is not null group by all""")
+def p6_masks(spark, d):
+    """Shapes of all time values with their counts."""
+    h, s = table(spark, d, "mail_headers"), table(spark, d, "scanned_message")
+    both = h.select(F.lit("date").alias("fld"), F.col("date_").alias("t")).unionByName(s.select(F.lit("received").alias("fld"), F.col("received").alias("t")))
+    return instants.masks(both, "t", ["fld"]).drop("known")
+
+
+@query()
+def p6_unread(spark, d):
+    """Shapes that no parser reads, with their counts."""
+    h, s = table(spark, d, "mail_headers"), table(spark, d, "scanned_message")
+    both = h.select(F.lit("date").alias("fld"), F.col("date_").alias("t")).unionByName(s.select(F.lit("received").alias("fld"), F.col("received").alias("t")))
+    return instants.masks(both, "t", ["fld"]).where("not known").drop("known")
+
+
 @query()
 def fetch_report(spark, d):
     """Deliveries per rule: first match, anti-join with the state, grouped counts."""
@@ -834,7 +852,9 @@ union all select profile, kind, severity, cast(1 as bigint), detail from found w
 def verify_summary(spark, d):
     """Findings, warnings collapsed."""
     profiles = table(spark, d, "delivered").where("profile is not null and filename is not null").select("profile").distinct().withColumn("pdf", F.lit(True))
-    return audit.summary(audit.findings(archive_files(spark, d), archive_folders(spark, d), profiles))
+    # read by four findings each
+    files, folders = materialise(archive_files(spark, d), "archive-files"), materialise(archive_folders(spark, d), "archive-folders")
+    return audit.summary(audit.findings(files, folders, profiles))
 
 
 @query(f"""with {FOLDERS} select case when count(*) filter (where not starts_with(name, '.staging-') and not has_pdf) > 0 then 1 else 0 end as exit_code from folders""")

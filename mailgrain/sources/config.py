@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.plans.rules import ConfigError
+from mailgrain.errors import ConfigError
 
 # Settings are named IMAP_<ACCOUNT>_<FIELD>; these words say yes.
 PREFIX, FIELDS, YES = "IMAP_", ("HOST", "PORT", "USER", "PASSWORD", "SSL"), ("1", "true", "yes", "on")

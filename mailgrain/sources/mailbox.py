@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, InputPartition, LessThan
 
+from mailgrain.errors import SourceError
+from mailgrain.functions.mime import read_mails
 from mailgrain.operators.instants import wall_clock
 
 # Fixed values.
@@ -15,8 +18,28 @@ UNSELECTABLE = ("\\noselect", "\\nonexistent")
 TRASH_NAMES = ("trash", "deleted", "deleted messages", "deleted items", "papierkorb", "bin")
 
 
-class SourceError(RuntimeError):
-    """A source that isn't what it should be."""
+class MailSource(Protocol):
+    """Where mail comes from: rows of an id and the raw message; all that follows reads nothing else."""
+
+    def mails(self, spark: SparkSession) -> DataFrame:
+        """source_id, raw."""
+        ...
+
+
+class EmlFolder:
+    """The .eml files of a folder as a source."""
+
+    def __init__(self, directory: str):
+        self.directory = directory
+
+    def mails(self, spark: SparkSession) -> DataFrame:
+        """source_id (path) and raw message, by path."""
+        return eml_files(spark, self.directory).select(F.col("path").alias("source_id"), F.col("content").alias("raw"))
+
+
+def parsed_mails(source: MailSource, spark: SparkSession) -> DataFrame:
+    """source_id and m (see ``functions.mime``) of every mail of a source; what can't be read is a row with its error."""
+    return read_mails(source.mails(spark), "raw", ["source_id"])
 
 
 def eml_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -68,6 +91,19 @@ def selectable(folders: DataFrame) -> DataFrame:
     return folders.where(~F.coalesce(F.arrays_overlap(lowered, F.array(*[F.lit(u) for u in UNSELECTABLE])), F.lit(False)))
 
 
+def delimiters(folders: DataFrame) -> DataFrame:
+    """account, delimiter: the last one a server names that isn't empty (folders: account, position, delimiter), else a slash."""
+    last = F.max_by("delimiter", F.when(F.length("delimiter") > 0, F.col("position")))
+    named = F.max(F.length("delimiter")) > 0
+    return folders.groupBy("account").agg(F.when(named, last).otherwise(F.lit("/")).alias("delimiter"))
+
+
+def received_time(files: DataFrame, wall: str, prefer_header: bool = False) -> DataFrame:
+    """``files`` with ``received``: the time of the file, or the date of its header where that is preferred and there."""
+    modified = F.col("modified").cast("timestamp_ntz")
+    return files.withColumn("received", F.coalesce(wall, modified) if prefer_header else modified)
+
+
 def trash_folders(folders: DataFrame) -> DataFrame:
     """account, folder of the trash: by flag where an account has one, else by leaf name."""
     leaf = F.lower(F.regexp_extract("folder", r"([^/.]*)$", 1))
@@ -92,10 +128,12 @@ def mailbox(scanned: DataFrame, headers: DataFrame, accounts: DataFrame) -> Data
     return s.join(h, "hdr_id")
 
 
-class _Folder(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class _RowGroup(InputPartition):
+    """One row group of one file."""
+
+    def __init__(self, path: str, group: int):
+        super().__init__((path, group))
+        self.path, self.group = path, group
 
 
 class _SnapshotReader(DataSourceReader):
@@ -111,24 +149,42 @@ class _SnapshotReader(DataSourceReader):
             else:
                 yield f
 
+    def _files(self):
+        """(file system, paths): a path is a URI of any system the workers can open, or a local one."""
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.path) if ":/" in self.path else (fs.LocalFileSystem(), self.path)
+        if system.get_file_info(root).type == fs.FileType.File:
+            return system, [root]
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+        return system, sorted(i.path for i in found if i.type == fs.FileType.File and i.base_name.endswith(".parquet") and i.base_name[0] not in "._")
+
     def partitions(self):
-        from pathlib import Path
+        import pyarrow.parquet as pq
 
-        files = sorted(str(p) for p in Path(self.path).rglob("*.parquet")) if Path(self.path).is_dir() else [self.path]
-        return [_Folder(p) for p in files]
+        system, paths = self._files()
+        out = []
+        for path in paths:
+            with system.open_input_file(path) as f:
+                out += [_RowGroup(path, k) for k in range(pq.ParquetFile(f).metadata.num_row_groups)]
+        return out
 
     def read(self, partition):
-        import pyarrow.dataset as ds
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
 
         names = {"size": "rfc822_size"}
         test = None
         for column, kind, value in self.tests:
-            f = ds.field(names.get(column, column))
+            f = pc.field(names.get(column, column))
             one = f == value if kind == "==" else f > value if kind == ">" else f < value
             test = one if test is None else test & one
         columns = ["account", "folder", "uidvalidity", "uid", "hdr_id", "rfc822_size"]
-        for batch in ds.dataset(partition.path).to_batches(columns=columns, filter=test):
-            yield batch.rename_columns([*columns[:-1], "size"])
+        system, _ = self._files()
+        with system.open_input_file(partition.path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(row_groups=[partition.group], columns=columns):
+                kept = batch if test is None else batch.filter(test)
+                yield kept.select(columns).rename_columns([*columns[:-1], "size"])
 
 
 class SnapshotSource(DataSource):
@@ -142,7 +198,7 @@ class SnapshotSource(DataSource):
         return "account string, folder string, uidvalidity long, uid long, hdr_id long, size long"
 
     def reader(self, schema) -> DataSourceReader:
-        return _SnapshotReader(self.options["path"].removeprefix("file://"))
+        return _SnapshotReader(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:

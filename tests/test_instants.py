@@ -86,3 +86,9 @@ def test_rows(spark):
     tokyo = at(2019, 12, 31, 15)
     assert out == [("date", 1, tokyo), ("date", 1, tokyo), ("date", 4, at(2020, 1, 1))]
     assert I.mail_instants(h.limit(0), s.limit(0), a).count() == 0
+
+
+def test_masks_tell_what_is_not_read(spark):
+    rows = [("2024-01-02 03:04:05",), (" 2023-11-12 13:14:15",), ("5 Jan 2024",), ("2024-W10-2T10:00",), (None,), ("",), ("Ж 9",)]
+    got = {r["mask"]: (r["n"], r["known"]) for r in I.masks(spark.createDataFrame(rows, "t string"), "t", []).collect()}
+    assert got == {"9999-99-99 99:99:99": (2, True), "9 AAA 9999": (1, False), "9999-A99-9A99:99": (1, False), "": (1, False), "A 9": (1, False)}
