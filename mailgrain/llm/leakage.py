@@ -138,10 +138,16 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
 
 def fold_in(rows: list[list[int]], basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit latent vectors of passages given as word ids."""
-    vectors = np.empty((len(rows), basis.shape[1]), dtype=np.float32)
-    for k, ids in enumerate(rows):
-        u, v = weigh(ids, idf)
-        vectors[k] = v.astype(np.float32) @ basis[u]
+    if not rows:
+        return np.empty((0, basis.shape[1]), dtype=np.float32)
+    size = len(idf)
+    flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
+    of = np.repeat(np.arange(len(rows), dtype=np.int64), [len(r) for r in rows])
+    cells, counts = np.unique(of * size + flat, return_counts=True)
+    row, word = np.divmod(cells, size)
+    weights = ((1.0 + np.log(counts)) * idf[word]).astype(np.float32)
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
+    vectors = np.add.reduceat(weights[:, None] * basis[word], begins, axis=0)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
@@ -257,18 +263,18 @@ def _leaks_of_block(tokens: DataFrame, block: list[tuple], idf_all: np.ndarray,
                     pair = of[at + r], int(owner[c])
                     best[pair] = max(best.get(pair, 0.0), float(cosine[r, c]))
             runs_of: dict[int, dict] = {}
+            words_of: dict[int, set[int]] = {}
             for (k, item), cosine in best.items():
                 if k not in runs_of:
-                    runs_of[k] = word_runs(docs[k])
+                    runs_of[k], words_of[k] = word_runs(docs[k]), set(docs[k])
                 run = longest_run(docs[k], item_ids[item], runs_of[k], item_runs[item])
+                found = len(answers[item] & words_of[k]) / len(answers[item])
+                if not run and found < PARAPHRASE_ANSWERS:
+                    continue
                 share = common_subsequence(docs[k], item_ids[item]) / len(item_ids[item])
-                found = len(answers[item] & set(docs[k])) / len(answers[item])
-                if run:
-                    kind = "verbatim"
-                elif share >= PARAPHRASE_LCS and found >= PARAPHRASE_ANSWERS:
-                    kind = "paraphrase"
-                else:
+                if not run and share < PARAPHRASE_LCS:
                     continue
+                kind = "verbatim" if run else "paraphrase"
                 out.append((batch["doc_id"].iloc[k], names[item], cosine, run, share, found, kind))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "run", "lcs_share", "answer_share", "kind"])
 
