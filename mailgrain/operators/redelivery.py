@@ -26,6 +26,8 @@ from mailgrain.runtime import materialise, scratch_path
 KEYS_PER_PREFIX = 100_000
 RUNS_BEFORE_MERGE = 4
 LEAST_PREFIXES = 16
+#: Identifiers of a prefix that are probed at once: batches with fewer go together, whole and in order.
+PROBED_AT_ONCE = 4_096
 RUN_SCHEMA = "prefix int, hi array<bigint>, lo array<bigint>, first_id array<bigint>, last_id array<bigint>"
 _COLUMNS = ("hi", "lo", "first_id", "last_id")
 _NAME = re.compile(r"(run|merged)-(\d{6})-p(\d+)")
@@ -124,6 +126,17 @@ def joined_run(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return hi[begins], lo[begins], np.minimum.reduceat(first, begins), np.maximum.reduceat(last, begins)
 
 
+def probes(batch_no: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of whole batches (rows in order of ``batch_no``) with PROBED_AT_ONCE rows or one batch each."""
+    ends = [*(np.flatnonzero(np.diff(batch_no)) + 1).tolist(), len(batch_no)] if len(batch_no) else []
+    out, begin = [], 0
+    for end in ends:
+        if end - begin >= PROBED_AT_ONCE or end == len(batch_no):
+            out.append((begin, end))
+            begin = end
+    return out
+
+
 def prefix_count(rows: int) -> int:
     """Power of two giving about KEYS_PER_PREFIX identifiers a prefix at most."""
     return max(LEAST_PREFIXES, 1 << math.ceil(math.log2(max(rows, 1) / KEYS_PER_PREFIX + 1)))
@@ -177,11 +190,9 @@ class IdentifierIndex:
 
         def rows_of(prefix: int, runs: Runs, batch: pd.DataFrame) -> pd.DataFrame:
             order = batch.sort_values("batch_no", kind="stable")
-            cuts = np.flatnonzero(np.diff(order["batch_no"].to_numpy())) + 1
             columns = [order[c].to_numpy(dtype=np.int64) for c in _COLUMNS]
-            for part in zip(*[np.split(c, cuts) for c in columns], strict=True):
-                if len(part[0]):
-                    runs.ingest(*part)
+            for begin, end in probes(order["batch_no"].to_numpy()):
+                runs.ingest(*joined_run([tuple(c[begin:end] for c in columns)]))
             delta = runs.delta()
             return pd.DataFrame([(prefix, *[x.tolist() for x in delta])] if len(delta[0]) else [], columns=["prefix", *_COLUMNS])
 

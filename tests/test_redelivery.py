@@ -100,6 +100,12 @@ def test_index_grows_by_batches(spark, tmp_path):
     assert as_set(whole) == as_set(steps) and len(steps._folders()) == 1
 
 
+def test_probes_are_whole_batches(monkeypatch):
+    monkeypatch.setattr(D, "PROBED_AT_ONCE", 3)
+    assert D.probes(np.array([1, 1, 2, 2, 2, 2, 3, 5, 5])) == [(0, 6), (6, 9)] and D.probes(np.array([], dtype=int)) == []
+    assert D.probes(np.array([1])) == [(0, 1)]
+
+
 def test_merging_splits_full_prefixes(spark, tmp_path, monkeypatch):
     index = D.open_index(spark, f"file://{tmp_path}/i")
     index.ingest(spark.createDataFrame([(i, 1, i, 0) for i in range(100)], "hdr_id long, batch_no int, hi long, lo long"))
