@@ -417,11 +417,11 @@ def garble(text: str, steps) -> str | None:
 
 
 def restoration_accuracy(texts: DataFrame, column: str) -> DataFrame:
-    """misreading, steps, texts, detected, restored: how much of garbled text comes back.
+    """misreading, steps, words, detected, restored: how much of garbled text comes back.
 
-    Every text that isn't garbled and has a letter beyond ASCII is garbled in
+    Every word that isn't garbled and has a letter beyond ASCII is garbled in
     each way of MISREADINGS that loses nothing, and restored with the model of
-    the same texts.
+    the same texts.  Equal words are tried once and counted as often as they occur.
     """
     source = spread(texts.select(F.col(column).alias("text")).where(F.col(column).isNotNull()))
     shared = source.sparkSession.sparkContext.broadcast(count_pairs(source, "text"))
@@ -430,23 +430,26 @@ def restoration_accuracy(texts: DataFrame, column: str) -> DataFrame:
         restorer = Restorer(Plausibility(shared.value))
         count: Counter = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                if text.isascii() or restorer.restore(text)[0]:
+            for text, times in zip(batch["text"], batch["times"], strict=True):
+                if restorer.restore(text)[0]:
                     continue
                 for name, steps in MISREADINGS.items():
                     bad = garble(text, steps)
                     if bad is None or bad == text:
                         continue
                     garbled, original, _ = restorer.restore(bad)
-                    count[name, "texts"] += 1
-                    count[name, "detected"] += garbled
-                    count[name, "restored"] += original == text
+                    count[name, "words"] += times
+                    count[name, "detected"] += times * garbled
+                    count[name, "restored"] += times * (original == text)
         yield pd.DataFrame([(name, what, n) for (name, what), n in count.items()], columns=["misreading", "what", "n"])
 
-    counted = source.where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(run, "misreading string, what string, n long")
-    wide = counted.groupBy("misreading").agg(*[F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("texts", "detected", "restored")])
+    # each word once, with how often it occurs: digits survive all misreadings and don't count in the search
+    words = source.select(F.explode(F.split(F.regexp_replace("text", "[0-9]", "0"), " ")).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
+    distinct = words.groupBy("text").agg(F.count(F.lit(1)).alias("times"))
+    counted = spread(distinct).mapInPandas(run, "misreading string, what string, n long")
+    wide = counted.groupBy("misreading").agg(*[F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("words", "detected", "restored")])
     depth = F.create_map(*[x for name, steps in MISREADINGS.items() for x in (F.lit(name), F.lit(len(steps)))])
-    return wide.select("misreading", F.element_at(depth, F.col("misreading")).alias("steps"), "texts", "detected", "restored")
+    return wide.select("misreading", F.element_at(depth, F.col("misreading")).alias("steps"), "words", "detected", "restored")
 
 
 def restored(texts: DataFrame, column: str, keep: list[str]) -> DataFrame:

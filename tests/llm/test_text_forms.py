@@ -128,7 +128,7 @@ def test_lost_no_break_space():
 def test_accuracy(spark):
     rows = [(t,) for t in CLEAN * 20] + [(None,), ("",), ("plain",)]
     got = {r["misreading"]: r for r in M.restoration_accuracy(spark.createDataFrame(rows, "v string"), "v").collect()}
-    assert set(got) <= set(M.MISREADINGS) and got["utf-8 as cp1252"]["restored"] >= 0.9 * got["utf-8 as cp1252"]["texts"]
+    assert set(got) <= set(M.MISREADINGS) and got["utf-8 as cp1252"]["restored"] >= 0.9 * got["utf-8 as cp1252"]["words"]
 
 
 def test_model_is_bounded():
