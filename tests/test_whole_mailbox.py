@@ -68,6 +68,24 @@ def test_date_rules_hold_for_every_form(spark, box):
     assert shown == {i: dt.datetime(*w).strftime("%d.%m.%Y %H:%M") if w else "" for i, (*_, w, _) in enumerate(TIMES)}
 
 
+def test_fetch_by_days(spark, box):
+    """Report, plan, actions and summary of the dated rules; sizes are unknown for every third message, which counts as failed."""
+    delivered = [("eu", "INBOX", 1, i, f"f{i}.eml", "nordlicht", i) for i in (1, 4, 9)]
+    schema = "account string, folder string, uidvalidity long, uid long, filename string, profile string, hdr_id long"
+    rows = [(TIMES[i][0], *r[1:]) for i, r in zip((1, 4, 9), delivered)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{box}/delivered.parquet")
+    day = [(w or r) and dt.date(*(w or r)[:3]) for *_, w, r in TIMES]
+    hit = [i for i, x in enumerate(day) if x is None or x >= dt.date(2020, 1, 1)]
+    failed, read = [i for i in hit if i % 3 == 0], [i for i in hit if i % 3]
+    new, old = [i for i in read if i not in (1, 4, 9)], [i for i in read if i in (1, 4, 9)]
+    assert old and new and failed
+    assert [tuple(r) for r in Q.fetch_report(spark, box).collect()] == [("nordlicht", len(new), len(old))]
+    assert sorted((r["uid"], r["action"]) for r in Q.planned_delivery(spark, box).collect()) == [(i, "none") for i in new]
+    assert Q.post_fetch_steps(spark, box).count() == Q.retry_actions(spark, box).count() == 0  # the rule has no action
+    summary = Q.fetch_summary(spark, box).first()["summary"]
+    assert summary == f"{len(new)} delivered\n  nordlicht: {len(new)}\n{len(old)} already archived\n{len(failed)} failed"
+
+
 def test_every_subject_names_a_file(spark, box):
     got = {r["hdr_id"]: r["base_name"] for r in Q.base_name(spark, box).collect()}
     assert got == {i: brute_name(w or r, SUBJECTS[i]) for i, (*_, w, r) in enumerate(TIMES)}
